@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismal.plans.scalars import attach_row
+
 
 def long_values(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), kind: str = "double") -> DataFrame:
     """One row per (row, column): keys, ``column``, ``value`` cast to one type."""
@@ -30,8 +32,14 @@ def modes(df: DataFrame, columns: Sequence[str], kind: str = "string") -> DataFr
 
 def mode_row(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with ``m_<column>``: the most frequent value of each column in its own type."""
-    found = modes(df, columns)
     kinds = dict(df.dtypes)
-    return found.agg(*[
-        F.max(F.when(F.col("column") == c, F.col("mode"))).cast(kinds[c]).alias(f"m_{c}") for c in columns
-    ])
+    numeric = [c for c in columns if kinds[c] not in ("string", "boolean", "date", "timestamp", "timestamp_ntz")]
+    others = [c for c in columns if c not in numeric]
+    rows = None
+    for group, kind in ((numeric, "double"), (others, "string")):
+        if not group:
+            continue
+        row = modes(df, group, kind).agg(*[
+            F.max(F.when(F.col("column") == c, F.col("mode"))).cast(kinds[c]).alias(f"m_{c}") for c in group])
+        rows = row if rows is None else attach_row(rows, row)
+    return rows

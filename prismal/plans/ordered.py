@@ -7,10 +7,11 @@ the size estimate, so a small input is a single block with an ordinary window.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.plans.sizing import block_count
@@ -18,6 +19,19 @@ from prismal.plans.sizing import block_count
 BLOCK = "_block"
 
 
+def _as_number(df: DataFrame, order: str) -> Column:
+    """A number that never falls as the order column grows."""
+    kind = dict(df.dtypes)[order]
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.unix_micros(F.col(order).cast("timestamp"))
+    if kind == "string":
+        low, high = df.agg(F.min(order), F.max(order)).first()
+        shared = len(os.path.commonprefix([low or "", high or ""]))
+        head = F.substring(F.encode(F.substring(order, shared + 1, 6), "UTF-8"), 1, 6)
+        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10)
+    return F.col(order)
+
+
 def with_blocks(df: DataFrame, order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
     """Add a block number that never falls as ``order`` grows; returns the frame and the block count.
 
@@ -26,8 +40,7 @@ def with_blocks(df: DataFrame, order: str, blocks: int | None = None) -> tuple[D
     """
     blocks = block_count(df) if blocks is None else blocks
     if blocks > 1:
-        kind = dict(df.dtypes)[order]
-        number = F.unix_micros(F.col(order).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order)
+        number = _as_number(df, order)
         probe = df.select(number.cast("double").alias("_at"))
         probs = [i / blocks for i in range(1, blocks)]
         borders = sorted(set(probe.approxQuantile("_at", probs, 0.25 / blocks)))

@@ -11,12 +11,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def rounded(df: DataFrame, digits: int) -> DataFrame:
-    """Round every double column (adding 0.0 turns -0.0 into 0.0)."""
+def rounded(df: DataFrame, columns: str, digits: int) -> DataFrame:
+    """Round the named columns (adding 0.0 turns -0.0 into 0.0)."""
+    chosen = {c.strip('"') for c in columns.split()}
     return df.select(*[
-        (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(name) if kind == "double" else F.col(f"`{name}`")
-        for name, kind in df.dtypes
-    ])
+        (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
 
 
 def rounded_sql(sql: str, columns: str, digits: int) -> str:
@@ -29,7 +28,8 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
     def add(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(Tables(spark, sf_dir)), digits)
+            answer = fn(Tables(spark, sf_dir))
+            return rounded(answer, doubles, digits) if doubles else answer
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
