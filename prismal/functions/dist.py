@@ -12,6 +12,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
 _NORMAL = NormalDist()
@@ -161,31 +162,31 @@ def _columnwise(fn):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _columnwise(t_two_sided)(t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _columnwise(f_upper)(f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _columnwise(chi2_upper)(x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
     return _columnwise(normal_two_sided)(z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def tukey_p_value(q: pd.Series, groups: pd.Series, dof: pd.Series) -> pd.Series:
     return _columnwise(studentized_range_upper)(q, groups, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return _columnwise(_NORMAL.inv_cdf)(p)
