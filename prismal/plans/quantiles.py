@@ -56,7 +56,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
 
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list[str]) -> DataFrame:
     slack = 4.0 / SKETCH_ACCURACY
-    edges: list[float] = []
+    edges: list[float] = [0.0, 1.0]
     for p in probs:
         edges += [max(0.0, p - slack), min(1.0, p + slack)]
     wanted = F.array(*[F.lit(e) for e in edges])
@@ -72,54 +72,59 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         tagged = attach_row(doubles, sketch)
 
     def place(column: str, i: int) -> Column:
-        low = F.col(f"_s_{column}.edge")[2 * i]
-        high = F.col(f"_s_{column}.edge")[2 * i + 1]
+        edge, n = F.col(f"_s_{column}.edge"), F.col(f"_s_{column}.n")
+        # Below SKETCH_ACCURACY rows the whole group is the bracket; above, the slack
+        # covers the sketch error and the two neighbouring ranks.
+        small = n <= SKETCH_ACCURACY
+        low = F.when(small, edge[0]).otherwise(edge[2 * i + 2])
+        high = F.when(small, edge[1]).otherwise(edge[2 * i + 3])
         value = F.col(column)
         width = high - low
         bin_no = F.when(width > 0, F.least(
             F.lit(BRACKET_BINS - 1), F.floor((value - low) / width * BRACKET_BINS).cast("int"))).otherwise(F.lit(0))
         entry = F.struct(
-            F.lit(column).alias("column"), F.lit(i).alias("i"), F.lit(probs[i]).alias("p"),
-            F.col(f"_s_{column}.n").alias("n_all"),
-            F.when(value < low, F.lit(-1)).otherwise(bin_no).alias("bin"),
-            F.when(value >= low, value).alias("v"),
+            F.lit(column).alias("_column"), F.lit(i).alias("_i"), F.lit(probs[i]).alias("_p"), n.alias("_all"),
+            F.when(value < low, F.lit(-1)).otherwise(bin_no).alias("_bin"), F.when(value >= low, value).alias("_v"),
         )
         return F.when(value <= high, entry)
 
     placed = F.array(*[place(c, i) for c in columns for i in range(len(probs))])
     cells = (
-        tagged.select(*keys, F.explode(F.filter(placed, lambda e: e.isNotNull())).alias("e"))
-        .select(*keys, "e.*")
-        .groupBy(*keys, "column", "i", "p", "n_all", "bin", "v").agg(F.count(F.lit(1)).alias("n"))
+        tagged.select(*keys, F.explode(F.filter(placed, lambda e: e.isNotNull())).alias("_e"))
+        .select(*keys, "_e.*")
+        .groupBy(*keys, "_column", "_i", "_p", "_all", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    slot = [*keys, "column", "i", "p", "n_all"]
-    by_bin = Window.partitionBy(*slot).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("p") * (F.col("n_all") - 1)
+    slot = [*keys, "_column", "_i", "_p", "_all"]
+    by_bin = Window.partitionBy(*slot).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.col("_p") * (F.col("_all") - 1)
+    holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_bin_n"))
     bins = (
-        cells.groupBy(*slot, "bin").agg(F.sum("n").alias("bin_n"))
-        .withColumn("before", F.coalesce(F.sum("bin_n").over(by_bin), F.lit(0)))
-        .where(
-            ((F.col("before") <= F.floor(rank)) & (F.floor(rank) < F.col("before") + F.col("bin_n")))
-            | ((F.col("before") <= F.ceil(rank)) & (F.ceil(rank) < F.col("before") + F.col("bin_n"))))
-        .select(*[F.col(s).alias(f"_b_{s}") for s in slot], F.col("bin").alias("_b_bin"), "before")
+        cells.groupBy(*slot, "_bin").agg(F.sum("_n").alias("_bin_n"))
+        .withColumn("_before", F.coalesce(F.sum("_bin_n").over(by_bin), F.lit(0)))
+        .where(holds(F.floor(rank)) | holds(F.ceil(rank)))
+        .select(*[F.col(s).alias(f"_b_{s}") for s in slot], F.col("_bin").alias("_b_bin"), "_before")
     )
-    match = [F.col(s).eqNullSafe(F.col(f"_b_{s}")) for s in [*slot, "bin"]]
-    running = Window.partitionBy(*slot, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    match = [F.col(s).eqNullSafe(F.col(f"_b_{s}")) for s in slot] + [F.col("_bin") == F.col("_b_bin")]
+    running = Window.partitionBy(*slot, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    low_rank, high_rank = F.floor(rank), F.ceil(rank)
     picked = (
-        cells.join(bins, match).withColumn("upto", F.col("before") + F.sum("n").over(running))
+        cells.join(bins, match).withColumn("_upto", F.col("_before") + F.sum("_n").over(running))
         .groupBy(*slot).agg(
-            F.min(F.when(F.col("upto") > F.floor(rank), F.col("v"))).alias("low"),
-            F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v"))).alias("high"))
-        .withColumn("q", F.when(F.floor(rank) == F.ceil(rank), F.col("low")).otherwise(
-            (F.ceil(rank) - rank) * F.col("low") + (rank - F.floor(rank)) * F.col("high")))
+            F.min(F.when(F.col("_upto") > low_rank, F.col("_v"))).alias("_low"),
+            F.min(F.when(F.col("_upto") > high_rank, F.col("_v"))).alias("_high"))
+        .withColumn("_q", F.when(low_rank == high_rank, F.col("_low")).otherwise(
+            (high_rank - rank) * F.col("_low") + (rank - low_rank) * F.col("_high")))
     )
     found = picked.groupBy(*keys).agg(*[
-        F.transform(
-            F.array(*[F.max(F.when((F.col("column") == c) & (F.col("i") == i), F.col("q"))) for i in range(len(probs))]),
-            lambda q: q).alias(quantile_name(c))
-        for c in columns
-    ])
-    return found
+        F.array(*[F.max(F.when((F.col("_column") == c) & (F.col("_i") == i), F.col("_q"))) for i in range(len(probs))])
+        .alias(quantile_name(c)) for c in columns])
+    if not keys:
+        return found
+    # Groups without any value keep their row, as with the one-pass way.
+    groups = sketch.select(*[f"_k_{k}" for k in keys])
+    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return groups.join(found, match, "left").select(
+        *[F.col(f"_k_{k}").alias(k) for k in keys], *[quantile_name(c) for c in columns])
 
 
 def fence_row(df: DataFrame, columns: Sequence[str], k: float = 1.5, keys: Sequence[str] = ()) -> DataFrame:

@@ -22,8 +22,8 @@ def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
 def estimated_bytes(df: DataFrame) -> float:
     """Catalyst's size estimate of a frame; infinite where the session does not expose it."""
     try:
-        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
+        return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except AttributeError:  # no JVM plan behind this frame
         return math.inf
 
 
