@@ -51,7 +51,11 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
         return slim.groupBy(*keys).agg(*[
             F.percentile(F.col(c).cast("double"), wanted).alias(quantile_name(c)) for c in columns
         ])
-    return _bracketed(slim, columns, [float(p) for p in probs], keys)
+    order = sorted(set(float(p) for p in probs))
+    found = _bracketed(slim, columns, order, keys)
+    at = [order.index(float(p)) for p in probs]
+    return found.select(*keys, *[
+        F.array(*[F.col(quantile_name(c))[i] for i in at]).alias(quantile_name(c)) for c in columns])
 
 
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list[str]) -> DataFrame:
@@ -71,37 +75,53 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
     else:
         tagged = attach_row(doubles, sketch)
 
-    def place(column: str, i: int) -> Column:
-        edge, n = F.col(f"_s_{column}.edge"), F.col(f"_s_{column}.n")
+    steps = range(len(probs))
+
+    def bracket(column: str, i: int) -> tuple[Column, Column]:
         # Below SKETCH_ACCURACY rows the whole group is the bracket; above, the slack
         # covers the sketch error and the two neighbouring ranks.
-        small = n <= SKETCH_ACCURACY
-        low = F.when(small, edge[0]).otherwise(edge[2 * i + 2])
-        high = F.when(small, edge[1]).otherwise(edge[2 * i + 3])
-        value = F.col(column)
-        width = high - low
+        edge, small = F.col(f"_s_{column}.edge"), F.col(f"_s_{column}.n") <= SKETCH_ACCURACY
+        return (F.when(small, edge[0]).otherwise(edge[2 * i + 2]), F.when(small, edge[1]).otherwise(edge[2 * i + 3]))
+
+    def entry(column: str, i: Column, bin_no: Column, value: Column) -> Column:
+        return F.struct(F.lit(column).alias("_column"), i.alias("_i"), F.col(f"_s_{column}.n").alias("_all"),
+                        bin_no.alias("_bin"), value.alias("_v"))
+
+    def inside(column: str, i: int) -> Column:
+        low, high = bracket(column, i)
+        value, width = F.col(column), high - low
         bin_no = F.when(width > 0, F.least(
             F.lit(BRACKET_BINS - 1), F.floor((value - low) / width * BRACKET_BINS).cast("int"))).otherwise(F.lit(0))
-        entry = F.struct(
-            F.lit(column).alias("_column"), F.lit(i).alias("_i"), F.lit(probs[i]).alias("_p"), n.alias("_all"),
-            F.when(value < low, F.lit(-1)).otherwise(bin_no).alias("_bin"), F.when(value >= low, value).alias("_v"),
-        )
-        return F.when(value <= high, entry)
+        return F.when(value.between(low, high), entry(column, F.lit(i), bin_no, value))
 
-    placed = F.array(*[place(c, i) for c in columns for i in range(len(probs))])
+    def below(column: str) -> Column:
+        # Brackets grow with the probability: one entry at the first bracket above
+        # the value stands for all later ones.
+        first = F.when(F.col(column) < bracket(column, 0)[0], 0)
+        for i in steps[1:]:
+            first = first.when(F.col(column) < bracket(column, i)[0], i)
+        return F.when(first.isNotNull(), entry(column, first, F.lit(-1), F.lit(None).cast("double")))
+
+    placed = F.array(*[e for c in columns for e in (below(c), *[inside(c, i) for i in steps])])
     cells = (
         tagged.select(*keys, F.explode(F.filter(placed, lambda e: e.isNotNull())).alias("_e"))
         .select(*keys, "_e.*")
-        .groupBy(*keys, "_column", "_i", "_p", "_all", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*keys, "_column", "_i", "_all", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    slot = [*keys, "_column", "_i", "_all"]
+    under = (
+        cells.where("_bin = -1")
+        .select(*keys, "_column", "_all", "_n", F.explode(F.sequence(F.col("_i"), F.lit(len(probs) - 1))).alias("_i"))
+        .groupBy(*slot).agg(F.sum("_n").alias("_bin_n")).withColumn("_bin", F.lit(-1))
     )
-    slot = [*keys, "_column", "_i", "_p", "_all"]
+    cells = cells.where("_bin >= 0")
     by_bin = Window.partitionBy(*slot).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.col("_p") * (F.col("_all") - 1)
+    rank = F.array(*[F.lit(p) for p in probs])[F.col("_i")] * (F.col("_all") - 1)
     holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_bin_n"))
     bins = (
-        cells.groupBy(*slot, "_bin").agg(F.sum("_n").alias("_bin_n"))
+        cells.groupBy(*slot, "_bin").agg(F.sum("_n").alias("_bin_n")).unionByName(under)
         .withColumn("_before", F.coalesce(F.sum("_bin_n").over(by_bin), F.lit(0)))
-        .where(holds(F.floor(rank)) | holds(F.ceil(rank)))
+        .where((F.col("_bin") >= 0) & (holds(F.floor(rank)) | holds(F.ceil(rank))))
         .select(*[F.col(s).alias(f"_b_{s}") for s in slot], F.col("_bin").alias("_b_bin"), "_before")
     )
     match = [F.col(s).eqNullSafe(F.col(f"_b_{s}")) for s in slot] + [F.col("_bin") == F.col("_b_bin")]
