@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prismal.operators import density as db
 from prismal.operators import neighbours as nb
 from prismal.queries.registry import query
 
@@ -48,3 +49,30 @@ def _(t):
 @query("reg_knn", EUCLID + "SELECT q, avg(v) AS prediction FROM n GROUP BY 1", "prediction", 4)
 def _(t):
     return nb.knn_regress(*_sides(t), AXES, "v", 7, "q", "r")
+
+
+# --- density clusters ------------------------------------------------------------------------
+
+DENSITY = """
+WITH RECURSIVE p AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS x, s_nationkey / 5.0::DOUBLE AS y FROM supplier),
+ n AS (SELECT a.k AS a, b.k AS b FROM p a, p b WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.64),
+ c AS (SELECT a AS k FROM n GROUP BY a HAVING count(*) >= 4),
+ e AS (SELECT a, b FROM n WHERE a IN (SELECT k FROM c) AND b IN (SELECT k FROM c)),
+ r AS (SELECT k, k AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.k),
+ m AS (SELECT k, min(root) AS root FROM r GROUP BY 1),
+ i AS (SELECT k, (dense_rank() OVER (ORDER BY root) - 1)::INT AS cluster FROM m),
+ b AS (SELECT n.a AS k, min(i.cluster) AS cluster FROM n JOIN i ON i.k = n.b WHERE n.a NOT IN (SELECT k FROM c) GROUP BY 1)
+SELECT p.k AS s_suppkey, coalesce(i.cluster, b.cluster, -1) AS cluster, i.cluster IS NOT NULL AS is_core
+FROM p LEFT JOIN i USING (k) LEFT JOIN b USING (k)"""
+
+
+@query("dbscan", DENSITY)
+def _(t):
+    rows = t.supplier.select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_nationkey") / 5.0).alias("y"))
+    return db.dbscan(rows, AXES, "s_suppkey", 0.8, 4)
+
+
+@query("dbscan_scaled")
+def _(t):
+    found = db.dbscan(t.customer, ["c_acctbal", "c_nationkey"], "c_custkey", 0.15, 5, standardize=True)
+    return found.groupBy("cluster", "is_core").agg(F.count(F.lit(1)).alias("n"))
