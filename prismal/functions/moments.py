@@ -22,6 +22,13 @@ def sample_kurtosis(c: Column | str) -> Column:
     return F.when(n < 4, None).when(F.min(c) == F.max(c), F.lit(0.0)).otherwise(body)
 
 
+def pair_corr(a: str, b: str) -> Column:
+    """Pearson correlation over rows where both are present; null where either side is constant."""
+    x, y = F.col(a), F.col(b)
+    spread = F.sqrt(F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """100 * part / whole, null for an empty whole."""
     return F.try_divide(part.cast("double") * 100, whole.cast("double"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prismal.functions.moments import pair_corr
 from prismal.functions.text import bands
 from prismal.plans.ordered import running_totals, value_ranks
 from prismal.plans.scalars import rows_from_row, union_all
@@ -16,18 +17,14 @@ from prismal.sources.tables import roles
 STRENGTH = [(0.8, "Very Strong"), (0.6, "Strong"), (0.4, "Moderate"), (0.2, "Weak")]
 
 
-def _clean(c: Column) -> Column:
-    return F.when(~F.isnan(c), c)
-
-
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per unordered pair, all pairs in one pass; a pair uses the rows where both are present."""
     columns = list(columns or roles(df)["numeric"])
     pairs = list(combinations(columns, 2))
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    row = doubles.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = doubles.agg(*[pair_corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return rows_from_row(row, [
-        F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), _clean(F.col(f"r{i}")).alias("corr"))
+        F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"r{i}").alias("corr"))
         for i, (a, b) in enumerate(pairs)])
 
 

@@ -36,7 +36,8 @@ def _offsets(d: int) -> list[tuple[int, ...]]:
 def _around(cell: str, d: int, forward: bool = False) -> Column:
     """Array of neighbouring cells of a cell column (only the later half with ``forward``)."""
     chosen = [o for o in _offsets(d) if not forward or o > (0,) * d]
-    return F.array(*[F.array(*[F.col(cell)[i] + F.lit(s).cast("long") for i, s in enumerate(o)]) for o in chosen])
+    parts = ["array(" + ", ".join(f"{cell}[{i}] + {s}L" for i, s in enumerate(o)) + ")" for o in chosen]
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def _apart(a: str, b: str, d: int) -> Column:

@@ -51,7 +51,7 @@ def qq_quantiles(df: DataFrame, column: str, points: int = 99) -> DataFrame:
 
 
 def _one_sample(row: DataFrame, mu: float) -> DataFrame:
-    t = F.try_divide(F.col("mean") - mu, F.col("std") / F.sqrt(F.col("n").cast("double")))
+    t = F.try_divide(F.col("mean") - mu, F.try_divide(F.col("std"), F.sqrt(F.col("n").cast("double"))))
     dof = (F.col("n") - 1).cast("double")
     return row.select("n", "mean", "std", t.alias("statistic"), dof.alias("dof"), t_p_value(t, dof).alias("p_value"))
 
@@ -73,7 +73,7 @@ def group_moments(df: DataFrame, by: str, value: str) -> DataFrame:
 def _anova_from(groups: DataFrame) -> DataFrame:
     """F from group moments; the between sum of squares uses the pooled mean."""
     n, mean, var = F.col("n").cast("double"), F.col("mean"), F.col("var")
-    total = groups.agg(F.sum(n).alias("_n"), (F.sum(n * mean) / F.sum(n)).alias("_grand"))
+    total = groups.agg(F.sum(n).alias("_n"), F.try_divide(F.sum(n * mean), F.sum(n)).alias("_grand"))
     row = attach_row(groups, total).agg(
         F.count(F.lit(1)).alias("k"), F.first("_n").alias("total"), F.sum(n * F.pow(mean - F.col("_grand"), 2)).alias("between"),
         F.sum((n - 1) * var).alias("within"))
@@ -111,9 +111,11 @@ def ttest_two_sample(df: DataFrame, by: str, value: str, first, second) -> DataF
     row = attach_row(row, levene_test(rows, by, value).select(F.col("p_value").alias("levene_p")))
     n1, n2, v1, v2 = (F.col(c).cast("double") for c in ("n1", "n2", "var1", "var2"))
     pooled = F.col("levene_p") >= ALPHA
-    sp = ((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)
-    se = F.when(pooled, F.sqrt(sp * (1 / n1 + 1 / n2))).otherwise(F.sqrt(v1 / n1 + v2 / n2))
-    welch = F.pow(v1 / n1 + v2 / n2, F.lit(2.0)) / (F.pow(v1 / n1, F.lit(2.0)) / (n1 - 1) + F.pow(v2 / n2, F.lit(2.0)) / (n2 - 1))
+    div, one = F.try_divide, F.lit(1.0)
+    sp = div((n1 - 1) * v1 + (n2 - 1) * v2, n1 + n2 - 2)
+    e1, e2 = div(v1, n1), div(v2, n2)
+    se = F.when(pooled, F.sqrt(sp * (div(one, n1) + div(one, n2)))).otherwise(F.sqrt(e1 + e2))
+    welch = div((e1 + e2) * (e1 + e2), div(e1 * e1, n1 - 1) + div(e2 * e2, n2 - 1))
     t = F.try_divide(F.col("mean1") - F.col("mean2"), se)
     dof = F.when(pooled, n1 + n2 - 2).otherwise(welch)
     return row.select("n1", "n2", "mean1", "mean2", F.when(pooled, "pooled").otherwise("welch").alias("method"), "levene_p",
@@ -130,7 +132,7 @@ def tukey_hsd(df: DataFrame, by: str, value: str, most: int = 10) -> DataFrame:
     first = every.select("*", F.posexplode("gs").alias("i", "a"))
     both = first.select("*", F.explode(F.expr("slice(gs, i + 2, size(gs))")).alias("b"))
     gap = F.col("b.mean") - F.col("a.mean")
-    q = F.try_divide(F.abs(gap), F.sqrt(F.col("within") / F.col("dof") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n"))))
+    q = F.try_divide(F.abs(gap), F.sqrt(F.try_divide("within", "dof") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n"))))
     p = tukey_p_value(q, F.col("k"), F.col("dof"))
     return both.select(F.col("a.g").alias("group_1"), F.col("b.g").alias("group_2"), gap.alias("mean_diff"), q.alias("q"),
                        p.alias("p_value"), (p < ALPHA).alias("reject"))
@@ -176,9 +178,9 @@ def corr_test(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFra
         score = c("pairs") - c("ties_x") - c("ties_y") + c("ties_xy") - 2 * c("discordant")
         r = F.try_divide(score, F.sqrt((c("pairs") - c("ties_x")) * (c("pairs") - c("ties_y"))))
         m = n * (n - 1)
-        spread = ((m * (2 * n + 5) - c("ties_x_v") - c("ties_y_v")) / 18 + 2 * c("ties_x") * c("ties_y") / m
-                  + c("ties_x_3") * c("ties_y_3") / (9 * m * (n - 2)))
-        out = parts.select(n.cast("long").alias("n"), r.alias("r"), normal_p_value(score / F.sqrt(spread)).alias("p_value"))
+        spread = ((m * (2 * n + 5) - c("ties_x_v") - c("ties_y_v")) / 18 + F.try_divide(2 * c("ties_x") * c("ties_y"), m)
+                  + F.try_divide(c("ties_x_3") * c("ties_y_3"), 9 * m * (n - 2)))
+        out = parts.select(n.cast("long").alias("n"), r.alias("r"), normal_p_value(F.try_divide(score, F.sqrt(spread))).alias("p_value"))
     else:
         pairs = {"pearson": pearson_pairs, "spearman": spearman_pairs}[method](both, [x, y]).select(F.col("corr").alias("r"))
         row = attach_row(pairs, both.agg(F.count(F.lit(1)).alias("n")))
@@ -200,8 +202,8 @@ def ols_simple(df: DataFrame, x: str, y: str) -> DataFrame:
         F.regr_r2(cy, cx).alias("r2"), F.regr_sxx(cy, cx).alias("sxx"), F.regr_syy(cy, cx).alias("syy"))
     n = F.col("n").cast("double")
     rss = F.col("syy") * (1 - F.col("r2"))
-    t = F.try_divide(F.col("slope"), F.sqrt(rss / (n - 2) / F.col("sxx")))
-    return row.select("n", "intercept", "slope", "r2", (1 - (1 - F.col("r2")) * (n - 1) / (n - 2)).alias("adj_r2"),
+    t = F.try_divide(F.col("slope"), F.sqrt(F.try_divide(F.try_divide(rss, n - 2), F.col("sxx"))))
+    return row.select("n", "intercept", "slope", "r2", (1 - F.try_divide((1 - F.col("r2")) * (n - 1), n - 2)).alias("adj_r2"),
                       F.sqrt(rss / n).alias("rmse"), t.alias("t"), t_p_value(t, n - 2).alias("p_value"))
 
 

@@ -129,13 +129,13 @@ def seasonal_decompose(series: DataFrame, period: int, model: str = "additive",
         ends = F.lag("value", half).over(w) + F.lead("value", half).over(w)
         trend = (ends / 2 + F.sum("value").over(inner)) / period
     rows = rows.withColumn("trend", trend).withColumn("slot", (F.col("i") % period).cast("int"))
-    detrended = F.col("value") / F.col("trend") if times else F.col("value") - F.col("trend")
+    detrended = F.try_divide("value", "trend") if times else F.col("value") - F.col("trend")
     slots = rows.groupBy(*keys, "slot").agg(F.avg(detrended).alias("raw"))
     every = Window.partitionBy(*(keys or [F.lit(0)]))  # one row per slot
     centre = F.avg("raw").over(every)
-    slots = slots.select(*keys, "slot", (F.col("raw") / centre if times else F.col("raw") - centre).alias("seasonal"))
+    slots = slots.select(*keys, "slot", (F.try_divide(F.col("raw"), centre) if times else F.col("raw") - centre).alias("seasonal"))
     joined = rows.join(slots, [*keys, "slot"])
-    resid = F.col("value") / F.col("trend") / F.col("seasonal") if times else F.col("value") - F.col("trend") - F.col("seasonal")
+    resid = F.try_divide(F.try_divide("value", "trend"), F.col("seasonal")) if times else F.col("value") - F.col("trend") - F.col("seasonal")
     return joined.select(*keys, "period", "value", "i", "slot", "trend", "seasonal", resid.alias("resid"))
 
 
