@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _rounded(c: Column, digits: int) -> Column:
+    """Half away from zero in double arithmetic, as the SQL side rounds; 0.0 is added to avoid -0.0."""
+    scale = float(10**digits)
+    up = F.floor(F.abs(c) * scale + 0.5) / scale
+    return F.when(F.abs(c) < 4e18 / scale, F.signum(c) * up + 0.0).otherwise(c)
+
+
 def rounded(df: DataFrame, columns: str, digits: int) -> DataFrame:
-    """Round the named columns (adding 0.0 turns -0.0 into 0.0)."""
+    """Round the named columns."""
     chosen = {c.strip('"') for c in columns.split()}
-    return df.select(*[
-        (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[_rounded(F.col(f"`{c}`"), digits).alias(c) if c in chosen else F.col(f"`{c}`") for c in df.columns])
 
 
 def rounded_sql(sql: str, columns: str, digits: int) -> str:
