@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -20,7 +21,7 @@ from prismal.operators.explore import value_counts_of
 from prismal.plans.counts import mode_row
 from prismal.plans.ordered import running_totals
 from prismal.plans.quantiles import quantile_name, quantiles
-from prismal.plans.scalars import attach_row, union_all
+from prismal.plans.scalars import attach_row
 
 SEED = 42
 MOST_CLASSES = 1000
@@ -123,19 +124,29 @@ def regressor(kind: str, **params):
     raise ValueError(f"unknown regressor {kind!r}")
 
 
+def _training_rows(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Only the needed columns, kept in memory or on disk while the passes of one fit run over them."""
+    columns = list(dict.fromkeys([target, *numeric, *categorical]))
+    return train.where(F.col(target).isNotNull()).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit_classifier(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic", **params) -> PipelineModel:
-    rows = train.where(F.col(target).isNotNull())
+    rows = _training_rows(train, target, numeric, categorical)
     coded = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
     if kind in ("logistic", "linear_svm"):
         params.setdefault("rows", rows.count())
     model = classifier(kind, _class_count(rows, target), **params)
-    return Pipeline(stages=[coded, *preprocessing(rows, numeric, categorical), model]).fit(rows)
+    fitted = Pipeline(stages=[coded, *preprocessing(rows, numeric, categorical), model]).fit(rows)
+    rows.unpersist()
+    return fitted
 
 
 def fit_regressor(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "linear", **params) -> PipelineModel:
-    rows = train.where(F.col(target).isNotNull())
+    rows = _training_rows(train, target, numeric, categorical)
     label = SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__")
-    return Pipeline(stages=[label, *preprocessing(rows, numeric, categorical), regressor(kind, **params)]).fit(rows)
+    fitted = Pipeline(stages=[label, *preprocessing(rows, numeric, categorical), regressor(kind, **params)]).fit(rows)
+    rows.unpersist()
+    return fitted
 
 
 def predict(model: PipelineModel, rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -155,10 +166,12 @@ def confusion(predictions: DataFrame, actual: str = "label", predicted: str = "p
 def classification_metrics(predictions: DataFrame, actual: str = "label", predicted: str = "prediction") -> DataFrame:
     """Accuracy and support-weighted precision, recall and F1 (0 where undefined)."""
     cells = confusion(predictions, actual, predicted)
-    by_class = union_all([
-        cells.select(F.col("actual").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("called"),
-                     F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0).alias("hits")),
-        cells.select(F.col("predicted").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("called"), F.lit(0).cast("long").alias("hits"))])
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0))
+    zero = F.lit(0).cast("long")
+    sides = F.array(
+        F.struct(F.col("actual").cast("string").alias("c"), F.col("n").alias("support"), zero.alias("called"), hit.cast("long").alias("hits")),
+        F.struct(F.col("predicted").cast("string").alias("c"), zero.alias("support"), F.col("n").alias("called"), zero.alias("hits")))
+    by_class = cells.select(F.inline(sides))
     per = by_class.groupBy("c").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hits").alias("hits"))
     safe = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
     p, r = safe("hits", "called"), safe("hits", "support")
@@ -219,7 +232,8 @@ def feature_importance(model: PipelineModel, sample: DataFrame, most: int = 15)
 def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], keys: Sequence[str], categorical: Sequence[str] = (),
                    kind: str = "logistic", task: str = "classification", folds: int = 5, **params) -> DataFrame:
     """Mean and spread of accuracy or r2 over folds chosen by a key hash."""
-    rows = df.where(F.col(target).isNotNull()).withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(folds)).cast("int"))
+    fold = F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(folds)).cast("int")
+    rows = _training_rows(df.withColumn("fold", fold), target, ["fold", *numeric], categorical)
     if task == "classification":
         label = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
         model, judge = classifier(kind, _class_count(rows, target), **params), MulticlassClassificationEvaluator(metricName="accuracy")
@@ -229,6 +243,7 @@ def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], keys: Seq
     pipe = Pipeline(stages=[*preprocessing(rows, numeric, categorical), model])
     fitted = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds,
                             foldCol="fold", parallelism=2).fit(label.transform(rows))
+    rows.unpersist()
     out = [(kind, judge.getMetricName(), folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))]
     return df.sparkSession.createDataFrame(out, "model string, metric string, folds int, mean double, std double")
 

@@ -5,14 +5,15 @@ That is the fast way while the input is small. Beyond the size limit the same
 numbers come from two passes that keep no group in one place:
 
 1. a ``percentile_approx`` sketch brackets each wanted rank between two values;
-2. values below the bracket are only counted, values inside it are counted per
-   distinct value (both combine before the shuffle), split into bins, and only
-   the bins that hold the wanted ranks are ordered.
+2. values below the bracket are only counted, the few values inside it are
+   counted per distinct value (both combine before the shuffle), split into
+   bins, and only the bins that hold the wanted ranks are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,48 +84,41 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         edge, small = F.col(f"_s_{column}.edge"), F.col(f"_s_{column}.n") <= SKETCH_ACCURACY
         return (F.when(small, edge[0]).otherwise(edge[2 * i + 2]), F.when(small, edge[1]).otherwise(edge[2 * i + 3]))
 
-    def entry(column: str, i: Column, bin_no: Column, value: Column) -> Column:
-        return F.struct(F.lit(column).alias("_column"), i.alias("_i"), F.col(f"_s_{column}.n").alias("_all"),
-                        bin_no.alias("_bin"), value.alias("_v"))
-
     def inside(column: str, i: int) -> Column:
+        return F.col(column).between(*bracket(column, i))
+
+    def entry(column: str, i: int) -> Column:
         low, high = bracket(column, i)
         value, width = F.col(column), high - low
         bin_no = F.when(width > 0, F.least(
             F.lit(BRACKET_BINS - 1), F.floor((value - low) / width * BRACKET_BINS).cast("int"))).otherwise(F.lit(0))
-        return F.when(value.between(low, high), entry(column, F.lit(i), bin_no, value))
-
-    def below(column: str) -> Column:
-        # Brackets grow with the probability: one entry at the first bracket above
-        # the value stands for all later ones.
-        first = F.when(F.col(column) < bracket(column, 0)[0], 0)
-        for i in steps[1:]:
-            first = first.when(F.col(column) < bracket(column, i)[0], i)
-        return F.when(first.isNotNull(), entry(column, first, F.lit(-1), F.lit(None).cast("double")))
-
-    placed = F.array(*[e for c in columns for e in (below(c), *[inside(c, i) for i in steps])])
+        return F.when(inside(column, i), F.struct(
+            F.lit(column).alias("_column"), F.lit(i).alias("_i"), F.col(f"_s_{column}.n").alias("_all"), bin_no.alias("_bin"), value.alias("_v")))
+
+    places = [(c, i) for c in columns for i in steps]
+    # Pass over all rows: only counters. Pass over the few rows inside a bracket: values.
+    under = tagged.groupBy(*keys).agg(*[F.count_if(F.col(c) < bracket(c, i)[0]).alias(f"_u_{i}_{c}") for c, i in places])
+    under = under.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_column"), F.lit(i).alias("_i"), F.col(f"_u_{i}_{c}").alias("_under")) for c, i in places])))
+    under = under.select(*[F.col(k).alias(f"_wk_{k}") for k in keys], F.col("_column").alias("_w_column"), F.col("_i").alias("_w_i"), "_under")
     cells = (
-        tagged.select(*keys, F.explode(F.filter(placed, lambda e: e.isNotNull())).alias("_e"))
+        tagged.where(reduce(lambda x, y: x | y, [inside(c, i) for c, i in places]))
+        .select(*keys, F.explode(F.filter(F.array(*[entry(c, i) for c, i in places]), lambda e: e.isNotNull())).alias("_e"))
         .select(*keys, "_e.*")
         .groupBy(*keys, "_column", "_i", "_all", "_bin", "_v").agg(F.count(F.lit(1)).alias("_n"))
     )
     slot = [*keys, "_column", "_i", "_all"]
-    under = (
-        cells.where("_bin = -1")
-        .select(*keys, "_column", "_all", "_n", F.explode(F.sequence(F.col("_i"), F.lit(len(probs) - 1))).alias("_i"))
-        .groupBy(*slot).agg(F.sum("_n").alias("_bin_n")).withColumn("_bin", F.lit(-1))
-    )
-    cells = cells.where("_bin >= 0")
     by_bin = Window.partitionBy(*slot).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.array(*[F.lit(p) for p in probs])[F.col("_i")] * (F.col("_all") - 1)
     holds = lambda at: (F.col("_before") <= at) & (at < F.col("_before") + F.col("_bin_n"))
+    beside = [F.col(k).eqNullSafe(F.col(f"_wk_{k}")) for k in keys] + [F.col("_column") == F.col("_w_column"), F.col("_i") == F.col("_w_i")]
     bins = (
-        cells.groupBy(*slot, "_bin").agg(F.sum("_n").alias("_bin_n")).unionByName(under)
-        .withColumn("_before", F.coalesce(F.sum("_bin_n").over(by_bin), F.lit(0)))
-        .where((F.col("_bin") >= 0) & (holds(F.floor(rank)) | holds(F.ceil(rank))))
-        .select(*[F.col(s).alias(f"_b_{s}") for s in slot], F.col("_bin").alias("_b_bin"), "_before")
+        cells.groupBy(*slot, "_bin").agg(F.sum("_n").alias("_bin_n")).join(under, beside)
+        .withColumn("_before", F.col("_under") + F.coalesce(F.sum("_bin_n").over(by_bin), F.lit(0)))
+        .where(holds(F.floor(rank)) | holds(F.ceil(rank)))
+        .select(*[F.col(s).alias(f"_b_{s}") for s in slot], F.col("_bin").alias("_b__bin"), "_before")
     )
-    match = [F.col(s).eqNullSafe(F.col(f"_b_{s}")) for s in slot] + [F.col("_bin") == F.col("_b_bin")]
+    match = [F.col(s).eqNullSafe(F.col(f"_b_{s}")) for s in slot] + [F.col("_bin") == F.col("_b__bin")]
     running = Window.partitionBy(*slot, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     low_rank, high_rank = F.floor(rank), F.ceil(rank)
     picked = (
