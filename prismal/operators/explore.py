@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.functions.moments import percent
-from prismal.plans.quantiles import quantile_name, quantiles
+from prismal.plans.quantiles import quantile_name, summarize
 from prismal.plans.scalars import attach_row
 from prismal.plans.sizing import may_broadcast
 
@@ -170,34 +170,31 @@ def group_agg(df: DataFrame, by: Sequence[str], values: Sequence[str], how: Sequ
         raise ValueError(f"unknown aggregates: {sorted(unknown)}")
     rows = df.dropna(subset=list(by))
     plain = [AGGREGATES[h](v).alias(f"{v}_{h}") for v in values for h in how if h != "median"]
-    out = rows.groupBy(*by).agg(*plain) if plain else None
-    if "median" in how:
-        mid = quantiles(rows, values, [0.5], by).select(
-            *by, *[F.col(quantile_name(v))[0].alias(f"{v}_median") for v in values])
-        out = mid if out is None else out.join(mid, list(by))
-    return out.select(*by, *[f"{v}_{h}" for v in values for h in how])
+    if "median" not in how:
+        return rows.groupBy(*by).agg(*plain)
+    out = summarize(rows, plain, values, [0.5], by)
+    return out.select(*by, *[
+        F.col(quantile_name(v))[0].alias(f"{v}_{h}") if h == "median" else F.col(f"{v}_{h}") for v in values for h in how])
 
 
 def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """count, mean, median, std, min, max, q1 and q3 of a value by group."""
     _known(df, [by, value])
     rows = df.dropna(subset=[by])
-    moments = rows.groupBy(by).agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
+    moments = [F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+               F.min(value).alias("min"), F.max(value).alias("max")]
     q = F.col(quantile_name(value))
-    cuts = quantiles(rows, [value], [0.25, 0.5, 0.75], [by])
-    return moments.join(cuts, by).select(
+    return summarize(rows, moments, [value], [0.25, 0.5, 0.75], [by]).select(
         by, "count", "mean", q[1].alias("median"), "std", "min", "max", q[0].alias("q1"), q[2].alias("q3"))
 
 
 def scalar_stat(df: DataFrame, column: str, how: Sequence[str]) -> DataFrame:
     """One row of statistics of a column."""
-    plain = df.agg(*[AGGREGATES[h](column).alias(h) for h in how if h != "median"])
+    plain = [AGGREGATES[h](column).alias(h) for h in how if h != "median"]
     if "median" not in how:
-        return plain
-    mid = quantiles(df, [column], [0.5]).select(F.col(quantile_name(column))[0].alias("median"))
-    return attach_row(plain, mid).select(*how)
+        return df.agg(*plain)
+    return summarize(df, plain, [column], [0.5]).select(
+        *[F.col(quantile_name(column))[0].alias(h) if h == "median" else F.col(h) for h in how])
 
 
 def group_extremes(df: DataFrame, by: str, value: str, how: str = "mean") -> DataFrame:

@@ -14,7 +14,7 @@ from prismal.operators.corr import correlation_pairs
 from prismal.operators.explore import crosstab_long, group_agg, histogram, pivot_long, value_counts_of
 from prismal.plans.counts import long_values
 from prismal.plans.ordered import running_totals
-from prismal.plans.quantiles import quantile_name, quantiles
+from prismal.plans.quantiles import quantile_name, quantiles, summarize
 from prismal.plans.scalars import attach_row, union_all
 
 
@@ -204,9 +204,9 @@ def compare_stats(both: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Five-number summary and mean per dataset and column."""
     long = long_values(both, columns, ["dataset"])
     keys = ["dataset", "column"]
-    moments = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    moments = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")]
     q = F.col(quantile_name("value"))
-    return moments.join(quantiles(long, ["value"], [0.25, 0.5, 0.75], keys), keys).select(
+    return summarize(long, moments, ["value"], [0.25, 0.5, 0.75], keys).select(
         *keys, "n", "mean", "min", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), "max")
 
 

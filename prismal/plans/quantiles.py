@@ -59,6 +59,21 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
         F.array(*[F.col(quantile_name(c))[i] for i in at]).alias(quantile_name(c)) for c in columns])
 
 
+def summarize(df: DataFrame, aggregates: Sequence[Column], columns: Sequence[str], probs: Sequence[float],
+              keys: Sequence[str] = ()) -> DataFrame:
+    """Aggregates and quantiles of the same groups (keys without missing values).
+
+    A small input needs one pass for both; a large one adds the quantile passes.
+    """
+    keys = list(keys)
+    if fits_one_task(df.select(*keys, *columns)):
+        wanted = F.array(*[F.lit(float(p)) for p in probs])
+        return df.groupBy(*keys).agg(*aggregates, *[
+            F.percentile(F.col(c).cast("double"), wanted).alias(quantile_name(c)) for c in columns])
+    plain, cuts = df.groupBy(*keys).agg(*aggregates), quantiles(df, columns, probs, keys, spread=True)
+    return plain.join(cuts, keys) if keys else attach_row(plain, cuts)
+
+
 def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list[str]) -> DataFrame:
     slack = 4.0 / SKETCH_ACCURACY
     edges: list[float] = [0.0, 1.0]
