@@ -11,7 +11,7 @@ from prismal.functions import dates, text
 from prismal.functions.moments import percent, sample_kurtosis, sample_skew
 from prismal.operators.explore import histogram
 from prismal.plans.counts import modes, value_counts
-from prismal.plans.quantiles import quantile_name, quantiles, summarize
+from prismal.plans.quantiles import quantile_name, quantiles
 from prismal.plans.scalars import attach_row, rows_from_row, union_all
 from prismal.sources.tables import roles
 
@@ -83,15 +83,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, fence:
     """
     columns = list(columns or roles(df)["numeric"])
     slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    moments = [F.count(F.lit(1)).alias("n_rows"), *[
+    moments = slim.agg(F.count(F.lit(1)).alias("n_rows"), *[
         F.struct(
             F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
             F.var_samp(c).alias("variance"), F.min(c).alias("min"), F.max(c).alias("max"),
             sample_skew(c).alias("skew"), sample_kurtosis(c).alias("kurtosis"),
             F.count_if(F.col(c) == 0).alias("zeros"), F.count_if(F.col(c) < 0).alias("negatives")).alias(f"s_{c}")
-        for c in columns]]
-    facts = summarize(slim, moments, columns, PROFILE_PROBS)
-    cuts = facts.select(*[quantile_name(c) for c in columns])
+        for c in columns])
+    cuts = quantiles(slim, columns, PROFILE_PROBS)  # apart from the moments: the same shuffle then serves both uses
 
     def side(c: str, sign: int) -> Column:
         q = F.col(quantile_name(c))
@@ -100,7 +99,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, fence:
 
     outliers = attach_row(slim, cuts).agg(*[
         F.count_if((F.col(c) < side(c, -1)) | (F.col(c) > side(c, 1))).alias(f"o_{c}") for c in columns])
-    row = attach_row(facts, outliers)
+    row = attach_row(attach_row(moments, cuts), outliers)
     structs = []
     for c in columns:
         s, q = f"s_{c}", F.col(quantile_name(c))

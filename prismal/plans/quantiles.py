@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.plans.scalars import attach_row
-from prismal.plans.sizing import fits_one_task
+from prismal.plans.sizing import fits_value_map
 
 SKETCH_ACCURACY = 50_000
 BRACKET_BINS = 512
@@ -46,7 +46,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], key
             for c in columns
         ])
     if spread is None:
-        spread = not fits_one_task(slim)
+        spread = not fits_value_map(slim)
     if not spread:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
         return slim.groupBy(*keys).agg(*[
@@ -63,14 +63,11 @@ def summarize(df: DataFrame, aggregates: Sequence[Column], columns: Sequence[str
               keys: Sequence[str] = ()) -> DataFrame:
     """Aggregates and quantiles of the same groups (keys without missing values).
 
-    A small input needs one pass for both; a large one adds the quantile passes.
+    Two aggregates side by side: the plain one keeps whole-stage code, which
+    ``percentile`` in the same aggregate would take away.
     """
     keys = list(keys)
-    if fits_one_task(df.select(*keys, *columns)):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*keys).agg(*aggregates, *[
-            F.percentile(F.col(c).cast("double"), wanted).alias(quantile_name(c)) for c in columns])
-    plain, cuts = df.groupBy(*keys).agg(*aggregates), quantiles(df, columns, probs, keys, spread=True)
+    plain, cuts = df.groupBy(*keys).agg(*aggregates), quantiles(df, columns, probs, keys)
     return plain.join(cuts, keys) if keys else attach_row(plain, cuts)
 
 

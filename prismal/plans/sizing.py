@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Largest estimated input that may be ordered or counted inside a single task.
 ONE_TASK_BYTES = ("spark.prismal.oneTaskBytes", 64 * 1024 * 1024)
+# Largest estimated input whose quantiles may be kept as a value map in one task.
+QUANTILE_BYTES = ("spark.prismal.quantileBytes", 8 * 1024 * 1024)
 # Largest estimated frame that may be broadcast when its row count has no fixed bound.
 BROADCAST_BYTES = ("spark.prismal.broadcastBytes", 64 * 1024 * 1024)
 # Upper end for the number of ordered blocks.
@@ -27,8 +29,8 @@ def estimated_bytes(df: DataFrame) -> float:
         return math.inf
 
 
-def fits_one_task(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= setting(df.sparkSession, ONE_TASK_BYTES)
+def fits_value_map(df: DataFrame) -> bool:
+    return estimated_bytes(df) <= setting(df.sparkSession, QUANTILE_BYTES)
 
 
 def may_broadcast(df: DataFrame) -> bool:

@@ -9,7 +9,7 @@ from prismal.plans import quantiles as qt
 from prismal.plans.counts import mode_row, modes
 from prismal.plans.graph import components
 from prismal.plans.ordered import running_totals, value_ranks, with_previous
-from prismal.plans.sizing import block_count, estimated_bytes, fits_one_task
+from prismal.plans.sizing import block_count, estimated_bytes, fits_value_map
 
 
 def skewed(n=6000, seed=3):
@@ -112,9 +112,12 @@ def test_components_on_chain_and_hub(spark):
 def test_size_checks(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    assert 0 < estimated_bytes(df) < 1_000_000 and fits_one_task(df) and block_count(df) == 1
+    assert 0 < estimated_bytes(df) < 1_000_000 and fits_value_map(df) and block_count(df) == 1
     spark.conf.set("spark.prismal.oneTaskBytes", "1000")
     try:
-        assert not fits_one_task(df) and block_count(df) > 1
+        assert block_count(df) > 1
+        spark.conf.set("spark.prismal.quantileBytes", "1000")
+        assert not fits_value_map(df)
     finally:
         spark.conf.unset("spark.prismal.oneTaskBytes")
+        spark.conf.unset("spark.prismal.quantileBytes")
