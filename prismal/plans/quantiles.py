@@ -67,7 +67,10 @@ def summarize(df: DataFrame, aggregates: Sequence[Column], columns: Sequence[str
     ``percentile`` in the same aggregate would take away.
     """
     keys = list(keys)
-    plain, cuts = df.groupBy(*keys).agg(*aggregates), quantiles(df, columns, probs, keys)
+    cuts = quantiles(df, columns, probs, keys)
+    if not aggregates:
+        return cuts
+    plain = df.groupBy(*keys).agg(*aggregates)
     return plain.join(cuts, keys) if keys else attach_row(plain, cuts)
 
 
