@@ -11,7 +11,7 @@ from prismal.session import materialize
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text, decoded again for its digest."""
-    return bpe_digests(bpe.decode(bpe.encode(docs.select("doc_id", "text")).select("doc_id", "ids", "starts")))
+    return bpe_digests(bpe.round_trip(docs.select("doc_id", "text")))
 
 
 STAGES = [("bpe", tokens)]

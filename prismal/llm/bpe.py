@@ -473,8 +473,27 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", starts: str = "s
 
     ``ranks`` is the rank file, readable on every worker. No special tokens.
     """
+    fields = [StructField(ids, ArrayType(IntegerType())), StructField(starts, ArrayType(IntegerType()))]
+    return df.mapInArrow(_encoding(text, ids, starts, ranks or default_ranks()), with_fields(df, fields))
+
+
+def decode(df: DataFrame, ids: str = "ids", starts: str = "starts", decoded: str = "decoded", ranks: str | None = None) -> DataFrame:
+    """Adds ``decoded``: the bytes of the ids, each at its retained offset. Null ids give no bytes."""
+    fields = [StructField(decoded, BinaryType())]
+    return df.mapInArrow(_decoding(ids, starts, decoded, ranks or default_ranks()), with_fields(df, fields))
+
+
+def round_trip(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", ranks: str | None = None) -> DataFrame:
+    """Encodes and decodes in one pass: replaces the text by ``ids`` and ``decoded``."""
     path = ranks or default_ranks()
+    encoding, decoding = _encoding(text, ids, "starts", path, drop=True), _decoding(ids, "starts", decoded, path, drop=True)
+    rest = df.drop(text, "starts")
+    fields = [StructField(ids, ArrayType(IntegerType())), StructField(decoded, BinaryType())]
+    # An extra column named like the offsets would be replaced by them, so it is not kept.
+    return df.drop("starts").mapInArrow(lambda batches: decoding(encoding(batches)), with_fields(rest, fields))
 
+
+def _encoding(text: str, ids: str, starts: str, path: str, drop: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, cache = own_encoder(path)
         vocabulary = worker_cache(("vocabulary", path), lambda: Vocabulary(read_ranks(path)))
@@ -485,31 +504,27 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", starts: str = "s
                 at = np.cumsum(lengths) - lengths
                 at -= np.repeat(ends[:-1], np.diff(begin))  # offsets count from the text's own start
                 offsets = pa.array(begin, pa.int32())
-                yield append(batch, {ids: pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32())),
-                                     starts: pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32()))})
-
-    fields = [StructField(ids, ArrayType(IntegerType())), StructField(starts, ArrayType(IntegerType()))]
-    return df.mapInArrow(run, with_fields(df, fields))
+                yield append(batch.drop_columns([text]) if drop else batch, {
+                    ids: pa.ListArray.from_arrays(offsets, pa.array(found, pa.int32())),
+                    starts: pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32()))})
 
+    return run
 
-def decode(df: DataFrame, ids: str = "ids", starts: str = "starts", decoded: str = "decoded", ranks: str | None = None) -> DataFrame:
-    """Adds ``decoded``: the bytes of the ids, each at its retained offset. Null ids give no bytes."""
-    path = ranks or default_ranks()
 
+def _decoding(ids: str, starts: str, decoded: str, path: str, drop: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = worker_cache(("vocabulary", path), lambda: Vocabulary(read_ranks(path)))
         for whole in batches:
-            for first in range(0, whole.num_rows, 1024):
-                batch = whole.slice(first, 1024)
+            for first in range(0, whole.num_rows, 512):
+                batch = whole.slice(first, 512)
                 lists, places = (batch.column(batch.schema.get_field_index(c)) for c in (ids, starts))
-                found = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                found = lists.flatten().to_numpy(zero_copy_only=False)
                 at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 begin = np.concatenate([[0], np.cumsum(counts)])
-                upto = np.concatenate([[0], np.cumsum(vocabulary.length[found])])
-                ends = upto[begin]
+                ends = np.concatenate([[0], np.cumsum(vocabulary.length[found])])[begin]
                 total = vocabulary.decode(found, at + np.repeat(ends[:-1], counts), int(ends[-1]))
-                yield append(batch, {decoded: pa.LargeBinaryArray.from_buffers(
+                yield append(batch.drop_columns([starts]) if drop else batch, {decoded: pa.LargeBinaryArray.from_buffers(
                     pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(total)]).cast(pa.binary())})
 
-    return df.mapInArrow(run, with_fields(df, [StructField(decoded, BinaryType())]))
+    return run

@@ -42,7 +42,7 @@ def append(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
                                       names=[batch.schema.names[i] for i in kept] + list(new))
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
     """Consecutive slices of the batch with at most ``limit`` bytes of text each, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
     ends = column.fill_null("").cast(pa.large_binary())

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digests(bpe.decode(bpe.encode(docs).select("doc_id", "ids", "starts")))
+    return bpe_digests(bpe.round_trip(docs))
 
 
 def bpe_digests(decoded: DataFrame) -> DataFrame:
