@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, line_dedup, token_counts, token_files
+from prismal.llm import bpe, line_dedup, near_dedup, quality_rank, quality_rules, token_counts, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drops lines shared by documents from every text."""
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the forest's verdict for every document."""
+    out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=lambda d: d.drop("text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
+@query("op7_quality_rank")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document by what preference pairs of labelled ones teach."""
+    out = quality_rank.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep=lambda d: d.drop("text"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document, and its number of links."""
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
