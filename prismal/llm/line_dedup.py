@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.llm.common import SPACES
+from prismal.session import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -34,12 +35,13 @@ def repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     """The lines to drop: doc_id and ``pos``, for every line whose key ``min_docs`` documents hold, the first document's aside."""
     lines = df.select(F.col(doc_id).alias("doc_id"), F.posexplode(split_lines(F.col(text))).alias("pos", "line")).filter(F.col("doc_id").isNotNull())
     lines = lines.select("doc_id", "pos", line_key(F.col("line")).alias("key")).filter(F.length("key") >= min_chars)
-    lines = lines.select("doc_id", "pos", F.unhex(F.md5("key")).alias("hash"))
+    lines = materialize(lines.select("doc_id", "pos", F.unhex(F.md5("key")).alias("hash")), "lines")
     if min_docs == 2:  # two documents hold it if the smallest and the largest differ
         held = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     else:
         held = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("n")).filter(F.col("n") >= min_docs)
-    return lines.join(held.select("hash", "first"), "hash").filter("doc_id > first").select("doc_id", "pos")
+    held = materialize(held.select("hash", "first"), "held")  # a plain scan on both sides: a line of very many documents can be split
+    return lines.join(held, "hash").filter("doc_id > first").select("doc_id", "pos")
 
 
 def drop_repeated_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
