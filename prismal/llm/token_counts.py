@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from prismal.llm.bpe import default_ranks, encode_flat, own_encoder
 from prismal.llm.common import slices
+from prismal.session import materialize
 
 
 def lengths(df: DataFrame, text: str = "text", ranks: str | None = None) -> DataFrame:
@@ -36,11 +37,11 @@ def lengths(df: DataFrame, text: str = "text", ranks: str | None = None) -> Data
 
 
 def histogram(counts: DataFrame, length: str = "n_tokens") -> DataFrame:
-    """``n_tokens``, ``n_docs``: how many documents have each length. Combined before the shuffle."""
-    return counts.groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    """``n_tokens``, ``n_docs``: how many documents have each length. Combined before the shuffle, and written, as answers read it repeatedly."""
+    return materialize(counts.groupBy(F.col(length).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
 
 
-def suffix_sums(hist: DataFrame, per: int = 1024) -> DataFrame:
+def suffix_sums(hist: DataFrame, per: int = 128) -> DataFrame:
     """For every length L that occurs: documents and tokens at least that long, the total truncated to L, and ranks.
 
     ``docs_from`` / ``tokens_from``: documents of length L or more, and their tokens. ``truncated_tokens``:
