@@ -153,7 +153,8 @@ def read(spark: SparkSession, folder: str, per: int = 2048) -> DataFrame:
     shards = manifest(spark, folder)
     # Shards are read in parts of ``per`` documents, dealt out evenly; each part maps just its stretch of the file.
     parts = shards.select("*", F.explode(F.sequence(F.lit(0), F.col("docs") - 1, F.lit(per))).alias("part"))
-    parts = parts.repartition(F.col("shard"), F.col("part"))
+    # A fixed number of partitions: the rows are few and small, but what they stand for is not.
+    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
