@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, line_dedup, near_dedup, quality_rank, quality_rules, token_counts, token_files
+from prismal.llm import bpe, line_dedup, mixing, near_dedup, pii, quality_rank, quality_rules, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -96,3 +96,33 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of every document, and its number of links."""
     return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_mix_sources")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in a mix whose sources weigh the square root of their size."""
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=lambda d: d.drop("text"))
+    return out.select("doc_id", "source", "block", "slot", "place")
+
+
+OP6_SQL = """
+WITH exact AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM exact q JOIN exact c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op6_top_products", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base formats and what boosted trees add."""
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
