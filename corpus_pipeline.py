@@ -1,22 +1,55 @@
-"""From raw documents to training tokens, in stages that each call one operator of prismal.llm."""
+"""From raw documents to training tokens, in stages that each call one operator of prismal.llm.
+
+Every stage works on all documents that the one before it kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import prismal
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismal.llm import bpe
-from prismal.llm.queries import bpe_digests
+from prismal.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
 from prismal.session import materialize
 
+# Python workers get the package's functions by value, so they need no copy on their path.
+cloudpickle.register_pickle_by_value(prismal)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules and the isolation forest keep."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(docs, labels).filter("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier document holds; ``n_chars`` is that of the new text."""
+    out = line_dedup.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dedup.keep_one(docs).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mix: sources weigh the square root of their size."""
+    return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of every text, decoded again for its digest."""
-    return bpe_digests(bpe.round_trip(docs.select("doc_id", "text")))
+    """``doc_id``, ``source``, the ids of every text, their number, and the digest of the text decoded from them."""
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("mix_sources", mix), ("byte_bpe", tokens)]
 
-#: No SQL: the stages fit models and schedules.
+#: No SQL: the stages fit a forest, draw hashed signatures and schedule blocks.
 ORACLE_SQL = None
 
 
