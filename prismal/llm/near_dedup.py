@@ -7,13 +7,14 @@ shingles it has; each dart hits one of k coordinates, and every coordinate keeps
 for a text whose coordinates are not all hit). Two texts agree in a coordinate with the probability of
 their (weighted) Jaccard similarity. Signatures are cut into bands; texts that share a band are candidates.
 
-Candidates are not all pairs of a bucket. Texts with the same shingles are first made one. In every bucket all are
-compared with its smallest member, exactly, by their texts. Links so found give components. Buckets that still
-hold several components give their remaining pairs, less those that the metric rules out: Jaccard distance obeys the triangle
+Candidates are not all pairs of a bucket. Texts with the same shingles are first made one. A bucket's smallest member leads it.
+Each text is compared, exactly and by the whole texts, with the smallest of its leaders; links so found give components. In buckets that still
+hold several components all members are compared with the leader. Buckets that hold several components even then
+give their remaining pairs across components, less those that the metric rules out: Jaccard distance obeys the triangle
 inequality, so two texts whose distances to the same leader differ by more than 1 - threshold can't be near.
-So no link between candidates is lost, and a group of copies of any size costs one comparison for each member.
+So no link between candidates of different components is lost, and a group of copies of any size costs about one comparison for each member.
 
-Defined results: a text without words (null, empty, white space) is a class of its own; shingles are five words, all
+Defined results: texts without words (null, empty, white space) are copies of each other; shingles are five words, all
 the words if fewer; classes are numbered by their smallest doc_id; rows of null doc_id are classes of their own with a null
 class; rows of equal doc_id are one document if they have the same shingles, and else take the smallest class among theirs;
 an empty table gives an empty table; other columns play no part.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +74,7 @@ def darts(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray, n: int, k:
 
 
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = 32, rows: int = 5, width: int = 5, weighted: bool = False) -> DataFrame:
-    """doc_id, ``same`` (128-bit digest of the shingle set, null without words), ``size`` and ``bands`` (a hash for each band)."""
+    """doc_id, ``same`` (128-bit digest of the shingle set), ``size`` and ``bands`` (a hash for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -90,9 +92,8 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands:
                 digest = np.zeros((2, n), np.uint64)
                 for i in range(2):
                     np.add.at(digest[i], owner, mix(hashes * np.uint64(2 * i + 1) + weights.astype(np.uint64) * _STEP))
-                none = size == 0
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([digest[:, i].tobytes() for i in range(n)], pa.binary(), mask=none),
+                    batch.column(0), pa.array([digest[:, i].tobytes() for i in range(n)], pa.binary()),
                     pa.array(size, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(key.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))],
                     names=["doc_id", "same", "size", "bands"])
 
@@ -128,11 +129,11 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = 5, weighted: b
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5,
             width: int = 5, weighted: bool = False) -> DataFrame:
-    """``doc_id``, ``class_id`` and ``n_links``: links found between the document's text and different texts."""
+    """``doc_id`` and ``class_id``, for every row."""
     signed = materialize(signatures(df, doc_id, text, bands, rows, width, weighted), "signatures")
-    worded = signed.filter("same IS NOT NULL AND doc_id IS NOT NULL")
+    worded = signed.filter("doc_id IS NOT NULL")
     # Texts with the same shingles are one: the group's smallest id stands for it. Combined before the shuffle.
-    one = worded.groupBy("same").agg(F.min("doc_id").alias("id"))
+    one = materialize(worded.groupBy("same").agg(F.min("doc_id").alias("id")), "one")
     member = materialize(worded.select("doc_id", "same").join(one, "same").select("doc_id", F.col("id")), "members")
     heads = member.filter("doc_id = id").select("doc_id").distinct()
     keyed = worded.join(heads, "doc_id").dropDuplicates(["doc_id"]).select(
@@ -144,32 +145,40 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = texts.filter(F.col("id").isNotNull()).join(bucket.select("id").distinct(), "id").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
-    star = bucket.filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(similarities(star, texts, width, weighted), "star")
-    links = star.filter(F.col("near") >= threshold).select("a", "b")
-    nodes = bucket.select(F.col("id").alias("node")).distinct()
-    roots = components(nodes, links)
-
+    nodes = materialize(bucket.select(F.col("id").alias("node")).distinct(), "nodes")
+    a_b = ["a", "b"]
+
+    def linked(*found: DataFrame) -> DataFrame:
+        return components(nodes, reduce(DataFrame.unionByName, [f.filter(F.col("near") >= threshold).select(*a_b) for f in found]))
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with their root."""
+        rows = materialize(bucket.join(roots.select(F.col("node").alias("id"), "root"), "id"), "open")
+        several = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("key")
+        return materialize(rows.join(materialize(several, "several"), "key"), "mixed")
+
+    lowest = bucket.filter("leader < id").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
+    star = materialize(similarities(lowest.select(*a_b), texts, width, weighted), "star")
+    roots = linked(star)
+    rest = mixed(roots).filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    more = materialize(similarities(rest.join(star, a_b, "left_anti"), texts, width, weighted), "star")
+    star = star.unionByName(more)
+    roots = linked(star)
     # What is left: pairs of a bucket in different components that the leader's distances don't rule out.
-    open_ = bucket.join(roots.select(F.col("node").alias("id"), "root"), "id")
-    open_ = materialize(open_.join(star.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("near")), ["leader", "id"], "left"), "open")
-    mixed = open_.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("key")
-    rest = open_.join(materialize(mixed, "mixed"), "key").filter("leader < id")  # all pairs with the leader are known
-    x, y = rest.alias("x"), rest.alias("y")
+    rows = mixed(roots).filter("leader < id")  # all comparisons with the leader are known
+    rows = rows.join(star.select(F.col("a").alias("leader"), F.col("b").alias("id"), "near"), ["leader", "id"])
+    x, y = rows.alias("x"), rows.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
                    & (F.abs(F.col("x.near") - F.col("y.near")) <= 1 - threshold)
                    & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = materialize(similarities(pairs, texts, width, weighted).filter(F.col("near") >= threshold).select("a", "b"), "more")
-    links = materialize(links.unionByName(more).distinct(), "links")
-    roots = components(nodes, links)
+    across = materialize(similarities(pairs, texts, width, weighted), "across")
+    roots = linked(star, across)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    found = member.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(degree, "id", "left")
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "id")).alias("class_id"), F.max("n_links").alias("n_links"))
+    found = member.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "id")).alias("class_id"))
     ids = df.select(F.col(doc_id).cast("long").alias("doc_id"))
-    return ids.join(found, "doc_id", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
