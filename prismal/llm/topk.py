@@ -200,7 +200,11 @@ def top_products(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str
 
     ask = blocks.select("qb", F.col("matrix").alias("queries"), F.col("ids").alias("query_ids"), "n")
     # The buckets are numbered from the longest vectors down, so number 0 gives the floors.
-    first = ask.withColumn("bucket", F.lit(0).cast("long")).withColumn("floors", F.lit(None).cast("binary"))
+    def visit(queries: DataFrame, low: int, high: int) -> DataFrame:
+        """One row for each block of queries and each bucket from ``low`` to ``high``."""
+        return queries.withColumn("bucket", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("bucket", F.col("bucket").cast("long"))
+
+    first = visit(ask.withColumn("floors", F.lit(None).cast("binary")), 0, 0)
     first = materialize(met(first.join(buckets.drop("n", "longest"), "bucket")), "first")
     kth = first.groupBy("qb", "q").agg(F.sort_array(F.collect_list("score")).alias("s"))  # at most k for each query
     kth = kth.filter(F.size("s") >= k).groupBy("qb").agg(F.collect_list(F.struct("q", F.col("s")[0].alias("f"))).alias("known"))
@@ -218,12 +222,7 @@ def top_products(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str
     floored = ask.select("qb", "n").join(kth, "qb", "left").select("qb", "n", "known").mapInArrow(floors, "qb long, floors binary")
     # Every block of queries goes once to every other bucket: one row for each meeting, dealt out by the bucket.
     others = buckets.filter("bucket > 0").drop("n", "longest")
-    tickets = ask.drop("n").join(floored, "qb")
-    if n_buckets > 1:
-        tickets = tickets.withColumn("bucket", F.explode(F.sequence(F.lit(1), F.lit(n_buckets - 1))).cast("long"))
-    else:
-        tickets = tickets.withColumn("bucket", F.lit(-1).cast("long"))
-    pairs = tickets.join(others, "bucket")
+    pairs = visit(ask.drop("n").join(floored, "qb"), 1, max(n_buckets - 1, 1)).join(others, "bucket")
     rest = met(pairs)
     everything = first.unionByName(rest)
     order = Window.partitionBy("qb", "q").orderBy(F.desc("score"), "vec_id")
