@@ -148,7 +148,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     numbered = numbered.select("_source", "block", "_number", slot.alias("slot"))
     out = rows.join(numbered, ["_source", "block"])
     place = F.row_number().over(Window.partitionBy("_source", "_number").orderBy("_order", "_tie"))
-    return out.withColumn("place", place).withColumn("block", F.col("_number")).drop("_source", "_number", "_order", "_tie", "_size")
+    kept = [c for c in rows.columns if not c.startswith("_") or c in df.columns]
+    return out.withColumn("place", place).select(*[c for c in kept if c != "block"], F.col("_number").alias("block"), "slot", "place")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of near duplicates of every document, and its number of links."""
+    """The class of near duplicates of every document."""
     return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
