@@ -250,14 +250,15 @@ def pivot_table(df: DataFrame, index: str, columns: str, value: str, how: str, l
     return long.groupBy(index).pivot(columns, list(labels)).agg(F.first("value")).fillna(0)
 
 
-def pivot_totals(df: DataFrame, index: str, columns: str, value: str, k: int = 15) -> DataFrame:
-    """Row totals and column totals of a sum pivot, the largest k of each."""
+def pivot_totals(df: DataFrame, index: str, columns: str, value: str, k: int | None = None) -> DataFrame:
+    """Row totals and column totals of a sum pivot, largest first; with k the largest k of each."""
     long = pivot_long(df, index, columns, value, "sum")
     sides = [
         long.groupBy(F.lit(side).alias("side"), F.col(c).cast("string").alias("label"))
-        .agg(F.sum("value").alias("total")).orderBy(F.col("total").desc(), "label").limit(k)
+        .agg(F.sum("value").alias("total")).orderBy(F.col("total").desc(), "label")
         for side, c in (("row", index), ("column", columns))
     ]
+    sides = sides if k is None else [s.limit(k) for s in sides]
     return sides[0].unionByName(sides[1])
 
 
@@ -268,11 +269,8 @@ def crosstab(df: DataFrame, a: str, b: str, labels: Sequence) -> DataFrame:
 
 
 def crosstab_long(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Contingency counts over the full grid of observed labels, empty cells 0."""
-    counts = df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    labels = counts.agg(F.sort_array(F.collect_set(b)).alias("_labels"))
-    grid = attach_row(counts.select(a).distinct(), labels).select(a, F.explode("_labels").alias(b))
-    return grid.join(counts, [a, b], "left").fillna(0, ["n"])
+    """Contingency counts of the label pairs that occur."""
+    return df.dropna(subset=[a, b]).groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -7,6 +7,8 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +22,20 @@ from prismal.sources.tables import roles
 # --- encoding --------------------------------------------------------------------------------
 
 
-def categories_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """Sorted distinct values; refuses a column with more than ``most`` of them."""
-    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct().limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{column} has more than {most} categories: use label_encode")
+def categories_of(df: DataFrame, column: str) -> list[str]:
+    """Sorted distinct values: one for each column that ``one_hot`` makes of them. See ``one_hot_vector`` for wide columns."""
+    rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct().collect()
     return sorted(r["v"] for r in rows)
 
 
+def one_hot_vector(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """One sparse vector column in place of one column for each category: any number of categories fits."""
+    text = df.withColumn("_text", F.col(column).cast("string"))
+    index = StringIndexer(inputCol="_text", outputCol="_code", stringOrderType="alphabetAsc", handleInvalid="keep")
+    hot = OneHotEncoder(inputCol="_code", outputCol=out or f"{column}_hot", dropLast=True)  # the last is the missing value
+    return Pipeline(stages=[index, hot]).fit(text).transform(text).drop("_text", "_code")
+
+
 def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None, drop_first: bool = False,
             keep: bool = True) -> DataFrame:
     """One 0/1 column ``<column>_<category>`` per category."""

@@ -104,10 +104,11 @@ def area_share(df: DataFrame, x: str, series: str, value: str) -> DataFrame:
     return cells.join(totals, x).select(x, series, "value", percent(F.col("value"), F.col("_total")).alias("share"))
 
 
-def point_sample(df: DataFrame, columns: Sequence[str], keys: Sequence[str], most: int = 5000, seed: int = 42) -> DataFrame:
-    """Up to ``most`` complete points chosen by a hash of the key (a sampling operator: the bound is its purpose)."""
+def point_sample(df: DataFrame, columns: Sequence[str], keys: Sequence[str], most: int | None = None, seed: int = 42) -> DataFrame:
+    """All complete points, or ``most`` of them chosen by a hash of the key."""
     kept = [*keys, *[c for c in columns if c not in keys]]
-    return df.select(*kept).dropna(subset=list(columns)).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(most)
+    points = df.select(*kept).dropna(subset=list(columns))
+    return points if most is None else points.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(most)
 
 
 def scatter_line(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
@@ -121,11 +122,11 @@ def scatter_line(df: DataFrame, x: str, y: str, points: int = 100) -> DataFrame:
         "i", at.alias("x"), (F.col("a") + F.col("b") * at).alias("y"), "r2")
 
 
-def bubble(df: DataFrame, x: str, y: str, size: str, colour: str, keys: Sequence[str], most: int = 5000) -> DataFrame:
+def bubble(df: DataFrame, x: str, y: str, size: str, colour: str, keys: Sequence[str], most: int | None = None) -> DataFrame:
     return point_sample(df, [x, y, size, colour], keys, most)
 
 
-def scatter_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str], most: int = 5000) -> DataFrame:
+def scatter_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str], most: int | None = None) -> DataFrame:
     return point_sample(df, columns, keys, most)
 
 

@@ -12,7 +12,6 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +21,9 @@ from prismal.plans.counts import mode_row
 from prismal.plans.ordered import running_totals
 from prismal.plans.quantiles import quantile_name, quantiles
 from prismal.plans.scalars import attach_row
+from prismal.session import materialize
 
 SEED = 42
-MOST_CLASSES = 1000
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -42,13 +41,11 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_share:
 
     The rank runs in blocks of the hash, so a class of any size is spread over tasks.
     """
-    sizes = value_counts_of(df, label).limit(MOST_CLASSES + 1).collect()
-    if len(sizes) > MOST_CLASSES:
-        raise ValueError(f"{label} has more than {MOST_CLASSES} classes")
-    wanted = F.create_map(*[F.lit(p) for r in sizes for p in (r[label], int(r["n"] * test_share + 0.5))])
+    wanted = value_counts_of(df, label).select(F.col(label).alias("_class"), F.floor(F.col("n") * test_share + 0.5).alias("_wanted"))
     drawn = df.where(F.col(label).isNotNull()).withColumn("_u", _uniform(keys, seed)).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_totals(drawn, "_u", {"_rank": "_one"}, [label], blocks=blocks)
-    return ranked.withColumn("is_test", F.col("_rank") <= wanted[F.col(label)]).drop("_u", "_one", "_rank")
+    quota = ranked.join(wanted, F.col(label) == F.col("_class"))
+    return quota.withColumn("is_test", F.col("_rank") <= F.col("_wanted")).drop("_u", "_one", "_rank", "_class", "_wanted")
 
 
 def random_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = SEED) -> DataFrame:
@@ -94,7 +91,7 @@ def classifier(kind: str, classes: int = 2, **params):
     common = {"featuresCol": "features", "labelCol": "label"}
     if kind == "logistic":
         c, rows = params.get("C", 1.0), params.get("rows", 1000)
-        return LogisticRegression(**common, regParam=1.0 / (c * rows), maxIter=params.get("max_iter", 100))
+        return LogisticRegression(**common, regParam=1.0 / (c * rows), maxIter=params.get("max_iter", 100), standardization=False)
     if kind == "tree":
         return DecisionTreeClassifier(**common, impurity=params.get("criterion", "gini"), maxDepth=params.get("max_depth", 5),
                                       minInstancesPerNode=params.get("min_rows", 1), seed=SEED)
@@ -104,7 +101,7 @@ def classifier(kind: str, classes: int = 2, **params):
     if kind == "gbt":
         base = GBTClassifier(**common, maxIter=params.get("stages", 100), stepSize=params.get("learning_rate", 0.1), maxDepth=params.get("max_depth", 3), seed=SEED)
     elif kind == "linear_svm":
-        base = LinearSVC(**common, regParam=1.0 / (params.get("C", 1.0) * params.get("rows", 1000)), maxIter=params.get("max_iter", 100))
+        base = LinearSVC(**common, regParam=1.0 / (params.get("C", 1.0) * params.get("rows", 1000)), maxIter=params.get("max_iter", 100), standardization=False)
     else:
         raise ValueError(f"unknown classifier {kind!r}")
     return base if classes <= 2 else OneVsRest(classifier=base, **common)
@@ -114,7 +111,10 @@ def regressor(kind: str, **params):
     common = {"featuresCol": "features", "labelCol": "label"}
     if kind in ("linear", "ridge", "lasso"):
         alpha = 0.0 if kind == "linear" else params.get("alpha", 1.0)
-        return LinearRegression(**common, regParam=alpha, elasticNetParam=1.0 if kind == "lasso" else 0.0, maxIter=params.get("max_iter", 100))
+        if kind == "ridge":
+            # The penalty stands beside the sum of squares, Spark's beside their mean; and Spark divides it by the label's spread.
+            alpha *= params["spread"] / params["rows"]
+        return LinearRegression(**common, regParam=alpha, elasticNetParam=1.0 if kind == "lasso" else 0.0, maxIter=params.get("max_iter", 100), standardization=False)
     if kind == "tree":
         return DecisionTreeRegressor(**common, maxDepth=params.get("max_depth", 5), minInstancesPerNode=params.get("min_rows", 1), seed=SEED)
     if kind == "forest":
@@ -144,6 +144,9 @@ def fit_classifier(train: DataFrame, target: str, numeric: Sequence[str], catego
 def fit_regressor(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "linear", **params) -> PipelineModel:
     rows = _training_rows(train, target, numeric, categorical)
     label = SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__")
+    if kind == "ridge":
+        size = rows.agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop(F.col(target).cast("double")).alias("spread")).first()
+        params = {**size.asDict(), **params}
     fitted = Pipeline(stages=[label, *preprocessing(rows, numeric, categorical), regressor(kind, **params)]).fit(rows)
     rows.unpersist()
     return fitted
@@ -212,8 +215,8 @@ def residual_frame(predictions: DataFrame, keep: Sequence[str] = ()) -> DataFram
     return predictions.select(*keep, F.col("label").alias("actual"), F.col("prediction").alias("predicted"), (F.col("label") - F.col("prediction")).alias("residual"))
 
 
-def feature_importance(model: PipelineModel, sample: DataFrame, most: int = 15) -> DataFrame:
-    """Importances of tree models, or coefficients by absolute size (first class of a multinomial model)."""
+def feature_importance(model: PipelineModel, sample: DataFrame, most: int | None = None) -> DataFrame:
+    """All features, or the ``most`` largest: importances of tree models, or coefficients by absolute size (first class of a multinomial model)."""
     meta = model.transform(sample.limit(0)).schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a["name"] for group in meta.values() for a in group}
     last: Transformer = model.stages[-1]
@@ -226,25 +229,26 @@ def feature_importance(model: PipelineModel, sample: DataFrame, most: int = 15)
     else:
         values, kind = last.coefficients.toArray(), "coefficient"
     rows = [(names.get(i, f"feature_{i}"), kind, float(v)) for i, v in enumerate(values)]
-    return sample.sparkSession.createDataFrame(rows, "feature string, kind string, value double").orderBy(F.abs("value").desc(), "feature").limit(most)
+    return sample.sparkSession.createDataFrame(rows, "feature string, kind string, value double").orderBy(F.abs("value").desc(), "feature").limit(len(rows) if most is None else most)
 
 
 def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], keys: Sequence[str], categorical: Sequence[str] = (),
                    kind: str = "logistic", task: str = "classification", folds: int = 5, **params) -> DataFrame:
     """Mean and spread of accuracy or r2 over folds chosen by a key hash."""
     fold = F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(folds)).cast("int")
-    rows = _training_rows(df.withColumn("fold", fold), target, ["fold", *numeric], categorical)
+    rows = materialize(df.where(F.col(target).isNotNull()).withColumn("fold", fold).select("fold", target, *numeric, *categorical), "folds")
     if task == "classification":
-        label = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
-        model, judge = classifier(kind, _class_count(rows, target), **params), MulticlassClassificationEvaluator(metricName="accuracy")
+        judge, fit = MulticlassClassificationEvaluator(metricName="accuracy"), fit_classifier
     else:
-        label = SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__")
-        model, judge = regressor(kind, **params), RegressionEvaluator(metricName="r2")
-    pipe = Pipeline(stages=[*preprocessing(rows, numeric, categorical), model])
-    fitted = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds,
-                            foldCol="fold", parallelism=2).fit(label.transform(rows))
-    rows.unpersist()
-    out = [(kind, judge.getMetricName(), folds, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))]
+        judge, fit = RegressionEvaluator(metricName="r2"), fit_regressor
+    # Fills, scales, labels and penalty are learned from the training folds alone.
+    scores = []
+    for held in range(folds):
+        model = fit(rows.where(F.col("fold") != held), target, numeric, categorical, kind, **params)
+        scores.append(judge.evaluate(model.transform(rows.where(F.col("fold") == held))))
+    mean = sum(scores) / folds
+    spread = (sum((s - mean) ** 2 for s in scores) / folds) ** 0.5
+    out = [(kind, judge.getMetricName(), folds, float(mean), float(spread))]
     return df.sparkSession.createDataFrame(out, "model string, metric string, folds int, mean double, std double")
 
 

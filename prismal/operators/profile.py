@@ -67,8 +67,8 @@ def missing_profile(df: DataFrame, all_columns: bool = False) -> DataFrame:
     return kept.orderBy(F.col("missing").desc(), "column")
 
 
-def missing_indicator(df: DataFrame, keys: Sequence[str] = (), most: int = 50) -> DataFrame:
-    """1.0 where a cell is missing, for the first columns."""
+def missing_indicator(df: DataFrame, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
+    """1.0 where a cell is missing, for all columns or the first ``most``."""
     columns = [c for c in df.columns if c not in keys][:most]
     return df.select(*keys, *[F.col(c).isNull().cast("double").alias(c) for c in columns])
 
@@ -180,7 +180,7 @@ def text_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return text_profile(df, columns).select(
-        "column", "unique", "missing", "missing_pct", F.substring("top", 1, 20).alias("top"), "freq", "freq_pct")
+        "column", "unique", "missing", "missing_pct", "top", "freq", "freq_pct")
 
 
 def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -306,7 +306,7 @@ def suggest_type(df: DataFrame) -> DataFrame:
 # --- combined profile and rules --------------------------------------------------------------
 
 
-def full_profile(df: DataFrame, approx: bool = False) -> DataFrame:
+def full_profile(df: DataFrame) -> DataFrame:
     """One record per column: role, missing, distinct, moments and quartiles, text lengths, date range."""
     by_role = roles(df)
     kinds = dict(df.dtypes)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prismal.functions.moments import percent
 from prismal.operators.profile import distinct_profile, missing_profile, numeric_profile, table_info, text_profile
 from prismal.plans.scalars import attach_row, union_all
+from prismal.session import materialize
 from prismal.sources.tables import roles
 
 
@@ -56,11 +57,11 @@ def quality_issues(df: DataFrame) -> DataFrame:
         table_info(df).where("duplicate_rows > 0").select(
             F.lit("duplicates").alias("issue"), none.alias("column"), F.col("duplicate_rows").cast("double").alias("amount"))]
     if by_role["numeric"]:
-        numeric = numeric_profile(df, by_role["numeric"])
+        numeric = materialize(numeric_profile(df, by_role["numeric"]), "numeric-profile")  # one row per column, read twice
         parts.append(numeric.where("outliers > 0").select(F.lit("outliers").alias("issue"), "column", F.col("outlier_pct").alias("amount")))
         parts.append(numeric.where(F.abs("skew") > 3).select(F.lit("skewed").alias("issue"), "column", F.col("skew").alias("amount")))
     if by_role["categorical"]:
-        facts = text_profile(df, by_role["categorical"])
+        facts = materialize(text_profile(df, by_role["categorical"]), "text-profile")  # one row per column, read by every test
         tests = [
             ("likely_numeric", "numeric_rows > 0.8 * non_null", "numeric_rows"),
             ("likely_datetime", "date_rows > 0.8 * non_null", "date_rows"),

@@ -84,21 +84,23 @@ def _anova_from(groups: DataFrame) -> DataFrame:
         stat.alias("statistic"), f_p_value(stat, d1, d2).alias("p_value"))
 
 
-def anova_oneway(df: DataFrame, by: str, value: str, most: int = 10) -> DataFrame:
-    """One-way analysis of variance over the most frequent groups."""
+def anova_oneway(df: DataFrame, by: str, value: str, most: int | None = None) -> DataFrame:
+    """One-way analysis of variance over all groups, or the ``most`` most frequent."""
     return _anova_from(group_moments(_frequent(df, by, value, most), by, value))
 
 
-def _frequent(df: DataFrame, by: str, value: str, most: int) -> DataFrame:
+def _frequent(df: DataFrame, by: str, value: str, most: int | None) -> DataFrame:
     rows = df.dropna(subset=[by, value])
+    if most is None:
+        return rows
     return rows.join(F.broadcast(most_frequent(rows, by, most).select(by)), by, "left_semi")  # at most ``most`` rows
 
 
-def levene_test(df: DataFrame, by: str, value: str, most: int = 10) -> DataFrame:
+def levene_test(df: DataFrame, by: str, value: str, most: int | None = None) -> DataFrame:
     """Equality of variances: analysis of variance of the distances from the group medians."""
     rows = _frequent(df, by, value, most).select(by, F.col(value).cast("double").alias("v"))
     medians = quantiles(rows, ["v"], [0.5], [by]).select(by, F.col(quantile_name("v"))[0].alias("_mid"))
-    apart = rows.join(F.broadcast(medians), by).select(by, F.abs(F.col("v") - F.col("_mid")).alias("d"))  # at most ``most`` rows
+    apart = rows.join(medians, by).select(by, F.abs(F.col("v") - F.col("_mid")).alias("d"))
     return _anova_from(group_moments(apart, by, "d"))
 
 
@@ -122,13 +124,13 @@ def ttest_two_sample(df: DataFrame, by: str, value: str, first, second) -> DataF
                       t.alias("statistic"), dof.alias("dof"), t_p_value(t, dof).alias("p_value"))
 
 
-def tukey_hsd(df: DataFrame, by: str, value: str, most: int = 10) -> DataFrame:
-    """Pairwise mean differences over the most frequent groups (at most most * (most - 1) / 2 rows)."""
+def tukey_hsd(df: DataFrame, by: str, value: str, most: int | None = None) -> DataFrame:
+    """Pairwise mean differences over all groups, or the ``most`` most frequent: one row for each pair of groups."""
     groups = group_moments(_frequent(df, by, value, most), by, value)
     every = groups.agg(
         F.sort_array(F.collect_list(F.struct(F.col(by).alias("g"), F.col("n").cast("double").alias("n"), "mean"))).alias("gs"),
         F.count(F.lit(1)).cast("double").alias("k"), (F.sum("n") - F.count(F.lit(1))).cast("double").alias("dof"),
-        F.sum((F.col("n") - 1) * F.col("var")).alias("within"))  # one entry per group, at most ``most``
+        F.sum((F.col("n") - 1) * F.col("var")).alias("within"))  # one entry per group
     first = every.select("*", F.posexplode("gs").alias("i", "a"))
     both = first.select("*", F.explode(F.expr("slice(gs, i + 2, size(gs))")).alias("b"))
     gap = F.col("b.mean") - F.col("a.mean")
@@ -141,28 +143,41 @@ def tukey_hsd(df: DataFrame, by: str, value: str, most: int = 10) -> DataFrame:
 # --- association -----------------------------------------------------------------------------
 
 
+def _observed(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Observed cells with their margins and the total; label pairs that never occur have no row."""
+    cells = crosstab_long(df, a, b).withColumnRenamed("n", "observed")
+    rows = cells.groupBy(a).agg(F.sum("observed").alias("_ra"))
+    cols = cells.groupBy(b).agg(F.sum("observed").alias("_cb"))
+    joined = attach_row(cells.join(rows, a).join(cols, b), cells.agg(F.sum("observed").alias("_n")))
+    return joined.withColumn("expected", F.col("_ra") * F.col("_cb") / F.col("_n").cast("double"))
+
+
+def _statistic(cells: DataFrame) -> DataFrame:
+    """One row: sum of o^2 / e over observed cells less n, which is chi-square over the full grid."""
+    return cells.agg((F.sum(F.col("observed") * F.col("observed") / F.col("expected")) - F.max("_n")).alias("plain"), F.sum("observed").alias("n"))
+
+
 def chi2_cells(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Observed and expected counts over the full grid, with each cell's share of chi-square."""
-    grid = crosstab_long(df, a, b).withColumnRenamed("n", "observed")
-    rows = grid.groupBy(a).agg(F.sum("observed").alias("_ra"))
-    cols = grid.groupBy(b).agg(F.sum("observed").alias("_cb"))
-    total = grid.agg(F.sum("observed").alias("_n"))
-    joined = attach_row(grid.join(rows, a).join(cols, b), total)
-    expected = F.col("_ra") * F.col("_cb") / F.col("_n").cast("double")
-    part = F.pow(F.col("observed") - expected, 2) / expected
-    cells = joined.select(a, b, "observed", expected.alias("expected"), part.alias("part"))
-    whole = cells.agg(F.sum("part").alias("_chi2"))
-    return attach_row(cells, whole).select(a, b, "observed", "expected", percent(F.col("part"), F.col("_chi2")).alias("contribution_pct"))
+    """Observed and expected counts of the label pairs that occur, with each cell's share of chi-square over the full grid.
+
+    A pair that doesn't occur would add its expected count.
+    """
+    cells = _observed(df, a, b)
+    part = F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")
+    return attach_row(cells, _statistic(cells).select(F.col("plain").alias("_chi2"))).select(
+        a, b, "observed", "expected", percent(part, F.col("_chi2")).alias("contribution_pct"))
 
 
 def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Chi-square test; Yates' correction at one degree of freedom."""
-    cells = chi2_cells(df, a, b)
-    gap = F.abs(F.col("observed") - F.col("expected"))
-    shrunk = gap - F.least(F.lit(0.5), gap)
-    row = cells.agg(
-        F.count_distinct(a).alias("_r"), F.count_distinct(b).alias("_c"), F.sum(gap * gap / F.col("expected")).alias("plain"),
-        F.sum(shrunk * shrunk / F.col("expected")).alias("yates"), F.sum("observed").alias("n"))
+    """Chi-square test; Yates' correction at one degree of freedom. Work and rows follow the observed cells."""
+    cells = _observed(df, a, b)
+    inverse = lambda c, margin: cells.select(c, margin).distinct().agg(
+        F.count(F.lit(1)).alias(f"_k{margin}"), F.sum(1 / F.col(margin)).alias(f"_i{margin}"))
+    # Two by two, all four cells are equally far from expectation; any observed one tells how far.
+    gap = cells.agg(F.max(F.abs(F.col("observed") - F.col("expected"))).alias("_gap"))
+    row = attach_row(attach_row(attach_row(_statistic(cells), inverse(a, "_ra")), inverse(b, "_cb")), gap)
+    shrunk = F.col("_gap") - F.least(F.lit(0.5), F.col("_gap"))
+    row = row.withColumn("yates", shrunk * shrunk * F.col("n") * F.col("_i_ra") * F.col("_i_cb")).withColumnsRenamed({"_k_ra": "_r", "_k_cb": "_c"})
     dof = ((F.col("_r") - 1) * (F.col("_c") - 1)).cast("double")
     stat = F.when(dof == 1, F.col("yates")).otherwise(F.col("plain"))
     return row.select("n", stat.alias("statistic"), dof.alias("dof"), chi2_p_value(stat, dof).alias("p_value"))

@@ -85,15 +85,16 @@ def infer_types(df: DataFrame, strict: bool = False) -> DataFrame:
     return df.select(*[make[plan[c]](c).alias(c) if plan.get(c) in make else F.col(c) for c in df.columns])
 
 
-def inference_log(df: DataFrame, order_by: Sequence[str], threshold: float = 0.8, sample: int = 100) -> DataFrame:
-    """Staged inference on the first values along an order key: boolean, number, date format, category.
+def inference_log(df: DataFrame, order_by: Sequence[str], threshold: float = 0.8, sample: int | None = None) -> DataFrame:
+    """Staged inference on all values, or the first ``sample`` along an order key: boolean, number, date format, category.
 
     One row per changed column with the new type, format and confidence.
     """
     columns = [c for c in roles(df)["categorical"] if c not in order_by]
     rows = None
     for c in columns:
-        first = df.where(F.col(c).isNotNull()).select(*order_by, F.col(c).alias("v")).orderBy(*order_by).limit(sample)
+        first = df.where(F.col(c).isNotNull()).select(*order_by, F.col(c).alias("v"))
+        first = first if sample is None else first.orderBy(*order_by).limit(sample)
         low = F.lower("v")
         number = F.col("v").try_cast("double")
         facts = first.agg(

@@ -7,7 +7,6 @@ the size estimate, so a small input is a single block with an ordinary window.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -24,38 +23,53 @@ def _as_number(df: DataFrame, order: str) -> Column:
     kind = dict(df.dtypes)[order]
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return F.unix_micros(F.col(order).cast("timestamp"))
-    if kind == "string":
-        low, high = df.agg(F.min(order), F.max(order)).first()
-        shared = len(os.path.commonprefix([low or "", high or ""]))
-        head = F.substring(F.encode(F.substring(order, shared + 1, 6), "UTF-8"), 1, 6)
-        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10)
     return F.col(order)
 
 
-def with_blocks(df: DataFrame, order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
+def _text_borders(df: DataFrame, order: str, blocks: int) -> list[str]:
+    """Block borders among whole texts, from a hash-chosen sample of about 20 values for each block."""
+    rows = df.where(F.col(order).isNotNull()).select(order)
+    share = min(1.0, 20 * blocks / max(rows.count(), 1))
+    picked = rows.where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < share * (1 << 20)).distinct().limit(100 * blocks).collect()
+    values = sorted((r[0] for r in picked), key=lambda v: v.encode())  # the byte order in which texts are compared
+    return sorted({values[i * len(values) // blocks] for i in range(1, blocks)}, key=lambda v: v.encode()) if values else []
+
+
+def with_blocks(df: DataFrame, order: str, blocks: int | None = None, fan_out: float = 1.0) -> tuple[DataFrame, int]:
     """Add a block number that never falls as ``order`` grows; returns the frame and the block count.
 
-    Block borders come from a bounded quantile sketch. Equal values always share
-    a block, so callers collapse repeats (value, count) before ordering.
+    Block borders come from a bounded quantile sketch, or a sample of whole
+    texts. Missing values have a block of their own before all others, NaN one
+    behind them, as they sort. Equal values always share a block, so callers
+    collapse repeats (value, count) before ordering. ``fan_out`` is how many times
+    more rows the frame has than its size estimate knows of.
     """
-    blocks = block_count(df) if blocks is None else blocks
-    if blocks > 1:
+    blocks = block_count(df, fan_out) if blocks is None else blocks
+    if blocks > 1 and dict(df.dtypes)[order] == "string":
+        borders = _text_borders(df, order, blocks)
+        if borders:
+            at = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(order))) + 1
+            return df.withColumn(BLOCK, F.coalesce(at, F.lit(0))), len(borders) + 2
+    elif blocks > 1:
         number = _as_number(df, order)
         probe = df.select(number.cast("double").alias("_at"))
         probs = [i / blocks for i in range(1, blocks)]
-        borders = sorted(set(probe.approxQuantile("_at", probs, 0.25 / blocks)))
+        borders = sorted(set(probe.where(~F.isnan("_at")).approxQuantile("_at", probs, 0.25 / blocks)))
+        borders = [b for b in borders if abs(b) != float("inf")]
         if borders:
             cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_at", outputCol="_cut")
-            placed = cut.transform(df.withColumn("_at", number.cast("double")))
-            return placed.withColumn(BLOCK, F.col("_cut").cast("int")).drop("_at", "_cut"), len(borders) + 1
+            at = number.cast("double")
+            placed = cut.transform(df.withColumn("_at", F.coalesce(F.nanvl(at, F.lit(0.0)), F.lit(0.0))))
+            block = F.when(at.isNull(), 0).when(F.isnan(at), len(borders) + 2).otherwise(F.col("_cut").cast("int") + 1)
+            return placed.withColumn(BLOCK, block).drop("_at", "_cut"), len(borders) + 3
     return df.withColumn(BLOCK, F.lit(0)), 1
 
 
 def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], keys: Sequence[str] = (),
-                   descending: bool = False, blocks: int | None = None) -> DataFrame:
+                   descending: bool = False, blocks: int | None = None, fan_out: float = 1.0) -> DataFrame:
     """Add inclusive running sums ``{new: source}`` along ``order`` (rows with equal order share a total)."""
     keys = list(keys)
-    placed, used = with_blocks(df, order, blocks)
+    placed, used = with_blocks(df, order, blocks, fan_out)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*keys, BLOCK).orderBy(direction).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -95,8 +109,8 @@ def with_previous(df: DataFrame, order: str, values: Sequence[str], keys: Sequen
 
 
 def value_ranks(counts: DataFrame, value: str, n: str = "n", keys: Sequence[str] = (),
-                blocks: int | None = None) -> DataFrame:
+                blocks: int | None = None, fan_out: float = 1.0) -> DataFrame:
     """Average and dense rank per distinct value of a (value, count) frame."""
     ranked = running_totals(counts.withColumn("_one", F.lit(1).cast("long")), value,
-                            {"_upto": n, "dense_rank": "_one"}, keys, blocks=blocks)
+                            {"_upto": n, "dense_rank": "_one"}, keys, blocks=blocks, fan_out=fan_out)
     return ranked.withColumn("avg_rank", F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2.0).drop("_upto", "_one")

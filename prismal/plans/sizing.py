@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 # Largest estimated input that may be ordered or counted inside a single task.
 ONE_TASK_BYTES = ("spark.prismal.oneTaskBytes", 64 * 1024 * 1024)
 # Largest estimated input whose quantiles may be kept as a value map in one task.
-QUANTILE_BYTES = ("spark.prismal.quantileBytes", 8 * 1024 * 1024)
+QUANTILE_BYTES = ("spark.prismal.quantileBytes", 64 * 1024 * 1024)
 # Largest estimated frame that may be broadcast when its row count has no fixed bound.
 BROADCAST_BYTES = ("spark.prismal.broadcastBytes", 64 * 1024 * 1024)
-# Upper end for the number of ordered blocks.
-MAX_BLOCKS = ("spark.prismal.maxBlocks", 4096)
+# Upper end for the number of ordered blocks, where one is set; and their number where no size is known.
+MAX_BLOCKS = ("spark.prismal.maxBlocks", 0)
+UNKNOWN_SIZE_BLOCKS = 4096
 
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
@@ -29,20 +30,20 @@ def estimated_bytes(df: DataFrame) -> float:
         return math.inf
 
 
-def fits_value_map(df: DataFrame) -> bool:
-    return estimated_bytes(df) <= setting(df.sparkSession, QUANTILE_BYTES)
+def fits_value_map(df: DataFrame, fan_out: float = 1.0) -> bool:
+    return estimated_bytes(df) * fan_out <= setting(df.sparkSession, QUANTILE_BYTES)
 
 
 def may_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= setting(df.sparkSession, BROADCAST_BYTES)
 
 
-def block_count(df: DataFrame) -> int:
-    """How many ordered blocks keep each block near the one-task size."""
+def block_count(df: DataFrame, fan_out: float = 1.0) -> int:
+    """How many ordered blocks keep each block near the one-task size. The estimate doesn't know of rows that were exploded: ``fan_out`` times."""
     spark = df.sparkSession
     limit = max(1, setting(spark, ONE_TASK_BYTES))
-    size = estimated_bytes(df)
-    most = setting(spark, MAX_BLOCKS)
+    size = estimated_bytes(df) * fan_out
+    most = setting(spark, MAX_BLOCKS) or math.inf
     if math.isinf(size):
-        return most
+        return int(min(most, UNKNOWN_SIZE_BLOCKS))
     return int(min(most, max(1, math.ceil(size / limit))))

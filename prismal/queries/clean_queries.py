@@ -256,15 +256,14 @@ def _(t):
 
 
 @query("infer_types_strict", f"""
-SELECT o_orderkey, o_totalprice, strptime(order_date_text, '%Y-%m-%d')::DATE AS order_date FROM {TEXT_DATES} v WHERE order_date_text <> 'unknown'""")
+SELECT o_orderkey, o_totalprice, order_date_text FROM {TEXT_DATES} v""")
 def _(t):
-    typed = ty.infer_types(t.text_dates.where("order_date_text <> 'unknown'"), strict=True)
-    return typed.select("o_orderkey", "o_totalprice", F.to_date("order_date_text").alias("order_date"))
+    return ty.infer_types(t.text_dates, strict=True)  # one value that is no date keeps the column as text
 
 
 @query("infer_types_enhanced", f"""
-WITH n AS (SELECT nation_text AS v FROM {DIRTY_CUSTOMER} x ORDER BY c_custkey LIMIT 100),
-o AS (SELECT lower(opt_in_text) AS v FROM {DIRTY_CUSTOMER} x ORDER BY c_custkey LIMIT 100)
+WITH n AS (SELECT nation_text AS v FROM {DIRTY_CUSTOMER} x),
+o AS (SELECT lower(opt_in_text) AS v FROM {DIRTY_CUSTOMER} x)
 SELECT 'opt_in_text' AS 'column', 'string' AS original_type, 'boolean' AS new_type, NULL::VARCHAR AS format,
   (count(*) FILTER (WHERE v IN ('true','yes','1','t','y','false','no','0','f','n')) / count(*))::DOUBLE AS confidence FROM o
 UNION ALL SELECT 'segment', 'string', 'category', NULL, 0.7 FROM (SELECT count(DISTINCT segment) AS u, count(*) AS n FROM {DIRTY_CUSTOMER} x)
@@ -276,10 +275,10 @@ def _(t):
 
 @query("infer_types_enhanced_dates", """
 SELECT 'order_date_text' AS 'column', 'string' AS original_type, 'timestamp' AS new_type, 'yyyy-MM-dd' AS format, 0.85::DOUBLE AS confidence
-FROM (SELECT CAST(o_orderdate AS DATE)::VARCHAR AS v FROM orders WHERE o_orderkey % 25 <> 0 ORDER BY o_orderkey LIMIT 100)
+FROM (SELECT order_date_text AS v FROM """ + TEXT_DATES + """ x)
 HAVING count(*) = count(try_strptime(v, '%Y-%m-%d'))""")
 def _(t):
-    return ty.inference_log(t.text_dates.where("order_date_text <> 'unknown'"), ["o_orderkey"])
+    return ty.inference_log(t.text_dates, ["o_orderkey"])
 
 
 # --- encoding and scaling --------------------------------------------------------------------

@@ -356,20 +356,22 @@ def _(t):
 
 
 @query("pivot_totals", """
-(SELECT 'row' AS side, p_brand AS label, sum(p_retailprice) AS total FROM part GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)
+(SELECT 'row' AS side, p_brand AS label, sum(p_retailprice) AS total FROM part GROUP BY 2)
 UNION ALL
-(SELECT 'column', p_type, sum(p_retailprice) FROM part GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 15)""", "total", 2)
+(SELECT 'column', p_type, sum(p_retailprice) FROM part GROUP BY 2)""", "total", 2)
 def _(t):
     return x.pivot_totals(t.part, "p_brand", "p_type", "p_retailprice")
 
 
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
 @query("crosstab", """
-SELECT event_type, count(*) FILTER (WHERE weekday = 'Monday') AS "Monday",
-       count(*) FILTER (WHERE weekday = 'Saturday') AS "Saturday", count(*) FILTER (WHERE weekday = 'Sunday') AS "Sunday"
+SELECT event_type, """ + ", ".join(f"count(*) FILTER (WHERE weekday = '{d}') AS \"{d}\"" for d in WEEKDAYS) + """
 FROM (SELECT event_type, dayname(ts) AS weekday FROM events) e GROUP BY 1""")
 def _(t):
     tagged = t.events.withColumn("weekday", dates.weekday_name("ts"))
-    return x.crosstab(tagged, "event_type", "weekday", ["Monday", "Saturday", "Sunday"])
+    return x.crosstab(tagged, "event_type", "weekday", WEEKDAYS)
 
 
 @query("melt", """

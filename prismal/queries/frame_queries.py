@@ -99,20 +99,20 @@ def _(t):
     return fr.scatter_line(t.lineitem, "l_quantity", "l_extendedprice")
 
 
-@query("frame_scatter_points")
+@query("frame_scatter_points", "SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL")
 def _(t):
-    return fr.point_sample(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"], 1000)
+    return fr.point_sample(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey", "l_linenumber"])
 
 
 @query("frame_bubble", "SELECT s_suppkey, s_acctbal, s_nationkey, s_name FROM supplier")
 def _(t):
-    return fr.bubble(t.supplier, "s_suppkey", "s_acctbal", "s_nationkey", "s_name", ["s_suppkey"], t.supplier.count()).select(
+    return fr.bubble(t.supplier, "s_suppkey", "s_acctbal", "s_nationkey", "s_name", ["s_suppkey"]).select(
         "s_suppkey", "s_acctbal", "s_nationkey", "s_name")
 
 
-@query("frame_scatter_matrix")
+@query("frame_scatter_matrix", "SELECT l_orderkey, l_linenumber, " + ", ".join(COLS) + " FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in COLS))
 def _(t):
-    return fr.scatter_matrix(t.lineitem, COLS, ["l_orderkey", "l_linenumber"], 500)
+    return fr.scatter_matrix(t.lineitem, COLS, ["l_orderkey", "l_linenumber"])
 
 
 @query("frame_funnel", """

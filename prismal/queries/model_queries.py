@@ -43,7 +43,7 @@ def _classify(t, kind: str, target: str = "l_linestatus", **params):
 
 @query("clf_logistic")
 def _(t):
-    return _classify(t, "logistic", max_iter=50)
+    return _classify(t, "logistic")
 
 
 @query("clf_tree")
@@ -53,22 +53,22 @@ def _(t):
 
 @query("clf_forest")
 def _(t):
-    return _classify(t, "forest", trees=20)
+    return _classify(t, "forest")
 
 
 @query("clf_gbt")
 def _(t):
-    return _classify(t, "gbt", stages=10)
+    return _classify(t, "gbt")
 
 
 @query("clf_gbt_multiclass")
 def _(t):
-    return _classify(t, "gbt", "l_returnflag", stages=5)
+    return _classify(t, "gbt", "l_returnflag")
 
 
 @query("clf_linear_svm")
 def _(t):
-    return _classify(t, "linear_svm", max_iter=20)
+    return _classify(t, "linear_svm")
 
 
 @query("clf_metrics", """
@@ -111,7 +111,7 @@ def _(t):
 
 @query("feature_importance")
 def _(t):
-    model = ml.fit_classifier(t.lineitem, "l_linestatus", ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"], "forest", trees=10)
+    model = ml.fit_classifier(t.lineitem, "l_linestatus", ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag"], "forest")
     return ml.feature_importance(model, t.lineitem)
 
 
@@ -161,12 +161,12 @@ def _(t):
 
 @query("reg_forest")
 def _(t):
-    return _regress(t, "forest", trees=10)
+    return _regress(t, "forest")
 
 
 @query("reg_gbt")
 def _(t):
-    return _regress(t, "gbt", stages=10)
+    return _regress(t, "gbt")
 
 
 @query("reg_metrics", """
@@ -183,6 +183,36 @@ def _(t):
     return ml.residual_frame(ml.predict(model, split.where("is_test"), LINE_KEYS), LINE_KEYS)
 
 
+@query("residual_line", """
+WITH f AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_extendedprice AS actual, a + b * l_quantity AS predicted, l_extendedprice - a - b * l_quantity AS residual FROM lineitem, f""",
+       "actual predicted residual", 3)
+def _(t):
+    model = ml.fit_regressor(t.lineitem, "l_extendedprice", ["l_quantity"])
+    return ml.residual_frame(ml.predict(model, t.lineitem, LINE_KEYS), LINE_KEYS)
+
+
+# One feature, standardized: the sum of squares plus alpha times the squared weight is least at sxy / (sxx + alpha); the
+# lasso's weight is the covariance brought towards zero by alpha.
+ONE_FEATURE = """
+WITH f AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS mx, stddev_samp(l_quantity) AS sx, covar_pop(l_extendedprice, l_quantity) AS cxy,
+  var_pop(l_quantity) AS vx, count(*) AS n FROM lineitem),
+w AS (SELECT my, mx, sx, {weight} AS w FROM f)
+SELECT l_orderkey, l_linenumber, my + w * (l_quantity - mx) / sx AS prediction FROM lineitem, w"""
+
+
+@query("ridge_line", ONE_FEATURE.format(weight="(n * cxy / sx) / (n * vx / (sx * sx) + 500.0)"), "prediction", 2)
+def _(t):
+    model = ml.fit_regressor(t.lineitem, "l_extendedprice", ["l_quantity"], kind="ridge", alpha=500.0)
+    return ml.predict(model, t.lineitem, LINE_KEYS).drop("label")
+
+
+@query("lasso_line", ONE_FEATURE.format(weight="sign(cxy) * greatest(abs(cxy / sx) - 800.0, 0) / (vx / (sx * sx))"), "prediction", 1)
+def _(t):
+    model = ml.fit_regressor(t.lineitem, "l_extendedprice", ["l_quantity"], kind="lasso", alpha=800.0)
+    return ml.predict(model, t.lineitem, LINE_KEYS).drop("label")
+
+
 @query("model_registry")
 def _(t):
     registry = ml.ModelRegistry(work_path(t.spark, "registry"))
@@ -195,12 +225,12 @@ def _(t):
 
 # --- clustering ------------------------------------------------------------------------------
 
-ELEMENTS = [f"e{i}" for i in range(6)]
-E_SQL = "(SELECT vec_id, label AS cluster, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(6)) + " FROM embeddings)"
+ELEMENTS = [f"e{i}" for i in range(64)]
+E_SQL = "(SELECT vec_id, label AS cluster, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(64)) + " FROM embeddings)"
 
 
 def elements(t):
-    return t.embeddings.select("vec_id", F.col("label").alias("cluster"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(6)])
+    return t.embeddings.select("vec_id", F.col("label").alias("cluster"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
 
 
 @query("kmeans")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prismal.operators import profile as p
 from prismal.operators import quality as q
+from prismal.operators.insights import dataset_insights
 from prismal.queries.registry import DIRTY_CUSTOMER, DIRTY_LINEITEM, TEXT_DATES, query
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_tax_sparse"]
@@ -124,7 +125,7 @@ def _(t):
 
 @query("describe_categorical", f"""
 SELECT column_name AS 'column', uniq AS "unique", n_rows - non_null AS missing, 100.0 * (n_rows - non_null) / n_rows AS missing_pct,
-  substr(mode_value, 1, 20) AS top, mode_n AS freq, 100.0 * mode_n / non_null AS freq_pct
+  mode_value AS top, mode_n AS freq, 100.0 * mode_n / non_null AS freq_pct
 FROM ({text_sql(DIRTY_CUSTOMER, ["segment", "name", "nation_text", "opt_in_text"])})""", "missing_pct freq_pct")
 def _(t):
     return p.describe_categorical(t.dirty_customer)
@@ -199,12 +200,11 @@ def _(t):
 
 
 @query("column_stats_datetime_counts", """
-(SELECT 'year' AS part, year(o_orderdate)::INT AS key, year(o_orderdate)::VARCHAR AS label, count(*) AS n FROM orders
- GROUP BY 2, 3 ORDER BY 4 DESC, 2 LIMIT 10)
+SELECT 'year' AS part, year(o_orderdate)::INT AS key, year(o_orderdate)::VARCHAR AS label, count(*) AS n FROM orders GROUP BY 2, 3
 UNION ALL SELECT 'month', month(o_orderdate)::INT, monthname(o_orderdate), count(*) FROM orders GROUP BY 2, 3
 UNION ALL SELECT 'weekday', (isodow(o_orderdate) - 1)::INT, dayname(o_orderdate), count(*) FROM orders GROUP BY 2, 3""")
 def _(t):
-    return p.date_counts(t.orders, "o_orderdate", ["year", "month", "weekday"], top_years=10)
+    return p.date_counts(t.orders, "o_orderdate", ["year", "month", "weekday"])
 
 
 @query("date_coverage", """
@@ -222,10 +222,10 @@ def _(t):
 WITH f AS (SELECT 'order_date_text' AS 'column', count(order_date_text) AS c,
   count(*) FILTER (WHERE {DATE_TRY.replace("{c}", "order_date_text")} IS NOT NULL) AS date_rows,
   count(*) FILTER (WHERE regexp_matches(order_date_text, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}')) AS pattern_rows,
-  count(DISTINCT order_date_text) AS u FROM (SELECT order_date_text FROM {TEXT_DATES} v WHERE order_date_text <> 'unknown'))
-SELECT "column", 'parsed' AS evidence, date_rows, pattern_rows FROM f WHERE c = date_rows""")
+  count(DISTINCT order_date_text) AS u FROM {TEXT_DATES} v)
+SELECT "column", CASE WHEN c = date_rows THEN 'parsed' ELSE 'pattern' END AS evidence, date_rows, pattern_rows FROM f WHERE c = date_rows OR (u < 100 AND pattern_rows > 0.75 * c)""")
 def _(t):
-    return p.potential_datetime_columns(t.text_dates.where("order_date_text <> 'unknown'"))
+    return p.potential_datetime_columns(t.text_dates)
 
 
 @query("suggest_type", f"""
@@ -422,3 +422,46 @@ def _(t):
     after = (t.dirty_lineitem.where("l_linestatus IS NOT NULL")
              .select("l_orderkey", F.col("l_quantity").cast("int").alias("l_quantity"), F.col("l_returnflag").alias("flag")))
     return q.cleaning_diff(before, after)
+
+
+def insights_sql(source: str, numeric: list[str], texts: list[str], dates: list[str], target: str) -> str:
+    """All findings about a table. ``target`` is a query of (column, kind) for the best target."""
+    both = numeric_sql(source, numeric)
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {source} v"
+                               for i, a in enumerate(numeric) for b in numeric[i + 1:])
+    columns = [*numeric, *texts, *dates]
+    holes = per_column(source, columns, "SELECT '{c}' AS c, count(*) - count({c}) AS missing, count(*) AS n FROM {src} v")
+    place = lambda names, c: "CASE " + " ".join(f"WHEN {c} = '{n}' THEN {i}" for i, n in enumerate(names)) + " END"
+    parts = [
+        f"""SELECT 1 AS section, 'overview' AS insight_type, 1 AS place, NULL AS 'column', NULL AS other, count(*)::DOUBLE AS value, {len(columns)}::DOUBLE AS second,
+  'numeric={len(numeric)} categorical={len(texts)} datetime={len(dates)}' AS detail FROM {source} v""",
+        f"""SELECT 2, 'missing', row_number() OVER (ORDER BY missing DESC, {place(INSIGHT_ORDER, 'c')}), c, NULL, missing, 100.0 * missing / n, NULL FROM ({holes}) h WHERE missing > 0""",
+        f"""SELECT 3, 'distribution', row_number() OVER (ORDER BY {place(numeric, 'column_name')}), column_name, NULL, mean, med, concat_ws(',', CASE WHEN skew > 1 THEN 'skewed_right' END,
+  CASE WHEN skew < -1 THEN 'skewed_left' END, CASE WHEN med <> 0 AND abs(mean - med) * 100 / abs(med) > 10 THEN 'mean_off_median' END) FROM ({both})""",
+        f"""SELECT 4, 'breakdown', row_number() OVER (ORDER BY {place(texts, 'column_name')}), column_name, NULL, 100.0 * mode_n / non_null, uniq, mode_value FROM ({text_sql(source, texts)})""",
+        f"""SELECT 5, 'correlation', row_number() OVER (ORDER BY abs(r) DESC, a, b), a, b, r, NULL, CASE WHEN abs(r) > .8 THEN 'strong ' ELSE 'moderate ' END ||
+  CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END FROM ({pairs}) WHERE abs(r) > .6""",
+        f"SELECT 6, 'outliers', row_number() OVER (ORDER BY outlier_pct DESC, {place(numeric, 'column_name')}), column_name, NULL, outlier_pct, NULL, NULL FROM ({both}) WHERE outlier_pct > 5",
+        f"SELECT 8, 'group_comparison', 1, '{numeric[0]}', '{texts[0]}', NULL, NULL, NULL FROM {source} v HAVING count(DISTINCT {texts[0]}) <= 10",
+        f"SELECT 9, 'predictive', 1, c, NULL, NULL, NULL, kind FROM ({target})",
+    ]
+    if dates:
+        varied = per_column(source, numeric, "SELECT '{c}' AS c, count(DISTINCT {c}) AS u FROM {src} v")
+        parts.append(f"SELECT 7, 'time_trend', 1, c, '{dates[0]}', NULL, NULL, NULL FROM ({varied}) WHERE u > 10 QUALIFY row_number() OVER (ORDER BY {place(numeric, 'c')}) = 1")
+    rows = " UNION ALL ".join(parts)
+    return f"SELECT section::INT AS section, insight_type, place::INT AS place, \"column\"::VARCHAR AS 'column', other::VARCHAR AS other, value::DOUBLE AS value, second::DOUBLE AS second, detail::VARCHAR AS detail FROM ({rows})"
+
+
+INSIGHT_ORDER = ["l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice", "l_linestatus", "l_tax_sparse"]
+
+
+@query("dataset_insights", insights_sql(DIRTY_LINEITEM, ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax_sparse"], ["l_returnflag", "l_linestatus"], [],
+       "SELECT 'l_linestatus' AS c, 'classification' AS kind"), "value second", 4)
+def _(t):
+    return dataset_insights(no_dup(t))
+
+
+@query("dataset_insights_dates", insights_sql("orders", ["o_orderkey", "o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"],
+       "SELECT 'o_orderstatus' AS c, 'classification' AS kind"), "value second", 4)
+def _(t):
+    return dataset_insights(t.orders)

@@ -61,7 +61,7 @@ def _(t):
 @query("corr_strength", f"""
 SELECT *, CASE WHEN abs(corr) >= .8 THEN 'Very Strong' WHEN abs(corr) >= .6 THEN 'Strong' WHEN abs(corr) >= .4 THEN 'Moderate'
  WHEN abs(corr) >= .2 THEN 'Weak' ELSE 'Very Weak' END AS strength, CASE WHEN corr > 0 THEN 'Positive' ELSE 'Negative' END AS direction
-FROM ({LINE_PAIRS}) ORDER BY abs(corr) DESC LIMIT 15""", "corr")
+FROM ({LINE_PAIRS})""", "corr")
 def _(t):
     return k.correlation_strength(t.lineitem, COLS)
 
@@ -181,10 +181,9 @@ def _(t):
 
 
 @query("year_over_year", """
-SELECT month(o_orderdate)::INT AS part, avg(o_totalprice) FILTER (WHERE year(o_orderdate) = 1996) AS "1996",
-  avg(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) AS "1997" FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1""", '"1996" "1997"', 4)
+SELECT month(o_orderdate)::INT AS part, year(o_orderdate)::INT AS year, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2""", "value", 4)
 def _(t):
-    return ts.year_over_year_wide(t.orders, "o_orderdate", "o_totalprice", "month", [1996, 1997])
+    return ts.year_over_year(t.orders, "o_orderdate", "o_totalprice", "month")
 
 
 @query("year_over_year_weeks", """

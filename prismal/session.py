@@ -20,18 +20,26 @@ LOCAL_SETTINGS = {
 
 
 def local_session(cores: int | str = "*", memory: str = "12g", **extra: str) -> SparkSession:
-    """A local session for tests and benchmarks. A cluster job passes its own session instead."""
+    """A local session for tests and benchmarks, with a work folder of its own. A cluster job passes its own session instead."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("prismal")
     builder = builder.config("spark.driver.memory", memory)
-    for key, value in {**LOCAL_SETTINGS, **extra}.items():
+    folder = {} if "spark.checkpoint.dir" in extra else {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="prismal-")}
+    for key, value in {**LOCAL_SETTINGS, **folder, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Without the setting a temporary folder serves where one machine is the whole
+    cluster; on any other master this raises, as executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="prismal-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
