@@ -127,6 +127,72 @@ def similarities(pairs: DataFrame, texts: DataFrame, width: int = 5, weighted: b
     return rows.mapInArrow(run, "a long, b long, near double")
 
 
+def block_similarities(hashes: np.ndarray, owner: np.ndarray, weights: np.ndarray, n: int, first: int) -> np.ndarray:
+    """Exact (weighted) Jaccard similarity of each of the first ``first`` texts with each of ``n`` - ``first`` others."""
+    if not len(hashes):
+        return np.ones((first, n - first))  # no words on either side
+    _, place = np.unique(hashes, return_inverse=True)
+    total = np.bincount(owner, weights, minlength=n)
+    shared = np.zeros((first, n - first))
+    for level in range(1, int(weights.max()) + 1):  # the smaller of two counts is the number of levels both reach
+        on = weights >= level
+        used, column = np.unique(place[on], return_inverse=True)
+        matrix = np.zeros((n, len(used)), np.float32)
+        matrix[owner[on], column] = 1
+        shared += matrix[:first] @ matrix[first:].T
+    return shared / np.maximum(total[:first, None] + total[None, first:] - shared, 1)
+
+
+def links_in_blocks(rows: DataFrame, texts: DataFrame, threshold: float, width: int, weighted: bool, per: int = 64) -> DataFrame:
+    """Links (``a``, ``b``, ``near``) between members of different roots of a bucket. ``rows``: ``key``, ``id``, ``root``, ``near`` (to the leader).
+
+    A bucket's members are dealt out by hash to blocks of about ``per``; every block meets each block of its bucket once, in one
+    row, where all its pairs are compared together. Just links leave the task. Long texts are compared in smaller parts of a block.
+    """
+    parts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / per).alias("n_parts"))
+    placed = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n_parts")))
+    member = F.struct("id", "root", "near", "text")
+    blocks = placed.join(texts, "id").groupBy("key", "part", "n_parts").agg(F.collect_list(member).alias("own"))
+    blocks = materialize(blocks, "blocks")
+    left = blocks.select("key", F.col("own").alias("x"), F.explode(F.sequence(F.col("part"), F.col("n_parts") - 1)).alias("part"))
+    met = left.join(blocks.select("key", "part", F.col("own").alias("y")), ["key", "part"]).select("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1)):
+                second = list(_portions(y.as_py()))
+                for a in _portions(x.as_py()):
+                    for b in second:
+                        yield compare(a, b)
+
+    def compare(a: list[dict], b: list[dict]) -> pa.RecordBatch:
+        data, ends = flat_text(pa.array([r["text"] for r in a] + [r["text"] for r in b], pa.string()))
+        hashes, owner, counts = shingles(data, ends, width)
+        weights = counts if weighted else np.ones_like(counts)
+        near = block_similarities(hashes, owner, weights, len(a) + len(b), len(a))
+        ids, roots, lead = ([np.array([r[c] for r in side]) for side in (a, b)] for c in ("id", "root", "near"))
+        ok = (near >= threshold) & (roots[0][:, None] != roots[1][None]) & (np.abs(lead[0][:, None] - lead[1][None]) <= 1 - threshold + 1e-9)
+        i, j = np.nonzero(ok)
+        low, high = np.minimum(ids[0][i], ids[1][j]), np.maximum(ids[0][i], ids[1][j])
+        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(near[i, j], pa.float64())], names=["a", "b", "near"])
+
+    return met.mapInArrow(run, "a long, b long, near double").dropDuplicates(["a", "b"])
+
+
+def _portions(rows: list[dict], most: int = 400_000) -> Iterator[list[dict]]:
+    """Consecutive rows with at most ``most`` characters of text together, or one row."""
+    part, size = [], 0
+    for row in rows:
+        n = len(row["text"] or "")
+        if part and size + n > most:
+            yield part
+            part, size = [], 0
+        part.append(row)
+        size += n
+    if part:
+        yield part
+
+
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5,
             width: int = 5, weighted: bool = False) -> DataFrame:
     """``doc_id`` and ``class_id``, for every row."""
@@ -145,35 +211,42 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     texts = texts.filter(F.col("id").isNotNull()).join(bucket.select("id").distinct(), "id").dropDuplicates(["id"])
     texts = materialize(texts, "texts")
-    nodes = materialize(bucket.select(F.col("id").alias("node")).distinct(), "nodes")
     a_b = ["a", "b"]
 
-    def linked(*found: DataFrame) -> DataFrame:
-        return components(nodes, reduce(DataFrame.unionByName, [f.filter(F.col("near") >= threshold).select(*a_b) for f in found]))
+    def links(found: DataFrame) -> DataFrame:
+        return found.filter(F.col("near") >= threshold).select(*a_b)
+
+    def joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+        """Roots after more links: components of the components, of which few are touched."""
+        top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        edges = links(found).join(top("a"), "a").join(top("b"), "b").filter("ra <> rb")
+        edges = materialize(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "root-links")
+        if edges.isEmpty():
+            return roots
+        higher = components(edges.select(F.explode(F.array(*a_b)).alias("node")).distinct(), edges)
+        moved = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+        return materialize(moved.select("node", F.coalesce("_to", "root").alias("root")), "roots")
 
-    def mixed(roots: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components, with their root."""
-        rows = materialize(bucket.join(roots.select(F.col("node").alias("id"), "root"), "id"), "open")
+    def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Of the buckets' members those of buckets that hold several components, with their root."""
+        rows = materialize(rows.join(roots.select(F.col("node").alias("id"), "root"), "id"), "open")
         several = rows.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("key")
         return materialize(rows.join(materialize(several, "several"), "key"), "mixed")
 
     lowest = bucket.filter("leader < id").groupBy(F.col("id").alias("b")).agg(F.min("leader").alias("a"))
     star = materialize(similarities(lowest.select(*a_b), texts, width, weighted), "star")
-    roots = linked(star)
-    rest = mixed(roots).filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    more = materialize(similarities(rest.join(star, a_b, "left_anti"), texts, width, weighted), "star")
-    star = star.unionByName(more)
-    roots = linked(star)
-    # What is left: pairs of a bucket in different components that the leader's distances don't rule out.
-    rows = mixed(roots).filter("leader < id")  # all comparisons with the leader are known
-    rows = rows.join(star.select(F.col("a").alias("leader"), F.col("b").alias("id"), "near"), ["leader", "id"])
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-                   & (F.abs(F.col("x.near") - F.col("y.near")) <= 1 - threshold)
-                   & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size")))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    across = materialize(similarities(pairs, texts, width, weighted), "across")
-    roots = linked(star, across)
+    nodes = materialize(bucket.select(F.col("id").alias("node")).distinct().withColumn("root", F.col("node")), "nodes")
+    roots = joined(nodes, star)
+    rows = mixed(bucket, roots)
+    if not rows.isEmpty():
+        rest = rows.filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        more = materialize(similarities(rest.join(star, a_b, "left_anti"), texts, width, weighted), "star")
+        roots, star = joined(roots, more), star.unionByName(more)
+        # What is left: pairs of a bucket in different components that the leader's distances don't rule out.
+        rows = mixed(rows.drop("root"), roots).filter("leader < id")  # all comparisons with the leader are known
+        rows = rows.join(star.select(F.col("a").alias("leader"), F.col("b").alias("id"), "near"), ["leader", "id"])
+        across = materialize(links_in_blocks(rows, texts, threshold, width, weighted), "across")
+        roots = joined(roots, across)
 
     found = member.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "id")).alias("class_id"))
