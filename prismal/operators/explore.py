@@ -48,21 +48,24 @@ def text_predicate(column: str, pattern: str) -> Column:
     return F.col(column).rlike("(?i)" + pattern)
 
 
-def filter_multi(df: DataFrame, filters: Mapping[str, Mapping]) -> DataFrame:
-    """Keep rows that pass every ``{column: {type, operator, value}}``; unknown columns are skipped."""
+def _all_tests(df: DataFrame, filters: Mapping[str, Mapping]) -> Column:
+    """Whether a row passes every filter; unknown columns are skipped."""
     kinds = {"numeric": numeric_predicate, "categorical": category_predicate, "datetime": datetime_predicate,
              "text": lambda c, _op, v: text_predicate(c, v)}
     tests = [kinds[spec["type"]](c, spec.get("operator", "equals"), spec["value"])
              for c, spec in filters.items() if c in df.columns]
-    return df.where(reduce(lambda a, b: a & b, tests)) if tests else df
+    return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def filter_multi(df: DataFrame, filters: Mapping[str, Mapping]) -> DataFrame:
+    """Keep rows that pass every ``{column: {type, operator, value}}``; unknown columns are skipped."""
+    return df.where(_all_tests(df, filters))
 
 
 def retained(df: DataFrame, filters: Mapping[str, Mapping]) -> DataFrame:
     """Rows before and after a filter and the kept share, in one pass."""
-    flag = filter_multi(df.withColumn("_row", F.lit(1)), filters)
-    after = flag.agg(F.count("_row").alias("rows_after"))
-    before = df.agg(F.count(F.lit(1)).alias("rows_before"))
-    return attach_row(before, after).withColumn("retained_pct", percent(F.col("rows_after"), F.col("rows_before")))
+    row = df.agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(_all_tests(df, filters)).alias("rows_after"))
+    return row.withColumn("retained_pct", percent(F.col("rows_after"), F.col("rows_before")))
 
 
 # --- projections -----------------------------------------------------------------------------

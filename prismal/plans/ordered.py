@@ -96,7 +96,8 @@ def with_previous(df: DataFrame, order: str, values: Sequence[str], keys: Sequen
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
     if used == 1:
         return placed.select("*", *[F.lag(v).over(inside).alias(prefix + v) for v in values]).drop(BLOCK)
-    last = F.max_by(F.struct(*[F.col(v).alias(v) for v in values]), F.col(order)).alias("_last")
+    packed = F.struct(*[F.col(v).alias(v) for v in values])
+    last = F.coalesce(F.max_by(packed, F.col(order)), F.any_value(packed)).alias("_last")  # the row without an order value stands alone
     across = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = placed.groupBy(*keys, BLOCK).agg(last).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_block"),
