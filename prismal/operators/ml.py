@@ -233,9 +233,9 @@ def feature_importance(model: PipelineModel, sample: DataFrame, most: int | None
 
 
 def cross_validate(df: DataFrame, target: str, numeric: Sequence[str], keys: Sequence[str], categorical: Sequence[str] = (),
-                   kind: str = "logistic", task: str = "classification", folds: int = 5, **params) -> DataFrame:
-    """Mean and spread of accuracy or r2 over folds chosen by a key hash."""
-    fold = F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(folds)).cast("int")
+                   kind: str = "logistic", task: str = "classification", folds: int = 5, fold: Column | None = None, **params) -> DataFrame:
+    """Mean and spread of accuracy or r2 over folds chosen by a key hash, or by ``fold``: 0 to ``folds`` - 1."""
+    fold = F.pmod(F.xxhash64(*keys, F.lit(SEED)), F.lit(folds)).cast("int") if fold is None else fold.cast("int")
     rows = materialize(df.where(F.col(target).isNotNull()).withColumn("fold", fold).select("fold", target, *numeric, *categorical), "folds")
     if task == "classification":
         judge, fit = MulticlassClassificationEvaluator(metricName="accuracy"), fit_classifier

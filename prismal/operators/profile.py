@@ -217,7 +217,7 @@ def text_length_histogram(df: DataFrame, column: str, bins: int = 30) -> DataFra
 def column_sample(df: DataFrame, column: str, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Up to n non-missing values, chosen by a hash of the key (the same rows on every run)."""
     return (df.where(F.col(column).isNotNull()).select(*keys, column)
-            .orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n))
+            .orderBy(F.md5(F.concat_ws("|", *keys, F.lit(seed))), *keys, column).limit(n))
 
 
 # --- dates -----------------------------------------------------------------------------------

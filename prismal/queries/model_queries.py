@@ -125,6 +125,15 @@ def _(t):
     return ml.cross_validate(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], LINE_KEYS, kind="linear", task="regression")
 
 
+@query("cross_validate_line", """
+WITH k AS (SELECT unnest(range(5)) AS k),
+f AS (SELECT k, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM k, lineitem WHERE l_orderkey % 5 <> k GROUP BY k),
+r AS (SELECT k, 1 - sum((l_extendedprice - a - b * l_quantity) ^ 2) / (count(*) * var_pop(l_extendedprice)) AS r2 FROM f, lineitem WHERE l_orderkey % 5 = k GROUP BY k)
+SELECT 'linear' AS model, 'r2' AS metric, 5::INT AS folds, avg(r2) AS mean, stddev_pop(r2) AS std FROM r""", "mean std")
+def _(t):
+    return ml.cross_validate(t.lineitem, "l_extendedprice", ["l_quantity"], LINE_KEYS, kind="linear", task="regression", fold=F.col("l_orderkey") % 5)
+
+
 @query("cross_validate_classifier")
 def _(t):
     return ml.cross_validate(t.lineitem, "l_linestatus", ["l_quantity", "l_discount"], LINE_KEYS, ["l_returnflag"], kind="tree")
@@ -258,6 +267,17 @@ def _(t):
     return cl.pca_2d(elements(t), ELEMENTS, ["vec_id"])
 
 
+# Two standardized columns: the components are their sum and difference, of variance 1 + |r| and 1 - |r|.
+@query("pca_two_columns", """
+WITH f AS (SELECT avg(c_acctbal) AS m1, stddev_samp(c_acctbal) AS d1, avg(c_nationkey) AS m2, stddev_samp(c_nationkey) AS d2, corr(c_acctbal, c_nationkey) AS r FROM customer)
+SELECT c_custkey, abs(((c_acctbal - m1) / d1 + sign(r) * (c_nationkey - m2) / d2) / sqrt(2)) AS pc1,
+  abs(((c_acctbal - m1) / d1 - sign(r) * (c_nationkey - m2) / d2) / sqrt(2)) AS pc2, (1 + abs(r)) / 2 AS explained_1, (1 - abs(r)) / 2 AS explained_2 FROM customer, f""",
+       "pc1 pc2 explained_1 explained_2", 5)
+def _(t):
+    found = cl.pca_2d(t.customer, ["c_acctbal", "c_nationkey"], ["c_custkey"])
+    return found.withColumns({c: F.abs(c) for c in ("pc1", "pc2")})
+
+
 @query("cluster_sizes", "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1")
 def _(t):
     return cl.cluster_sizes(elements(t))

@@ -175,7 +175,9 @@ def _(t):
     return p.text_length_histogram(t.conversations, "text")
 
 
-@query("column_sample")
+@query("column_sample", f"""
+SELECT l_orderkey, l_linenumber, dup, l_quantity FROM {DIRTY_LINEITEM} v WHERE l_quantity IS NOT NULL
+ORDER BY md5(concat_ws('|', l_orderkey, l_linenumber, dup, 42)), l_orderkey, l_linenumber, dup, l_quantity LIMIT 5""")
 def _(t):
     return p.column_sample(t.dirty_lineitem, "l_quantity", 5, ["l_orderkey", "l_linenumber", "dup"])
 

@@ -290,6 +290,13 @@ def _(t):
     return ts.pacf(monthly(t), 24)
 
 
+@query("pacf_two_lags", f"""
+WITH a AS (SELECT max(acf) FILTER (WHERE lag = 1) AS r1, max(acf) FILTER (WHERE lag = 2) AS r2 FROM ({ACF}))
+SELECT 0::INT AS lag, 1.0::DOUBLE AS pacf FROM a UNION ALL SELECT 1, r1 FROM a UNION ALL SELECT 2, (r2 - r1 * r1) / (1 - r1 * r1) FROM a""", "pacf")
+def _(t):
+    return ts.pacf(monthly(t), 2).select("lag", "pacf")
+
+
 @query("seasonal_lag_hint", f"""
 WITH d AS (SELECT lag - lag(lag) OVER (ORDER BY lag) AS space FROM ({ACF}) WHERE significant)
 SELECT space FROM d WHERE space IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, space LIMIT 1""")

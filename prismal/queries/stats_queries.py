@@ -178,6 +178,44 @@ def _(t):
     return s.ols_multiple(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"])
 
 
+# Two predictors: coefficients and errors from sums of squares and products about the means.
+OLS_TWO = """
+WITH f AS (SELECT count(*) AS n, avg(l_extendedprice) AS my, avg(l_quantity) AS m1, avg(l_discount) AS m2, count(*) * var_pop(l_extendedprice) AS syy,
+  count(*) * var_pop(l_quantity) AS s11, count(*) * var_pop(l_discount) AS s22, count(*) * covar_pop(l_quantity, l_discount) AS s12,
+  count(*) * covar_pop(l_quantity, l_extendedprice) AS s1y, count(*) * covar_pop(l_discount, l_extendedprice) AS s2y FROM lineitem),
+b AS (SELECT *, s11 * s22 - s12 * s12 AS det, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM f),
+e AS (SELECT *, 1 - (syy - b1 * s1y - b2 * s2y) / syy AS r2, (syy - b1 * s1y - b2 * s2y) / (n - 3) AS v FROM b)
+SELECT 'l_quantity' AS term, b1 AS coefficient, sqrt(v * s22 / det) AS std_error, b1 / sqrt(v * s22 / det) AS t, r2 FROM e
+UNION ALL SELECT 'l_discount', b2, sqrt(v * s11 / det), b2 / sqrt(v * s11 / det), r2 FROM e
+UNION ALL SELECT 'intercept', my - b1 * m1 - b2 * m2, sqrt(v * (1.0 / n + (m1 * m1 * s22 + m2 * m2 * s11 - 2 * m1 * m2 * s12) / det)),
+  (my - b1 * m1 - b2 * m2) / sqrt(v * (1.0 / n + (m1 * m1 * s22 + m2 * m2 * s11 - 2 * m1 * m2 * s12) / det)), r2 FROM e"""
+
+
+@query("ols_two_predictors", OLS_TWO, "coefficient std_error t r2", 3)
+def _(t):
+    return s.ols_multiple(t.lineitem, "l_extendedprice", ["l_quantity", "l_discount"]).select("term", "coefficient", "std_error", "t", "r2")
+
+
+@query("vif_three", """
+WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_discount) AS b, corr(l_extendedprice, l_discount) AS c FROM lineitem),
+d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r)
+SELECT 'l_quantity' AS 'column', (1 - c * c) / det AS vif FROM d UNION ALL SELECT 'l_extendedprice', (1 - b * b) / det FROM d
+UNION ALL SELECT 'l_discount', (1 - a * a) / det FROM d""", "vif")
+def _(t):
+    return s.vif(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"]).select("column", "vif")
+
+
+# One 0/1 predictor: the odds ratio of the two-by-two table.
+@query("logit_two_by_two", """
+WITH c AS (SELECT count(*) FILTER (WHERE b AND e) AS be, count(*) FILTER (WHERE b AND NOT e) AS bn, count(*) FILTER (WHERE NOT b AND e) AS ne,
+  count(*) FILTER (WHERE NOT b AND NOT e) AS nn FROM (SELECT l_extendedprice > 50000 AS b, l_linestatus = (SELECT max(l_linestatus) FROM lineitem) AS e FROM lineitem))
+SELECT 'big' AS term, ln(be * nn / (bn * ne)) AS coefficient, sqrt(1.0 / be + 1.0 / bn + 1.0 / ne + 1.0 / nn) AS std_error, be * nn / (bn * ne) AS odds_ratio FROM c
+UNION ALL SELECT 'intercept', ln(ne / nn), sqrt(1.0 / ne + 1.0 / nn), ne / nn FROM c""", "coefficient std_error odds_ratio", 5)
+def _(t):
+    rows = t.lineitem.select("l_linestatus", (F.col("l_extendedprice") > 50000).cast("double").alias("big"))
+    return s.logit_regression(rows, "l_linestatus", ["big"]).select("term", "coefficient", "std_error", "odds_ratio")
+
+
 @query("vif", """
 SELECT unnest(['l_quantity', 'l_extendedprice']) AS 'column', 1 / (1 - r * r) AS vif, CASE WHEN 1 / (1 - r * r) >= 10 THEN 'high'
  WHEN 1 / (1 - r * r) >= 5 THEN 'moderate' ELSE 'low' END AS band FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem)""", "vif")
