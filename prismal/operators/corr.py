@@ -36,9 +36,9 @@ def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranks(cells: DataFrame, side: str, blocks: int | None, pairs: int) -> DataFrame:
+def _ranks(cells: DataFrame, side: str, blocks: int | None) -> DataFrame:
     counts = cells.groupBy("pair", side).agg(F.sum("n").alias("n"))
-    ranked = value_ranks(counts, side, keys=["pair"], blocks=blocks, fan_out=pairs)
+    ranked = value_ranks(counts, side, keys=["pair"], blocks=blocks)  # keyed by pair: no group has more rows than the input
     return ranked.select(F.col("pair").alias(f"p_{side}"), F.col(side).alias(f"v_{side}"), F.col("n").alias(f"ties_{side}"),
                          F.col("avg_rank").alias(f"rank_{side}"), F.col("dense_rank").alias(f"dense_{side}"))
 
@@ -56,7 +56,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None, blocks:
     totals = cells.groupBy("pair").agg(F.sum("n").alias("total"))
     joined = cells
     for side in ("x", "y"):
-        joined = joined.join(_ranks(cells, side, blocks, len(pairs)), (F.col("pair") == F.col(f"p_{side}")) & (F.col(side) == F.col(f"v_{side}")))
+        joined = joined.join(_ranks(cells, side, blocks), (F.col("pair") == F.col(f"p_{side}")) & (F.col(side) == F.col(f"v_{side}")))
     centre = (F.col("total") + 1) / 2.0
     dx, dy = F.col("rank_x") - centre, F.col("rank_y") - centre
     sums = joined.join(F.broadcast(totals), "pair").groupBy("pair").agg(  # one total per column pair
@@ -72,7 +72,7 @@ def kendall_parts(df: DataFrame, pairs: Sequence[tuple[str, str]], blocks: int |
     descending y, adding up the lower half met before each row of the upper half.
     """
     cells = pair_cells(df, pairs)
-    ranked = cells.join(_ranks(cells, "x", blocks, len(pairs)).select("p_x", "v_x", (F.col("dense_x") - 1).alias("r")),
+    ranked = cells.join(_ranks(cells, "x", blocks).select("p_x", "v_x", (F.col("dense_x") - 1).alias("r")),
                         (F.col("pair") == F.col("p_x")) & (F.col("x") == F.col("v_x")))
     widest = ranked.groupBy("pair").agg(F.max("r").alias("top"))
     bit = F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1)).alias("bit")
@@ -81,7 +81,7 @@ def kendall_parts(df: DataFrame, pairs: Sequence[tuple[str, str]], blocks: int |
                       F.when(F.expr("shiftright(r, bit) & 1") == 0, F.col("n")).otherwise(0).alias("low"),
                       F.when(F.expr("shiftright(r, bit) & 1") == 1, F.col("n")).otherwise(0).alias("high"))
               .groupBy("pair", "bit", "prefix", "y").agg(F.sum("low").alias("low"), F.sum("high").alias("high")))
-    walked = running_totals(levels, "y", {"upto": "low"}, ["pair", "bit", "prefix"], descending=True, blocks=blocks, fan_out=20 * len(pairs))
+    walked = running_totals(levels, "y", {"upto": "low"}, ["pair", "bit", "prefix"], descending=True, blocks=blocks)
     discordant = walked.groupBy("pair").agg(
         F.sum(F.col("high").cast("double") * (F.col("upto") - F.col("low"))).alias("discordant"))
 

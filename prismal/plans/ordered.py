@@ -35,16 +35,15 @@ def _text_borders(df: DataFrame, order: str, blocks: int) -> list[str]:
     return sorted({values[i * len(values) // blocks] for i in range(1, blocks)}, key=lambda v: v.encode()) if values else []
 
 
-def with_blocks(df: DataFrame, order: str, blocks: int | None = None, fan_out: float = 1.0) -> tuple[DataFrame, int]:
+def with_blocks(df: DataFrame, order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
     """Add a block number that never falls as ``order`` grows; returns the frame and the block count.
 
     Block borders come from a bounded quantile sketch, or a sample of whole
     texts. Missing values have a block of their own before all others, NaN one
     behind them, as they sort. Equal values always share a block, so callers
-    collapse repeats (value, count) before ordering. ``fan_out`` is how many times
-    more rows the frame has than its size estimate knows of.
+    collapse repeats (value, count) before ordering.
     """
-    blocks = block_count(df, fan_out) if blocks is None else blocks
+    blocks = block_count(df) if blocks is None else blocks
     if blocks > 1 and dict(df.dtypes)[order] == "string":
         borders = _text_borders(df, order, blocks)
         if borders:
@@ -66,10 +65,10 @@ def with_blocks(df: DataFrame, order: str, blocks: int | None = None, fan_out: f
 
 
 def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], keys: Sequence[str] = (),
-                   descending: bool = False, blocks: int | None = None, fan_out: float = 1.0) -> DataFrame:
+                   descending: bool = False, blocks: int | None = None) -> DataFrame:
     """Add inclusive running sums ``{new: source}`` along ``order`` (rows with equal order share a total)."""
     keys = list(keys)
-    placed, used = with_blocks(df, order, blocks, fan_out)
+    placed, used = with_blocks(df, order, blocks)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*keys, BLOCK).orderBy(direction).rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -110,8 +109,8 @@ def with_previous(df: DataFrame, order: str, values: Sequence[str], keys: Sequen
 
 
 def value_ranks(counts: DataFrame, value: str, n: str = "n", keys: Sequence[str] = (),
-                blocks: int | None = None, fan_out: float = 1.0) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Average and dense rank per distinct value of a (value, count) frame."""
     ranked = running_totals(counts.withColumn("_one", F.lit(1).cast("long")), value,
-                            {"_upto": n, "dense_rank": "_one"}, keys, blocks=blocks, fan_out=fan_out)
+                            {"_upto": n, "dense_rank": "_one"}, keys, blocks=blocks)
     return ranked.withColumn("avg_rank", F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2.0).drop("_upto", "_one")

@@ -30,19 +30,23 @@ def estimated_bytes(df: DataFrame) -> float:
         return math.inf
 
 
-def fits_value_map(df: DataFrame, fan_out: float = 1.0) -> bool:
-    return estimated_bytes(df) * fan_out <= setting(df.sparkSession, QUANTILE_BYTES)
+def fits_value_map(df: DataFrame) -> bool:
+    return estimated_bytes(df) <= setting(df.sparkSession, QUANTILE_BYTES)
 
 
 def may_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= setting(df.sparkSession, BROADCAST_BYTES)
 
 
-def block_count(df: DataFrame, fan_out: float = 1.0) -> int:
-    """How many ordered blocks keep each block near the one-task size. The estimate doesn't know of rows that were exploded: ``fan_out`` times."""
+def block_count(df: DataFrame) -> int:
+    """How many ordered blocks keep each block near the one-task size.
+
+    The estimate doesn't know of rows that were exploded; where the window has keys along which they were, no key has more
+    rows than the estimate says.
+    """
     spark = df.sparkSession
     limit = max(1, setting(spark, ONE_TASK_BYTES))
-    size = estimated_bytes(df) * fan_out
+    size = estimated_bytes(df)
     most = setting(spark, MAX_BLOCKS) or math.inf
     if math.isinf(size):
         return int(min(most, UNKNOWN_SIZE_BLOCKS))

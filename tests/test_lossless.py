@@ -9,7 +9,6 @@ from prismal import session
 from prismal.operators import corr, features, frames, ml, stats, types
 from prismal.operators.timeseries import diff
 from prismal.plans.ordered import running_totals, value_ranks, with_blocks, with_previous
-from prismal.plans.sizing import block_count
 
 
 def plain(rows):
@@ -48,16 +47,6 @@ def test_rank_correlations_are_the_same_in_blocks(spark, blocks):
         assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-9 for k in one)
 
 
-def test_estimates_count_exploded_rows(spark, tmp_path):
-    spark.range(100_000).write.parquet(str(tmp_path / "t"))
-    df = spark.read.parquet(str(tmp_path / "t"))
-    spark.conf.set("spark.prismal.oneTaskBytes", "100000")
-    try:
-        assert block_count(df, 20) >= 15 * block_count(df)
-    finally:
-        spark.conf.unset("spark.prismal.oneTaskBytes")
-
-
 def test_all_groups_values_and_points_count(spark):
     df = spark.createDataFrame([(f"g{i % 30}", float(i % 30) + (i % 7) / 10) for i in range(3000)], "g string, v double")
     assert stats.anova_oneway(df, "g", "v").first()["k"] == 30 and stats.tukey_hsd(df, "g", "v").count() == 30 * 29 // 2
