@@ -1,4 +1,4 @@
-"""Helpers shared by the text operators: worker-lifetime caches, column passing and two-level running sums."""
+"""Helpers shared by the text operators: worker-lifetime caches, column passing and flat texts."""
 
 from __future__ import annotations
 
@@ -7,11 +7,11 @@ import types
 from collections.abc import Callable
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
-from pyspark.sql.window import Window
 
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -46,7 +46,7 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
     """Consecutive slices of the batch with at most ``limit`` bytes of text each, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
     ends = column.fill_null("").cast(pa.large_binary())
-    offsets = pa.compute.cumulative_sum(pa.compute.binary_length(ends)).to_numpy(zero_copy_only=False) if len(ends) else []
+    offsets = pc.cumulative_sum(pc.binary_length(ends)).to_numpy(zero_copy_only=False) if len(ends) else []
     start = 0
     while start < batch.num_rows:
         base = offsets[start - 1] if start else 0
@@ -59,29 +59,6 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
 
 def flat_text(column: pa.Array):
     """All texts of the column behind each other as bytes, and where each begins and the last ends; null counts as empty."""
-    import numpy as np
-
     data = column.fill_null("").cast(pa.large_binary()).to_pylist()
     ends = np.cumsum([0] + [len(x) for x in data], dtype=np.int64)
     return b"".join(data), ends
-
-
-def running_totals(df: DataFrame, order: str, amount: str, total: str, per: int = 4096, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds ``total``: the sum of ``amount`` over all rows of smaller ``order`` (within ``keys``).
-
-    ``order`` is a dense non-negative integer, unique within the keys. Rows are summed in
-    groups of ``per`` neighbours, then the group totals: no task sees more than ``per`` rows of a
-    key and one row for each group.
-    """
-    group = (F.col(order) / per).cast("long")
-    base = df.groupBy(*keys, group.alias("_group")).agg(F.sum(amount).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    base = base.select(*keys, "_group", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = df.withColumn("_group", group).withColumn(total, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    return local.join(base, [*keys, "_group"]).withColumn(total, F.col(total) + F.col("_base")).drop("_group", "_base")
-
-
-def hashed(*parts: Column | str) -> Column:
-    """A 128-bit digest of the parts as binary; equal parts only."""
-    return F.unhex(F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")) for p in parts])))

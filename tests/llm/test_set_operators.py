@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from prismal.llm import common, mixing, near_dedup, shingles, topk
+from prismal.llm import mixing, near_dedup, shingles, topk
 
 
 def shingle_set(t):
@@ -159,9 +159,3 @@ def test_top_products_of_great_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = {(r.rank, r.vec_id): r.score for r in topk.top_products(df).collect()}
     assert found[(1, 1)] == 2**63 - 1 and found[(3, 2)] == -(2**63)
-
-
-def test_running_totals(spark):
-    df = spark.createDataFrame([("a", i, i * i) for i in range(50)] + [("b", 0, 5)], "k string, n long, v long")
-    got = {(r.k, r.n): r.t for r in common.running_totals(df, "n", "v", "t", per=7, keys=("k",)).collect()}
-    assert all(got[("a", i)] == sum(j * j for j in range(i)) for i in range(50)) and got[("b", 0)] == 0
