@@ -82,7 +82,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], slots: int) -> lis
 
 
 def with_blocks(rows: DataFrame, block_size: int) -> DataFrame:
-    """Adds ``block``: rows of ``_source`` in the order of ``_order``, ``_tie``, a new block with every ``block_size`` of ``_size``.
+    """Adds ``block`` and ``_row``: rows of ``_source`` in the order of ``_order``, ``_tie``, a new block with every ``block_size`` of ``_size``.
 
     A source is split by ranges of the hash, each of about 2,000 rows, so that no task holds a whole source.
     """
@@ -90,12 +90,14 @@ def with_blocks(rows: DataFrame, block_size: int) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("_n") / 2000), F.lit(1)).cast("long")
     top = F.col("_order").cast("double") / float(1 << 63)  # 0 to 1 along the hash
     rows = rows.join(counts, "_source").withColumn("_part", F.least(F.floor(top * parts), parts - 1))
-    sums = rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum"))
+    sums = rows.groupBy("_source", "_part").agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_source", "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_part").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(sums, ["_source", "_part"])
-    return rows.withColumn("_at", F.col("_before") + F.col("_base")).withColumn("block", F.floor(F.col("_at") / block_size)).drop("_n", "_part", "_base", "_before", "_at")
+    sums = materialize(sums.select("_source", "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(b) for c, b in (("_sum", "_base"), ("_rows", "_first"))]), "parts")
+    own = Window.partitionBy("_source", "_part").orderBy("_order", "_tie")
+    inside = own.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).withColumn("_at", F.row_number().over(own)).join(sums, ["_source", "_part"])
+    rows = rows.withColumn("block", F.floor((F.col("_before") + F.col("_base")) / block_size)).withColumn("_row", F.col("_first") + F.col("_at"))
+    return rows.drop("_n", "_part", "_base", "_before", "_at", "_first")
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text",
@@ -121,18 +123,19 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     rows = df.drop("block", "slot", "place").withColumns({
         "_source": name if known is None else known, "_size": size.cast("long"),
         "_order": F.shiftrightunsigned(F.xxhash64(doc_id, text), 1), "_tie": F.xxhash64(F.lit(1), doc_id, text)})
-    rows = materialize(with_blocks(keep(rows), block_size), "blocks")
+    # Not written: what follows reads the small columns of it once for the blocks, and all columns once for the answer.
+    rows = with_blocks(keep(rows), block_size)
     # Blocks are numbered without gaps: a document longer than a block leaves numbers out.
-    per = materialize(rows.groupBy("_source", "block").agg(F.count(F.lit(1)).alias("_docs")), "per-block")
+    per = materialize(rows.groupBy("_source", "block").agg(F.min("_row").alias("_begin"), F.sum("_size").alias("_sum")), "per-block")
     part = Window.partitionBy("_source", F.floor(F.col("block") / 4096))
     low = per.groupBy("_source", F.floor(F.col("block") / 4096).alias("_part")).agg(F.count(F.lit(1)).alias("_c"))
     ahead = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     low = low.select("_source", "_part", F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_base"))
     per = per.withColumn("_part", F.floor(F.col("block") / 4096)).withColumn("_own", F.row_number().over(part.orderBy("block")) - 1)
-    per = per.join(low, ["_source", "_part"]).select("_source", "block", (F.col("_own") + F.col("_base")).cast("long").alias("_number"))
+    per = per.join(low, ["_source", "_part"]).select("_source", "block", "_begin", "_sum", (F.col("_own") + F.col("_base")).cast("long").alias("_number"))
     per = materialize(per, "numbered")
-    found = {r["_source"]: (r["n"], r["total"]) for r in rows.groupBy("_source").agg(F.sum("_size").alias("total")).join(
-        per.groupBy("_source").agg(F.count(F.lit(1)).alias("n")), "_source").collect()}  # one row for each scheduled source
+    sizes = per.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_sum").alias("total"))
+    found = {r["_source"]: (r["n"], r["total"]) for r in sizes.collect()}  # one row for each scheduled source
     if weights is None:
         target = {s: total ** 0.5 for s, (_, total) in found.items()}
     else:
@@ -145,9 +148,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     numbered = per.join(lines, "_source").filter("_number >= _from AND _number < _to")
     j, n = F.col("_number") - F.col("_from"), F.size("_places")
     slot = F.col("_start") + F.floor(j / n) * F.col("_frame") + F.element_at("_places", (j % n + 1).cast("int"))
-    numbered = numbered.select("_source", "block", "_number", slot.alias("slot"))
+    numbered = numbered.select("_source", "block", "_number", "_begin", slot.alias("slot"))
     out = rows.join(numbered, ["_source", "block"])
-    place = F.row_number().over(Window.partitionBy("_source", "_number").orderBy("_order", "_tie"))
+    place = F.col("_row") - F.col("_begin") + 1
     kept = [c for c in rows.columns if not c.startswith("_") or c in df.columns]
     return out.withColumn("place", place).select(*[c for c in kept if c != "block"], F.col("_number").alias("block"), "slot", "place")
 
