@@ -194,8 +194,7 @@ def test_encoders(spark):
     assert features.one_hot(df, "s", drop_first=True).columns == ["s", "s_a_b", "s_b"]
     codes = {r["s"]: r["s_encoded"] for r in features.label_encode(df, "s").collect()}
     assert codes == {None: 0, "a": 1, "a.b": 2, "b": 3}
-    with pytest.raises(ValueError):
-        features.categories_of(df, "s", most=2)
+    assert features.categories_of(df, "s") == ["a", "a.b", "b"]
 
 
 def test_bins_match_pandas(spark):
@@ -276,8 +275,9 @@ def test_frequency_trend_and_forecast(spark):
     out = timeseries.forecast_drift(weekly, 3, "W").orderBy("i").collect()
     assert [r["forecast"] for r in out] == [12.0, 13.0, 14.0] and out[0]["period"] == dt.date(2024, 3, 31)
     assert timeseries.forecast_drift(weekly.limit(5), 3, "W").count() == 0
+    assert timeseries.forecast_drift(weekly, 99, "W").count() == 99
     with pytest.raises(ValueError):
-        timeseries.forecast_drift(weekly, 99, "W")
+        timeseries.forecast_drift(weekly, 0, "W")
     line = timeseries.linear_trend(weekly).first()
     assert line["slope"] == pytest.approx(1.0) and line["direction"] == "increasing"
 
