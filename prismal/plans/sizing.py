@@ -15,6 +15,8 @@ BROADCAST_BYTES = ("spark.prismal.broadcastBytes", 64 * 1024 * 1024)
 # Upper end for the number of ordered blocks, where one is set; and their number where no size is known.
 MAX_BLOCKS = ("spark.prismal.maxBlocks", 0)
 UNKNOWN_SIZE_BLOCKS = 4096
+# Catalyst gives frames whose size it doesn't know, such as rows made on the driver, sizes in exabytes.
+UNKNOWN_SIZE = float(2**60)
 
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
@@ -48,6 +50,6 @@ def block_count(df: DataFrame) -> int:
     limit = max(1, setting(spark, ONE_TASK_BYTES))
     size = estimated_bytes(df)
     most = setting(spark, MAX_BLOCKS) or math.inf
-    if math.isinf(size):
+    if size >= UNKNOWN_SIZE:
         return int(min(most, UNKNOWN_SIZE_BLOCKS))
     return int(min(most, max(1, math.ceil(size / limit))))
