@@ -1,11 +1,12 @@
 """Mixing sources to target weights by proportionate-fair scheduling.
 
-Every source's documents, in hash order, are cut into blocks of about equal size. Block j of a source of weight w
-is released at slot floor(j / w) and due by slot ceil((j + 1) / w); the earliest deadline goes first among the
-released. At every slot a source is then less than one block from its share. Weights are
-fractions a / M of a frame of M slots, so that the schedule repeats with every frame and a block's slot follows from
-its number: just one frame of each phase is scheduled, on the driver. A phase lasts until a source runs out of blocks;
-the others then share its weight in proportion, and their schedule starts anew. No document is dropped or repeated.
+Every source's documents, in hash order, are cut into blocks of about equal size. In the ideal mix all sources flow at
+once, each at a rate proportional to its weight, and where one runs out the others share its weight in proportion. Of the
+blocks, block j of a source is released at the slot in which the ideal mix begins it and due by the end of the slot in which
+the ideal mix ends it; the earliest deadline goes first among the released. At every slot a source is then less than one
+block from what the ideal mix has given it. While all sources last, the releases and deadlines are floor(j / w) and
+ceil((j + 1) / w) of the weight w. All of it is reckoned in whole numbers, so nothing drifts however long the mix is. The driver
+deals the slots, a number for each block, and writes them out by ``slots`` at a time. No document is dropped or repeated.
 
 Defined results: a null text counts as empty; a null source is a source of its own; repeated rows are all mixed in, rows equal in all that
 orders them standing in either order; an empty table gives an empty table; columns named like the outputs are replaced, all others are kept.
@@ -14,20 +15,25 @@ orders them standing in either order; an empty table gives an empty table; colum
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate, islice
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prismal.session import materialize
+from prismal.session import materialize, work_path
 
 NO_SOURCE = "\x00none"
 REST = "\x00rest"
 
 
 def frame_counts(weights: dict[str, float], slots: int) -> dict[str, int]:
-    """Slots of a frame for each source: largest remainders, at least one each. The frame grows with very many sources."""
+    """Weights rounded to slots of a frame: largest remainders, at least one each. ``mix`` takes the weights as they are."""
     slots = max(slots, 4 * len(weights))
     total = sum(weights.values())
     exact = {s: Fraction(w) / Fraction(total) * slots for s, w in weights.items()}
@@ -39,46 +45,70 @@ def frame_counts(weights: dict[str, float], slots: int) -> dict[str, int]:
     return counts  # where many had to be raised to one, the frame is as long as their sum
 
 
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = [Fraction(w) for w in weights]
+    common = math.lcm(*(w.denominator for w in exact))
+    return [w.numerator * (common // w.denominator) for w in exact]
+
+
+def deal(blocks: list[int], weights: list[int]) -> Iterator[tuple[int, int]]:
+    """Source and block number of every slot in turn, earliest deadline first among released blocks; every source has a block.
+
+    A source is drained after blocks / weight. At the virtual time v the ideal mix has dealt the blocks of the drained sources and
+    v times the weights of the others.
+    """
+    n = len(blocks)
+    shift = 2 * max(weights, default=1).bit_length()  # fractions that differ have different keys
+    order = sorted(range(n), key=lambda s: (blocks[s] << shift) // weights[s])
+    drained = [(blocks[s] << shift) // weights[s] for s in order]
+    given = list(accumulate((blocks[s] for s in order), initial=0))
+    rates = list(accumulate((weights[s] for s in order), lambda left, w: left - w, initial=sum(weights)))
+
+    def at(s: int, j: int) -> tuple[int, int]:
+        """The slot boundaries before and behind the moment at which the ideal mix has dealt j blocks of the source."""
+        k = bisect_right(drained, (j << shift) // weights[s])
+        part = rates[k] * j
+        return given[k] + part // weights[s], given[k] - (-part // weights[s])
+
+    number = [0] * n
+    next_ = [at(s, 1) for s in range(n)]  # where the block at hand ends and the following one begins
+    waiting = list(range(n))  # release * n + source
+    released: list[int] = []  # deadline * n + source
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0] < (slot + 1) * n:
+            s = heapq.heappop(waiting) % n
+            heapq.heappush(released, next_[s][1] * n + s)
+        s = heapq.heappop(released) % n
+        yield s, number[s]
+        number[s] += 1
+        if number[s] < blocks[s]:
+            heapq.heappush(waiting, next_[s][0] * n + s)
+            next_[s] = at(s, number[s] + 1)
+
+
 def schedule(counts: dict[str, int]) -> list[str]:
-    """The source of every slot of one frame, earliest deadline first among released blocks."""
-    frame = sum(counts.values())
-    released: list[tuple[int, str, int]] = []
-    waiting = [(0, s, 0) for s in sorted(counts)]  # release, source, number of the block in the frame
-    heapq.heapify(waiting)
-    out = []
-    for slot in range(frame):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(released, (-((-(j + 1) * frame) // counts[s]), s, j))
-        _, s, j = heapq.heappop(released)
-        out.append(s)
-        if j + 1 < counts[s]:
-            heapq.heappush(waiting, ((j + 1) * frame // counts[s], s, j + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], slots: int) -> list[dict]:
-    """Phases in order: ``start`` slot, ``frame`` length, and of each source its ``first`` block, ``last`` (exclusive) and ``places`` in the frame."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = {s: 0 for s in left}
-    start, out = 0, []
-    while left:
-        counts = frame_counts({s: weights[s] for s in left}, slots)
-        order = schedule(counts)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for slot, s in enumerate(order):
-            places[s].append(slot)
-        frame = len(order)
-        ends = {s: (n - 1) // counts[s] * frame + places[s][(n - 1) % counts[s]] for s, n in left.items()}
-        last = min(ends.values())  # the slot of the first source's last block
-        whole, part = divmod(last + 1, frame)
-        used = {s: whole * counts[s] + sum(p < part for p in places[s]) for s in left}
-        out.append({"start": start, "frame": frame, "sources": {s: (done[s], done[s] + used[s], places[s]) for s in left}})
-        start += last + 1
-        for s in used:
-            done[s] += used[s]
-        left = {s: n - used[s] for s, n in left.items() if n > used[s]}
-    return out
+    """The source of every slot of one frame in which each has its count."""
+    names = sorted(counts)
+    sizes = [counts[s] for s in names]
+    return [names[s] for s, _ in deal(sizes, sizes)]
+
+
+def dealt(spark: SparkSession, names: list[str], blocks: list[int], weights: list[int], slots: int) -> DataFrame:
+    """``_source``, ``_number`` and ``slot`` of every block; written in parts where there are more than ``slots``."""
+    turns, start, path = deal(blocks, weights), 0, None
+    while True:
+        part = list(islice(turns, slots))
+        table = pa.table({"_source": pa.array([names[s] for s, _ in part], pa.string()), "_number": pa.array([j for _, j in part], pa.int64()),
+                          "slot": pa.array(range(start, start + len(part)), pa.int64())})
+        frame = spark.createDataFrame(table)
+        start += len(part)
+        if path is None and len(part) < slots:
+            return frame
+        path = path or work_path(spark, "slots")
+        frame.write.mode("append").parquet(path)
+        if len(part) < slots:
+            return spark.read.parquet(path)
 
 
 def with_blocks(rows: DataFrame, block_size: int) -> DataFrame:
@@ -101,7 +131,7 @@ def with_blocks(rows: DataFrame, block_size: int) -> DataFrame:
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text",
-        block_size: int = 200_000, slots: int = 1000, most_sources: int = 1024, keep=lambda rows: rows) -> DataFrame:
+        block_size: int = 200_000, slots: int = 1_000_000, most_sources: int = 1024, keep=lambda rows: rows) -> DataFrame:
     """``df`` with ``block`` (number in its source), ``slot`` (of the whole mix) and ``place`` (within the block).
 
     ``weights`` gives sources their shares of the mix; sources it doesn't name share the weight of the key ``"*"`` as one, or
@@ -142,13 +172,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
         target = {s: float(weights[s] if s in weights else weights.get("*", 1.0)) for s in found}
         if any(w <= 0 for w in target.values()):
             raise ValueError("weights must be positive")
-    plan = phases({s: n for s, (n, _) in found.items()}, target, slots)
-    table = [(s, first, last, p["start"], p["frame"], places) for p in plan for s, (first, last, places) in p["sources"].items() if last > first]
-    lines = df.sparkSession.createDataFrame(table, "_source string, _from long, _to long, _start long, _frame long, _places array<long>")
-    numbered = per.join(lines, "_source").filter("_number >= _from AND _number < _to")
-    j, n = F.col("_number") - F.col("_from"), F.size("_places")
-    slot = F.col("_start") + F.floor(j / n) * F.col("_frame") + F.element_at("_places", (j % n + 1).cast("int"))
-    numbered = numbered.select("_source", "block", "_number", "_begin", slot.alias("slot"))
+    names = sorted(found)
+    lines = dealt(df.sparkSession, names, [found[s][0] for s in names], whole([target[s] for s in names]), slots)
+    numbered = per.join(lines, ["_source", "_number"]).select("_source", "block", "_number", "_begin", "slot")
     out = rows.join(numbered, ["_source", "block"])
     place = F.col("_row") - F.col("_begin") + 1
     kept = [c for c in rows.columns if not c.startswith("_") or c in df.columns]

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -104,6 +105,46 @@ def test_schedule_stays_within_a_block():
             assert all(abs(seen[x] - counts[x] * t / len(order)) < 1 for x in counts)
 
 
+def ideal(blocks, weights, t):
+    """What the ideal mix has given each source by slot t: all flow by weight, the others take over where one runs out."""
+    left, given = {s: Fraction(n) for s, n in enumerate(blocks)}, [Fraction(0)] * len(blocks)
+    while left and t > 0:
+        total = sum(Fraction(weights[s]) for s in left)
+        step = min([t] + [n * total / Fraction(weights[s]) for s, n in left.items()])
+        for s in list(left):
+            got = step * Fraction(weights[s]) / total
+            given[s], left[s] = given[s] + got, left[s] - got
+            if not left[s]:
+                del left[s]
+        t -= step
+    return given
+
+
+@pytest.mark.parametrize("weights,blocks", [([2 / 3, 1 / 3], [60_000, 30_000]), ([1.0, 0.0001], [30_000, 3]), ([0.1, 0.2, 0.7, 3e-5], [9000, 9000, 40_000, 40]),
+                                            ([7, 5, 3, 3, 1, 1e-3], [500, 900, 40, 41, 300, 7])])
+def test_slots_follow_the_target_weights_over_many_frames(weights, blocks):
+    seen = [0] * len(blocks)
+    total, first = sum(Fraction(w) for w in weights), min(n / Fraction(w) for n, w in zip(blocks, weights)) * sum(map(Fraction, weights))
+    for t, (s, j) in enumerate(mixing.deal(blocks, mixing.whole(weights)), 1):
+        assert j == seen[s]
+        seen[s] += 1
+        if t <= first and t % 7 == 0:
+            assert all(abs(seen[x] - Fraction(w) * t / total) < 1 for x, w in enumerate(weights))
+        elif t > first and t % 97 == 0:
+            assert all(abs(a - b) < 1 for a, b in zip(seen, ideal(blocks, weights, t)))
+    assert seen == blocks
+
+
+def test_mix_follows_weights_that_a_frame_does_not_hold(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'b', 'a') AS source", "repeat('x', 99) AS text")
+    out = mixing.mix(df, {"a": 2, "b": 1}, block_size=100, slots=1000).select("slot", "source").collect()
+    order = [r.source for r in sorted(out, key=lambda r: r.slot)]
+    seen = 0
+    for t, s in enumerate(order, 1):
+        seen += s == "b"
+        assert abs(seen - t / 3) < 1
+
+
 @pytest.mark.parametrize("weights", [None, {"hot": 1, "s1": 2, "*": 1}])
 def test_mix_keeps_all_rows_and_its_weights(spark, weights):
     rng = random.Random(8)
