@@ -131,27 +131,19 @@ def with_blocks(rows: DataFrame, block_size: int) -> DataFrame:
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "source", doc_id: str = "doc_id", text: str = "text",
-        block_size: int = 200_000, slots: int = 1_000_000, most_sources: int = 1024, keep=lambda rows: rows) -> DataFrame:
+        block_size: int = 200_000, slots: int = 1_000_000, keep=lambda rows: rows) -> DataFrame:
     """``df`` with ``block`` (number in its source), ``slot`` (of the whole mix) and ``place`` (within the block).
 
     ``weights`` gives sources their shares of the mix; sources it doesn't name share the weight of the key ``"*"`` as one, or
-    an equal weight. Without weights every source has the square root of its size, the ``most_sources`` largest each for
-    itself and the rest as one. Sizes are characters and one for each document. Order by ``slot``, ``place`` to read the mix.
+    an equal weight. Without weights every source, however many there are, has the square root of its size. Sizes are characters and one for each document. Order by ``slot``, ``place`` to read the mix.
     ``keep`` is applied to the measured documents before they are dealt out; a caller that needs no texts drops them there.
     """
     name = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
     size = F.length(F.coalesce(F.col(text), F.lit(""))) + 1
-    known = None
-    if weights is None:
-        totals = df.groupBy(name.alias("s")).agg(F.sum(size.cast("long")).alias("n")).orderBy(F.desc("n"), "s").limit(most_sources + 1).collect()
-        chosen = [r["s"] for r in totals[:most_sources]]
-        grouped = len(totals) > most_sources
-    else:
-        chosen, grouped = [s for s in weights if s != "*"], True
-    if grouped:
-        known = F.when(name.isin(chosen), name).otherwise(F.lit(REST))
+    if weights is not None:
+        name = F.when(name.isin([s for s in weights if s != "*"]), name).otherwise(F.lit(REST))
     rows = df.drop("block", "slot", "place").withColumns({
-        "_source": name if known is None else known, "_size": size.cast("long"),
+        "_source": name, "_size": size.cast("long"),
         "_order": F.shiftrightunsigned(F.xxhash64(doc_id, text), 1), "_tie": F.xxhash64(F.lit(1), doc_id, text)})
     # Not written: what follows reads the small columns of it once for the blocks, and all columns once for the answer.
     rows = with_blocks(keep(rows), block_size)
@@ -165,15 +157,14 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     per = per.join(low, ["_source", "_part"]).select("_source", "block", "_begin", "_sum", (F.col("_own") + F.col("_base")).cast("long").alias("_number"))
     per = materialize(per, "numbered")
     sizes = per.groupBy("_source").agg(F.count(F.lit(1)).alias("n"), F.sum("_sum").alias("total"))
-    found = {r["_source"]: (r["n"], r["total"]) for r in sizes.collect()}  # one row for each scheduled source
+    names, blocks, totals = sizes.orderBy("_source").toArrow().select(["_source", "n", "total"]).to_pydict().values()  # one row for each source
     if weights is None:
-        target = {s: total ** 0.5 for s, (_, total) in found.items()}
+        target = [total ** 0.5 for total in totals]
     else:
-        target = {s: float(weights[s] if s in weights else weights.get("*", 1.0)) for s in found}
-        if any(w <= 0 for w in target.values()):
+        target = [float(weights[s] if s in weights else weights.get("*", 1.0)) for s in names]
+        if any(w <= 0 for w in target):
             raise ValueError("weights must be positive")
-    names = sorted(found)
-    lines = dealt(df.sparkSession, names, [found[s][0] for s in names], whole([target[s] for s in names]), slots)
+    lines = dealt(df.sparkSession, names, blocks, whole(target), slots)
     numbered = per.join(lines, ["_source", "_number"]).select("_source", "block", "_number", "_begin", "slot")
     out = rows.join(numbered, ["_source", "block"])
     place = F.col("_row") - F.col("_begin") + 1

@@ -171,6 +171,28 @@ def test_mix_keeps_all_rows_and_its_weights(spark, weights):
     assert [c for c in mixing.in_order(mixing.mix(df, weights)).columns if c != "slot"][:3] == ["doc_id", "source", "text"]
 
 
+def test_every_source_of_many_has_its_own_share(spark):
+    rng = random.Random(4)
+    rows = [(i, "s%d" % (i % 1500), "x" * rng.randint(0, 20 if i % 1500 else 400)) for i in range(9000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), block_size=40, slots=500).select("doc_id", "source", "block", "slot").collect()
+    assert sorted(r.doc_id for r in out) == list(range(9000))
+    order = dict(sorted({r.slot: (r.source, r.block) for r in out}.items()))
+    assert list(order) == list(range(len(order))) and len({(r.slot, r.source, r.block) for r in out}) == len(order)
+    sizes, blocks = collections.Counter(), collections.Counter(s for s, _ in order.values())
+    for _, s, t in rows:
+        sizes[s] += len(t) + 1
+    seen = collections.Counter()
+    for slot, (s, block) in order.items():
+        assert block == seen[s]
+        seen[s] += 1
+        if slot % 500 == 499:  # the ideal mix: every source at its rate until it runs out
+            low, high = 0.0, float(len(order))
+            for _ in range(200):
+                v = (low + high) / 2
+                low, high = (v, high) if sum(min(n, sizes[x] ** 0.5 * v) for x, n in blocks.items()) < slot + 1 else (low, v)
+            assert all(abs(seen[x] - min(n, sizes[x] ** 0.5 * low)) < 1 + 1e-6 for x, n in blocks.items())
+
+
 def plain_top(rows, k=5, every=50):
     exact = [(i, [int(np.floor(256.0 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
