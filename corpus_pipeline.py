@@ -9,6 +9,7 @@ import prismal
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from prismal.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
 from prismal.session import materialize
@@ -37,14 +38,27 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: sources weigh the square root of their size."""
+    """All documents in the order of the mix: sources weigh the square root of their size. The order is that of the files written and of their rows."""
     return mixing.in_order(mixing.mix(docs)).select(*docs.columns)
 
 
+def with_place(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, with ``place``: the number from 1 of each row in the order of the files and of their rows."""
+    name = F.col("_metadata.file_name")
+    # Numbers of Spark's part files have five digits or more.
+    part = F.coalesce(F.regexp_extract(name, r"^part-([0-9]+)", 1).try_cast("long"), F.lit(0))
+    files = docs.select(name.alias("_file"), part.alias("_part")).groupBy("_part", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    files = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rows = docs.select(*docs.columns, name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.join(F.broadcast(files), "_file")
+    return rows.select(*docs.columns, (F.col("_first") + F.col("_row") + 1).alias("place"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``source``, the ids of every text, their number, and the digest of the text decoded from them."""
-    coded = bpe.round_trip(docs.select("doc_id", "source", "text"))
-    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``doc_id``, ``source``, the ids of every text, their number, the digest of the text decoded from them, and the text's ``place`` in the mix."""
+    coded = bpe.round_trip(with_place(docs.select("doc_id", "source", "text")))
+    return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), "place")
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near), ("mix_sources", mix), ("byte_bpe", tokens)]
