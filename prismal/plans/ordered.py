@@ -1,78 +1,50 @@
-"""Ordered passes (running totals, previous values, ranks) that do not need one global window.
+"""Ordered passes (running totals, previous values, ranks, positions) that do not need one global window.
 
-Rows are cut into blocks along the order column, each block is ordered on its
-own, and the few block totals are carried across. The number of blocks follows
-the size estimate, so a small input is a single block with an ordinary window.
+Rows are dealt to partitions by measured ranges of the order column and written with the number of their
+partition. Each partition is ordered on its own, the totals of the partitions make one small table, and a join
+carries them across. No size is guessed and no border goes through the driver: Spark samples the borders in its
+range exchange, and how many ranges there are follows ``spark.sql.shuffle.partitions``. Where the files below the
+frame fit one task together, an ordinary window does the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.plans.sizing import block_count
+from prismal.plans.sizing import inputs_fit_one_task
+from prismal.session import materialize
 
 BLOCK = "_block"
 
 
-def _as_number(df: DataFrame, order: str) -> Column:
-    """A number that never falls as the order column grows."""
-    kind = dict(df.dtypes)[order]
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(order).cast("timestamp"))
-    return F.col(order)
+def with_blocks(df: DataFrame, order: str, keys: Sequence[str] = (), blocks: int | None = None) -> tuple[DataFrame, bool]:
+    """Add a block number that never falls as (``keys``, ``order``) grow; returns the frame and whether there are several.
 
-
-def _text_borders(df: DataFrame, order: str, blocks: int) -> list[str]:
-    """Block borders among whole texts, from a hash-chosen sample of about 20 values for each block."""
-    rows = df.where(F.col(order).isNotNull()).select(order)
-    share = min(1.0, 20 * blocks / max(rows.count(), 1))
-    picked = rows.where(F.pmod(F.xxhash64(order), F.lit(1 << 20)) < share * (1 << 20)).distinct().limit(100 * blocks).collect()
-    values = sorted((r[0] for r in picked), key=lambda v: v.encode())  # the byte order in which texts are compared
-    return sorted({values[i * len(values) // blocks] for i in range(1, blocks)}, key=lambda v: v.encode()) if values else []
+    Missing values sort first, NaN last. Equal values share a block, so callers collapse repeats (value, count)
+    before ordering. ``blocks``: how many ranges; by default the session's shuffle partitions, as far as they fill.
+    """
+    if blocks == 1 or blocks is None and inputs_fit_one_task(df):
+        return df.withColumn(BLOCK, F.lit(0)), False
+    along = [F.col(c) for c in (*keys, order)]
+    ranged = df.repartitionByRange(blocks, *along) if blocks else df.repartitionByRange(*along)
+    return materialize(ranged.withColumn(BLOCK, F.spark_partition_id()), "ranges"), True
 
 
-def with_blocks(df: DataFrame, order: str, blocks: int | None = None) -> tuple[DataFrame, int]:
-    """Add a block number that never falls as ``order`` grows; returns the frame and the block count.
-
-    Block borders come from a bounded quantile sketch, or a sample of whole
-    texts. Missing values have a block of their own before all others, NaN one
-    behind them, as they sort. Equal values always share a block, so callers
-    collapse repeats (value, count) before ordering.
-    """
-    blocks = block_count(df) if blocks is None else blocks
-    if blocks > 1 and dict(df.dtypes)[order] == "string":
-        borders = _text_borders(df, order, blocks)
-        if borders:
-            at = F.size(F.filter(F.array(*map(F.lit, borders)), lambda b: b <= F.col(order))) + 1
-            return df.withColumn(BLOCK, F.coalesce(at, F.lit(0))), len(borders) + 2
-    elif blocks > 1:
-        number = _as_number(df, order)
-        probe = df.select(number.cast("double").alias("_at"))
-        probs = [i / blocks for i in range(1, blocks)]
-        borders = sorted(set(probe.where(~F.isnan("_at")).approxQuantile("_at", probs, 0.25 / blocks)))
-        borders = [b for b in borders if abs(b) != float("inf")]
-        if borders:
-            cut = Bucketizer(splits=[float("-inf"), *borders, float("inf")], inputCol="_at", outputCol="_cut")
-            at = number.cast("double")
-            placed = cut.transform(df.withColumn("_at", F.coalesce(F.nanvl(at, F.lit(0.0)), F.lit(0.0))))
-            block = F.when(at.isNull(), 0).when(F.isnan(at), len(borders) + 2).otherwise(F.col("_cut").cast("int") + 1)
-            return placed.withColumn(BLOCK, block).drop("_at", "_cut"), len(borders) + 3
-    return df.withColumn(BLOCK, F.lit(0)), 1
+def _same(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(BLOCK) == F.col("_k_block")]
 
 
 def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], keys: Sequence[str] = (),
                    descending: bool = False, blocks: int | None = None) -> DataFrame:
     """Add inclusive running sums ``{new: source}`` along ``order`` (rows with equal order share a total)."""
     keys = list(keys)
-    placed, used = with_blocks(df, order, blocks)
+    placed, several = with_blocks(df, order, keys, blocks)
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(direction).rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    if used == 1:
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(direction).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    if not several:
         return placed.select("*", *[F.sum(src).over(inside).alias(new) for new, src in sums.items()]).drop(BLOCK)
     block_dir = F.col(BLOCK).desc() if descending else F.col(BLOCK).asc()
     earlier = Window.partitionBy(*keys).orderBy(block_dir).rowsBetween(Window.unboundedPreceding, -1)
@@ -80,30 +52,26 @@ def running_totals(df: DataFrame, order: str, sums: Mapping[str, str], keys: Seq
     carried = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_block"),
         *[F.coalesce(F.sum(f"_t_{new}").over(earlier), F.lit(0)).alias(f"_c_{new}") for new in sums])
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(BLOCK) == F.col("_k_block")]
-    joined = placed.join(carried, match)
-    return joined.select(
-        *df.columns,
-        *[(F.col(f"_c_{new}") + F.sum(src).over(inside)).alias(new) for new, src in sums.items()])
+    return placed.join(carried, _same(keys)).select(
+        *df.columns, *[(F.col(f"_c_{new}") + F.sum(src).over(inside)).alias(new) for new, src in sums.items()])
 
 
 def with_previous(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[str] = (),
                   prefix: str = "prev_", blocks: int | None = None) -> DataFrame:
     """Add the values of the previous row along ``order`` (unique within the keys)."""
     keys = list(keys)
-    placed, used = with_blocks(df, order, blocks)
+    placed, several = with_blocks(df, order, keys, blocks)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    if used == 1:
+    if not several:
         return placed.select("*", *[F.lag(v).over(inside).alias(prefix + v) for v in values]).drop(BLOCK)
     packed = F.struct(*[F.col(v).alias(v) for v in values])
-    last = F.coalesce(F.max_by(packed, F.col(order)), F.any_value(packed)).alias("_last")  # the row without an order value stands alone
+    # The row without an order value sorts first: it is a block's last row only where it is its only one.
+    last = F.coalesce(F.max_by(packed, F.col(order)), F.any_value(packed)).alias("_last")
     across = Window.partitionBy(*keys).orderBy(BLOCK)
     carried = placed.groupBy(*keys, BLOCK).agg(last).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_block"),
-        F.lag("_last").over(across).alias("_carry"))
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col(BLOCK) == F.col("_k_block")]
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_block"), F.lag("_last").over(across).alias("_carry"))
     first = F.row_number().over(inside) == 1
-    return placed.join(carried, match).select(
+    return placed.join(carried, _same(keys)).select(
         *df.columns,
         *[F.when(first, F.col(f"_carry.{v}")).otherwise(F.lag(v).over(inside)).alias(prefix + v) for v in values])
 
@@ -114,3 +82,20 @@ def value_ranks(counts: DataFrame, value: str, n: str = "n", keys: Sequence[str]
     ranked = running_totals(counts.withColumn("_one", F.lit(1).cast("long")), value,
                             {"_upto": n, "dense_rank": "_one"}, keys, blocks=blocks)
     return ranked.withColumn("avg_rank", F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2.0).drop("_upto", "_one")
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """The rows, written, with their number from 0 along the columns of ``order``.
+
+    Rows that are equal in all these columns are numbered in any order. No window holds more than one row for each
+    partition: a row's number is its place within its partition plus the rows of the partitions before.
+    """
+    along = [F.col(c) for c in order]
+    placed = df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "positions")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    base = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    base = base.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    joined = placed.withColumn("_part", part).join(F.broadcast(base), "_part")
+    return joined.select(*df.columns, (F.col("_base") + place).alias(name))

@@ -12,11 +12,6 @@ ONE_TASK_BYTES = ("spark.prismal.oneTaskBytes", 64 * 1024 * 1024)
 QUANTILE_BYTES = ("spark.prismal.quantileBytes", 64 * 1024 * 1024)
 # Largest estimated frame that may be broadcast when its row count has no fixed bound.
 BROADCAST_BYTES = ("spark.prismal.broadcastBytes", 64 * 1024 * 1024)
-# Upper end for the number of ordered blocks, where one is set; and their number where no size is known.
-MAX_BLOCKS = ("spark.prismal.maxBlocks", 0)
-UNKNOWN_SIZE_BLOCKS = 4096
-# Catalyst gives frames whose size it doesn't know, such as rows made on the driver, sizes in exabytes.
-UNKNOWN_SIZE = float(2**60)
 
 
 def setting(spark: SparkSession, entry: tuple[str, int]) -> int:
@@ -40,16 +35,15 @@ def may_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= setting(df.sparkSession, BROADCAST_BYTES)
 
 
-def block_count(df: DataFrame) -> int:
-    """How many ordered blocks keep each block near the one-task size.
+def inputs_fit_one_task(df: DataFrame) -> bool:
+    """Whether all that the frame is made from fits one task.
 
-    The estimate doesn't know of rows that were exploded; where the window has keys along which they were, no key has more
-    rows than the estimate says.
+    Adds up what the frame's sources hold (files have a known size, rows made on the driver or by Python mostly don't and
+    count as large). Joins and explodes above them are not estimated: Catalyst multiplies sizes there.
     """
-    spark = df.sparkSession
-    limit = max(1, setting(spark, ONE_TASK_BYTES))
-    size = estimated_bytes(df)
-    most = setting(spark, MAX_BLOCKS) or math.inf
-    if size >= UNKNOWN_SIZE:
-        return int(min(most, UNKNOWN_SIZE_BLOCKS))
-    return int(min(most, max(1, math.ceil(size / limit))))
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except AttributeError:  # no JVM plan behind this frame
+        return False
+    return size <= setting(df.sparkSession, ONE_TASK_BYTES)

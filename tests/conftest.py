@@ -18,7 +18,7 @@ def spark():
 @pytest.fixture()
 def spread(spark):
     """Force the plans for large inputs: no one-task shortcut, no broadcast by estimate."""
-    keys = {"spark.prismal.oneTaskBytes": "1", "spark.prismal.quantileBytes": "1", "spark.prismal.broadcastBytes": "0", "spark.prismal.maxBlocks": "5"}
+    keys = {"spark.prismal.oneTaskBytes": "1", "spark.prismal.quantileBytes": "1", "spark.prismal.broadcastBytes": "0"}
     for key, value in keys.items():
         spark.conf.set(key, value)
     yield spark

@@ -33,9 +33,9 @@ def test_blocks_lose_no_row(odd, blocks):
 
 
 def test_text_blocks_are_even_behind_a_shared_start(odd):
-    placed, n = with_blocks(odd, "name", 8)
+    placed, several = with_blocks(odd, "name", blocks=8)
     sizes = sorted(r["count"] for r in placed.groupBy("_block").count().collect())
-    assert n > 6 and len(sizes) > 6 and sizes[-1] < 400
+    assert several and len(sizes) > 6 and sizes[-1] < 400
 
 
 @pytest.mark.parametrize("blocks", [5])

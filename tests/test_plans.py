@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from prismal.plans import quantiles as qt
 from prismal.plans.counts import mode_row, modes
 from prismal.plans.graph import components
-from prismal.plans.ordered import running_totals, value_ranks, with_previous
-from prismal.plans.sizing import block_count, estimated_bytes, fits_value_map
+from prismal.plans.ordered import positions, running_totals, value_ranks, with_previous
+from prismal.plans.sizing import estimated_bytes, fits_value_map, inputs_fit_one_task
 
 
 def skewed(n=6000, seed=3):
@@ -85,6 +85,26 @@ def test_value_ranks_match_pandas(spark, blocks):
         np.testing.assert_allclose(got[column].sort_index(), want.sort_index())
 
 
+def test_joins_are_not_estimated(spark, tmp_path):
+    """Catalyst multiplies sizes at a join; what decides is the size of the files, so a 100 times larger estimate changes nothing."""
+    spark.range(2000).select("id", (F.col("id") % 3).alias("k")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    both = df.join(df.withColumnRenamed("id", "other").hint("merge"), "k").join(df.withColumnRenamed("id", "third").hint("merge"), "k")
+    spark.conf.set("spark.prismal.oneTaskBytes", str(1 << 20))
+    try:
+        assert estimated_bytes(both) > 100 * (1 << 20) and inputs_fit_one_task(both)
+    finally:
+        spark.conf.unset("spark.prismal.oneTaskBytes")
+
+
+def test_positions_follow_the_order(spread):
+    rows = [(None if i % 11 == 0 else f"s{i % 3}", i * 7919 % 1000) for i in range(3000)]
+    got = positions(spread.createDataFrame(rows, "s string, i long").repartition(5), ["s", "i"], "at").orderBy("at").collect()
+    assert [r.at for r in got] == list(range(3000))
+    assert [(r.s, r.i) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert positions(spread.createDataFrame([], "s string, i long"), ["s"], "at").count() == 0
+
+
 def test_ranks_over_text_and_dates(spark):
     words = [f"Customer#{i:05d}" for i in range(300)] + ["éa", "zz"]
     counts = spark.createDataFrame([(w, 1) for w in words], "v string, n long")
@@ -112,10 +132,10 @@ def test_components_on_chain_and_hub(spark):
 def test_size_checks(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
-    assert 0 < estimated_bytes(df) < 1_000_000 and fits_value_map(df) and block_count(df) == 1
+    assert 0 < estimated_bytes(df) < 1_000_000 and fits_value_map(df) and inputs_fit_one_task(df)
     spark.conf.set("spark.prismal.oneTaskBytes", "1000")
     try:
-        assert block_count(df) > 1
+        assert not inputs_fit_one_task(df)
         spark.conf.set("spark.prismal.quantileBytes", "1000")
         assert not fits_value_map(df)
     finally:
