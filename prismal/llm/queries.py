@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, line_dedup, mixing, near_dedup, pii, quality_rank, quality_rules, token_counts, token_files, topk
+from prismal.llm import bpe, line_dedup, merkle, mixing, near_dedup, pii, quality_rank, quality_rules, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,54 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: the base formats and what boosted trees add."""
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# crc32 of the decimal doc_id is spelled out: DuckDB has none.
+OP11_SQL = """
+WITH RECURSIVE codes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+fields AS (
+  SELECT doc_id, source, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS chosen,
+         list_aggregate(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda v: coalesce(strlen(v) || ':' || v, '-')), 'string_agg', '') AS head
+  FROM documents, codes),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN chosen THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS start
+  FROM fields),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS src, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY source) AS n,
+         row_number() OVER (ORDER BY encode(source) NULLS FIRST, doc_id NULLS FIRST, leaf) AS id
+  FROM hashed WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+up AS (
+  SELECT src, 0 AS level, place, n, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT src, level + 1, place // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)) FROM up WHERE n > 1 GROUP BY src, level, place // 16, n),
+subs AS (SELECT src, hash AS subroot, (SELECT count(*) FROM up WHERE n = 1) AS n FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, src AS place, n, subroot AS hash FROM subs
+  UNION ALL
+  SELECT level + 1, place // 16, (n + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY level, place // 16, n),
+met AS (
+  SELECT l.id, u.level AS step, u.place, u.hash, l.place >> (4 * u.level) AS own FROM leaves l
+  JOIN up u ON u.src = l.src AND u.n > 1 AND u.place // 16 = l.place >> (4 * u.level + 4)
+  UNION ALL
+  SELECT l.id, 100 + t.level, t.place, t.hash, l.src >> (4 * t.level) FROM leaves l JOIN top t ON t.n > 1 AND t.place // 16 = l.src >> (4 * t.level + 4)),
+steps AS (
+  SELECT id, coalesce(string_agg(hash, '' ORDER BY place) FILTER (place < own), '') AS before, coalesce(string_agg(hash, '' ORDER BY place) FILTER (place > own), '') AS after,
+         row_number() OVER (PARTITION BY id ORDER BY step) AS k FROM met GROUP BY id, step),
+folded AS (
+  SELECT id, 0::BIGINT AS k, start AS node FROM leaves
+  UNION ALL
+  SELECT f.id, s.k, sha256(s.before || f.node || s.after) FROM folded f JOIN steps s ON s.id = f.id AND s.k = f.k + 1),
+ends AS (SELECT id, arg_max(node, k) AS folded_root FROM folded GROUP BY id),
+proofs AS (SELECT id, string_agg(before || after, '' ORDER BY k) AS proof FROM steps GROUP BY id),
+root AS (SELECT hash AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subs USING (src) JOIN ends USING (id) LEFT JOIN proofs USING (id) CROSS JOIN root"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and verdict under the trees of the sources and their root."""
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("steps")
