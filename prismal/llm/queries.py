@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, line_dedup, merkle, mixing, near_dedup, pii, quality_rank, quality_rules, token_counts, token_files, topk
+from prismal.llm import bpe, line_dedup, merkle, mixing, near_dedup, ngram_join, pii, quality_rank, quality_rules, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,3 +177,25 @@ FROM leaves JOIN subs USING (src) JOIN ends USING (id) LEFT JOIN proofs USING (i
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, proof and verdict under the trees of the sources and their root."""
     return merkle.manifest(table(spark, sf_dir, "documents")).drop("steps")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+held AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM split),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM held),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both_n
+  FROM tokens a JOIN tokens b ON a.token = b.token AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * both_n >= 80 * (na + nb - both_n)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM reached r WHERE r.a = held.doc_id) AS component_id FROM held"""
+
+
+@query("op12_ngram_join", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of shingles and the class of every document under links of 80 %."""
+    return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
