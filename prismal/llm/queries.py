@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismal.llm import bpe, line_dedup, merkle, mixing, near_dedup, ngram_join, pii, quality_rank, quality_rules, token_counts, token_files, topk
+from prismal.llm import ball_tree, bpe, line_dedup, merkle, mixing, near_dedup, ngram_join, pii, quality_rank, quality_rules, token_counts, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -199,3 +199,27 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(b) FROM reached r WHERE
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of shingles and the class of every document under links of 80 %."""
     return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words WHERE len(w) > 0),
+held AS (SELECT doc_id, d, len(w) AS n, unnest(w) AS term FROM words),
+counted AS (SELECT doc_id, d, n, term, count(*) AS tf FROM held GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * max(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, total GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, d, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) CROSS JOIN total GROUP BY item_id, doc_id, d),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+
+@query("op13_ranked_search", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
