@@ -13,9 +13,9 @@ prefix token with any other set under some order has no link at all.
    token's bucket; a pair is verified only if the prefixes of B and C share tokens, too, and the sizes allow the similarity.
 3. *Verification* counts the shared tokens. A bucket's member with the longest posted prefix leads it (the text that
    copies were made from has no tokens of its own). Every set is compared with its foremost leader, then, in buckets that still hold several
-   components, with all their leaders, and then what is left in blocks of members: no link between different components is passed over, and
-   no task gets more than two blocks. Blocks of a bucket meet each other: a bucket of m sets that stay apart costs (m / 64)^2 / 2
-   meetings. Rare tokens come first, so such buckets are of texts that differ in few words.
+   components, with all their leaders. What is left is looked at in blocks of members, each with every other of its bucket: first at sizes and
+   places of the bucket's token alone (that leaves few), then at prefixes and tokens. No link between different components is passed
+   over, and no task gets more than two blocks at a time; a bucket of m sets that stay apart costs about (m / 512)^2 / 2 meetings.
 
 Shingles and sets of equal hash (64 bits; 128 bits for whole sets) count as equal.
 
@@ -107,7 +107,7 @@ def in_question(rows: DataFrame, sizes: DataFrame, percent: int, classes: tuple[
 
 
 def prefixes(rest: DataFrame, percent: int) -> DataFrame:
-    """``id``, ``size`` and the shared tokens of the prefixes under the orders A, B and C (``a``, ``b``, ``c``) of all sets that share some under each."""
+    """``id``, ``size``, ``lone`` (tokens no other set has) and the shared tokens of the prefixes under the orders A, B and C (``a``, ``b``, ``c``)."""
     token = rest.select("id", "size", F.explode("tokens").alias("token"))
     shared = materialize(token.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "token-counts")
     held = token.join(shared, "token").groupBy("id", "size").agg(F.collect_list(F.struct("n", "token")).alias("held"))  # tokens of one set
@@ -117,7 +117,7 @@ def prefixes(rest: DataFrame, percent: int) -> DataFrame:
               "b": lambda x: F.struct(x["n"], F.xxhash64(x["token"]).alias("tie"), x["token"]),
               "c": lambda x: F.struct(F.length(F.bin(x["n"])).alias("n"), F.xxhash64(x["token"], F.lit(1)).alias("tie"), x["token"])}
     first = {k: F.slice(F.array_sort(F.transform("held", f)), F.lit(1), F.col("_room"))["token"].alias(k) for k, f in orders.items()}
-    return materialize(held.select("id", "size", *first.values()), "prefixes")
+    return materialize(held.select("id", "size", (F.col("size") - F.size("held")).alias("lone"), *first.values()), "prefixes")
 
 
 def _candidates(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
@@ -135,18 +135,42 @@ def _links(pairs: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("shared") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * percent).select("a", "b")
 
 
-def links_of_blocks(open_: DataFrame, heads: DataFrame, rest: DataFrame, percent: int, per: int = 64) -> DataFrame:
-    """Links between members of different roots of a bucket. ``open_``: ``token``, ``id``, ``root``.
+def meetings(rows: DataFrame, columns: list[str], per: int) -> DataFrame:
+    """``token``, ``x`` and ``y``: every two blocks of a bucket's members, and every block with itself, once.
 
-    Members are dealt to blocks by hash; every block meets each block of its bucket once.
+    Members are dealt to blocks of about ``per`` by hash; a block is a list of structs of ``columns``.
     """
-    parts = open_.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("n"))
-    placed = open_.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    known = placed.join(heads.select("id", "size", "b", "c"), "id").join(rest.select("id", "tokens"), "id")
-    blocks = known.groupBy("token", "part", "n").agg(F.collect_list(F.struct("id", "root", "size", "b", "c", "tokens")).alias("own"))
-    blocks = materialize(blocks, "blocks")
+    parts = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("n"))
+    placed = rows.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    blocks = materialize(placed.groupBy("token", "part", "n").agg(F.collect_list(F.struct(*columns)).alias("own")), "blocks")
     left = blocks.select("token", F.col("own").alias("x"), F.explode(F.sequence("part", F.col("n") - 1)).alias("part"))
-    met = left.join(blocks.select("token", "part", F.col("own").alias("y")), ["token", "part"]).select("x", "y")
+    return left.join(blocks.select("token", "part", F.col("own").alias("y")), ["token", "part"]).select("token", "x", "y")
+
+
+def may_be_near(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the members of buckets (``token``, ``id``, ``root``, ``size``, ``rest``) those that some member of another root may be near.
+
+    ``rest``: the member's tokens from the bucket's token on, under order A. In the bucket of the first token that two sets
+    share, they share no more than the shorter rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = ({f: v[i].values.field(f).to_numpy(zero_copy_only=False) for f in ("id", "root", "size", "rest")} for v in (batch.column(1), batch.column(2)))
+                both = x["size"][:, None] + y["size"][None]
+                ok = np.minimum(x["rest"][:, None], y["rest"][None]) * (100 + percent) >= both * percent
+                ok &= np.minimum(x["size"][:, None], y["size"][None]) * 100 >= np.maximum(x["size"][:, None], y["size"][None]) * percent
+                ok &= x["root"][:, None] != y["root"][None]
+                ids = np.concatenate([x["id"][ok.any(axis=1)], y["id"][ok.any(axis=0)]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), batch.column(0)[i].as_py()), pa.int64()), pa.array(ids, pa.int64())], names=["token", "id"])
+
+    return meetings(rows, ["id", "root", "size", "rest"], 512).mapInArrow(run, "token long, id long").distinct()
+
+
+def links_of_blocks(rows: DataFrame, heads: DataFrame, rest: DataFrame, percent: int, per: int = 64) -> DataFrame:
+    """Links between members of different roots of a bucket. ``rows``: ``token``, ``id``, ``root``."""
+    known = rows.join(heads.select("id", "size", "b", "c"), "id").join(rest.select("id", "tokens"), "id")
 
     def overlap(x: list, y: list, name: str) -> np.ndarray:
         """Whether each of ``x`` shares a prefix token with each of ``y``."""
@@ -160,7 +184,7 @@ def links_of_blocks(open_: DataFrame, heads: DataFrame, rest: DataFrame, percent
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                x, y = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
                 size, root = ([np.array([r[f] for r in side]) for side in (x, y)] for f in ("size", "root"))
                 ok = root[0][:, None] != root[1][None]
                 ok &= np.minimum(size[0][:, None], size[1][None]) * 100 >= np.maximum(size[0][:, None], size[1][None]) * percent
@@ -173,15 +197,17 @@ def links_of_blocks(open_: DataFrame, heads: DataFrame, rest: DataFrame, percent
                         found.append(sorted((x[p]["id"], y[q]["id"])))
                 yield pa.RecordBatch.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
+    met = meetings(known, ["id", "root", "size", "b", "c", "tokens"], per)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def settle(heads: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     """``id`` and ``root``, the smallest id of its component, of every set in ``heads``."""
-    posted = heads.select("id", F.size("a").alias("posts"), F.explode("a").alias("token"))
-    rank = F.struct("posts", (-F.col("id")).alias("id"))
-    buckets = posted.groupBy("token").agg(F.max(rank).alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    member = materialize(posted.join(buckets.select("token", "lead"), "token").select("token", "id", "lead"), "buckets")
+    posted = heads.select("id", "size", F.size("a").alias("posts"), "lone", F.posexplode("a").alias("at", "token"))
+    posted = posted.select("token", "id", "size", "posts", (F.col("size") - F.col("lone") - F.col("at")).alias("rest"))
+    lead = F.max(F.struct("posts", (-F.col("id")).alias("id"))).alias("lead")
+    buckets = posted.groupBy("token").agg(lead, F.count(F.lit(1)).alias("members")).filter("members > 1").select("token", "lead")
+    member = materialize(posted.join(buckets, "token").select("token", "id", "size", "rest", "lead"), "buckets")
     roots = materialize(member.select("id").distinct().withColumn("root", F.col("id")), "roots")
 
     def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,12 +221,10 @@ def settle(heads: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
         out = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
         return materialize(out.select("id", F.coalesce("_to", "root").alias("root")), "roots")
 
-    def still_open(roots: DataFrame) -> DataFrame:
-        """Members of buckets that hold several components, with their root. Buckets of the same members count once."""
-        rows = member.join(roots, "id").select("token", "id", "root", (-F.col("lead.id")).alias("leader"))
-        digest = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("d1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("d2"), F.count(F.lit(1)).alias("d3")]
-        several = rows.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), *digest).filter("_a < _b")
-        several = materialize(several.groupBy("d1", "d2", "d3").agg(F.min("token").alias("token")).select("token"), "open")
+    def still_open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Of members of buckets those whose bucket holds several components, with their root."""
+        rows = rows.join(roots, "id")
+        several = rows.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b").select("token")
         return materialize(rows.join(several, "token"), "open-members")
 
     def by_leaders(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -210,13 +234,15 @@ def settle(heads: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     foremost = member.filter("id <> -lead.id").groupBy(F.col("id").alias("b")).agg(F.max("lead").alias("lead"))
     foremost = materialize(foremost.select((-F.col("lead.id")).alias("a"), "b"), "foremost")
     roots = by_leaders(foremost, roots)
-    rows = still_open(roots)
+    rows = still_open(member, roots)
     if not rows.isEmpty():
-        lead = roots.select(F.col("id").alias("leader"), F.col("root").alias("_lead_root"))
-        pairs = rows.filter("id <> leader").join(lead, "leader").filter("root <> _lead_root").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        top = roots.select((-F.col("id")).alias("leader"), F.col("root").alias("_lead_root"))
+        pairs = rows.select("id", "root", F.col("lead.id").alias("leader")).distinct().join(top, "leader").filter("root <> _lead_root")
+        pairs = pairs.select((-F.col("leader")).alias("a"), F.col("id").alias("b"))
         roots = by_leaders(pairs.join(foremost, ["a", "b"], "left_anti"), roots)
-        rows = still_open(roots).filter("id <> leader")  # all pairs with the leader are decided
-        roots = joined(roots, materialize(links_of_blocks(rows.drop("leader"), heads, rest, percent), "links"))
+        rows = still_open(member.filter("id <> -lead.id"), roots)  # all pairs with a leader are decided
+        near = materialize(may_be_near(rows, percent), "may-be-near")
+        roots = joined(roots, materialize(links_of_blocks(rows.select("token", "id", "root").join(near, ["token", "id"]), heads, rest, percent), "links"))
     return roots
 
 
