@@ -135,14 +135,17 @@ def _links(pairs: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("shared") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("shared")) * percent).select("a", "b")
 
 
-def meetings(rows: DataFrame, columns: list[str], per: int) -> DataFrame:
+def meetings(rows: DataFrame, columns: list[str], per: int, features: DataFrame | None = None) -> DataFrame:
     """``token``, ``x`` and ``y``: every two blocks of a bucket's members, and every block with itself, once.
 
-    Members are dealt to blocks of about ``per`` by hash; a block is a list of structs of ``columns``.
+    Members are dealt to blocks of about ``per`` by hash; a block is a list of structs of ``columns``. ``features`` come in by ``id``
+    when the members have their block, and a bucket's blocks are dealt out, so that a bucket of any size is no task of its own.
     """
     parts = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / per).cast("int").alias("n"))
     placed = rows.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    blocks = materialize(placed.groupBy("token", "part", "n").agg(F.collect_list(F.struct(*columns)).alias("own")), "blocks")
+    if features is not None:
+        placed = placed.join(features, "id")
+    blocks = materialize(placed.repartition("token", "part").groupBy("token", "part", "n").agg(F.collect_list(F.struct(*columns)).alias("own")), "blocks")
     left = blocks.select("token", F.col("own").alias("x"), F.explode(F.sequence("part", F.col("n") - 1)).alias("part"))
     return left.join(blocks.select("token", "part", F.col("own").alias("y")), ["token", "part"]).select("token", "x", "y")
 
@@ -170,7 +173,7 @@ def may_be_near(rows: DataFrame, percent: int) -> DataFrame:
 
 def links_of_blocks(rows: DataFrame, heads: DataFrame, rest: DataFrame, percent: int, per: int = 64) -> DataFrame:
     """Links between members of different roots of a bucket. ``rows``: ``token``, ``id``, ``root``."""
-    known = rows.join(heads.select("id", "size", "b", "c"), "id").join(rest.select("id", "tokens"), "id")
+    features = heads.select("id", "size", "b", "c").join(rest.select("id", "tokens"), "id")
 
     def overlap(x: list, y: list, name: str) -> np.ndarray:
         """Whether each of ``x`` shares a prefix token with each of ``y``."""
@@ -197,7 +200,7 @@ def links_of_blocks(rows: DataFrame, heads: DataFrame, rest: DataFrame, percent:
                         found.append(sorted((x[p]["id"], y[q]["id"])))
                 yield pa.RecordBatch.from_arrays([pa.array([f[s] for f in found], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
-    met = meetings(known, ["id", "root", "size", "b", "c", "tokens"], per)
+    met = meetings(rows, ["id", "root", "size", "b", "c", "tokens"], per, features)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
