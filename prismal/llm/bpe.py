@@ -308,7 +308,9 @@ class PairMerger:
 
 
 class SliceCache:
-    """Ids of short slices seen before, at most about ``limit`` of them; a full cache starts anew.
+    """Ids of short slices seen before; a cache of more than ``limit`` starts anew with the next batch.
+
+    Within a batch the table grows as needed, so a text of any number of distinct slices is encoded.
 
     Slices of up to 15 bytes are keys of a hash table as they are: two 64-bit words that hold the bytes and the
     length. All slices of a batch are looked up together. Longer ones are keys of a dict, and those over
@@ -317,10 +319,11 @@ class SliceCache:
 
     def __init__(self, merge, merge_long, limit: int = 600_000):
         self.merge, self.merge_long, self.limit = merge, merge_long, limit
-        self.bits = (3 * limit).bit_length()
         self._clear()
 
     def _clear(self) -> None:
+        self.bits = (3 * self.limit).bit_length()
+        self.keys = 0
         self.key = np.zeros((1 << self.bits, 2), np.uint64)  # a slice has a length, so no key is (0, 0)
         self.place = np.zeros(1 << self.bits, np.int32)
         self.longer: dict[bytes, int] = {}
@@ -358,7 +361,13 @@ class SliceCache:
         return out
 
     def _put(self, key: np.ndarray, place: np.ndarray) -> None:
-        """Keys that are distinct and not yet there."""
+        """Keys that are distinct and not yet there. At least half of the table stays free, so a search ends."""
+        self.keys += len(key)
+        if 2 * self.keys > 1 << self.bits:
+            held = self.key[:, 1] != 0
+            key, place = np.concatenate([self.key[held], key]), np.concatenate([self.place[held], place])
+            self.bits = (2 * self.keys).bit_length() + 1
+            self.key, self.place = np.zeros((1 << self.bits, 2), np.uint64), np.zeros(1 << self.bits, np.int32)
         slot, mask = self._slot(key), (1 << self.bits) - 1
         while len(key):
             free = self.key[slot, 1] == 0
