@@ -7,7 +7,8 @@ has its counts; prefix sums over the manifest give every shard's base, so no doc
 
 Defined results: a null text counts as empty and holds the end id alone; a null doc_id comes first; rows of equal
 doc_id stand in the order of their texts' hash and each has its own place; an empty table writes an empty
-manifest; other columns, whatever their names, are not written.
+manifest; other columns, whatever their names, are not written; texts of any length are written whole; the name of an added token
+within a text gives that token, as in the library.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -37,11 +39,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def library_encoder(path: str) -> tuple[Pretokenizer, SliceCache, int]:
-    """Splitter and cache over the tokenizers library, and its vocabulary's size.
+def library_encoder(path: str):
+    """Splitter and cache over the tokenizers library, its vocabulary's size, its added tokens and its own call.
 
     The library encodes every distinct slice; slices seen before come from the cache. A slice by itself is split
-    by the library just as within its text.
+    by the library just as within its text, unless the text holds the name of an added token: such texts go to the library whole.
     """
 
     def make():
@@ -51,7 +53,6 @@ def library_encoder(path: str) -> tuple[Pretokenizer, SliceCache, int]:
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True  # their names within a text are text
 
         def many(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,16 +63,33 @@ def library_encoder(path: str) -> tuple[Pretokenizer, SliceCache, int]:
             raw = data.tobytes()
             return many([raw[a : a + n].decode("utf-8") for a, n in zip(begin.tolist(), lengths.tolist())])
 
+        added = [t.content for t in library.get_added_tokens_decoder().values()]
         return (worker_cache(("splitter",), Pretokenizer), SliceCache(merge, lambda piece: many([piece.decode("utf-8")])[0]),
-                library.get_vocab_size())
+                library.get_vocab_size(), added, lambda text: many([text])[0])
 
     return worker_cache(("library", path), make)
 
 
+def encoded(column: pa.Array, splitter: Pretokenizer, cache: SliceCache, added: list[str], whole) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of the column behind each other, as the library gives them, and where each text's begin and the last end."""
+    named = np.zeros(len(column), np.bool_)
+    for name in added:
+        named |= pc.match_substring(column, name).to_numpy(zero_copy_only=False)
+    if not named.any():
+        return encode_flat(column, splitter, cache)[:2]
+    ids, begin = encode_flat(pc.if_else(pa.array(named), "", column), splitter, cache)[:2]
+    parts = [whole(column[i].as_py()) if named[i] else ids[begin[i] : begin[i + 1]] for i in range(len(column))]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of its file system: a path without one lies in Hadoop's default file system, for Spark and for the tasks."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(path).toString()
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder, and the folder's path in it. A path without a scheme is local."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return fs.LocalFileSystem(), folder
+    """The file system of a folder with a scheme, and the folder's path in it."""
     if folder.startswith("file:"):
         return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(folder)
@@ -83,13 +101,13 @@ def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text"
     A task writes to names of its own attempt and renames them at the end, so repeated and speculative
     attempts leave whole files. The content of a shard depends on its rows alone.
     """
-    path = tokenizer or default_tokenizer()
+    path, folder = tokenizer or default_tokenizer(), qualified(df.sparkSession, folder)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("_tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, cache, size = library_encoder(path)
+        splitter, cache, size, added, alone = library_encoder(path)
         kind = np.dtype("<u2" if max(size - 1, end_id) < 1 << 16 else "<u4")
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
@@ -101,7 +119,7 @@ def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text"
         first = True
         for whole in batches:
             for batch in slices(whole, "text"):
-                ids, begin, _, _ = encode_flat(batch.column(1), splitter, cache)
+                ids, begin = encoded(batch.column(1), splitter, cache, added, alone)
                 n = batch.num_rows
                 places = np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(begin))  # one end id after each document
                 flat = np.full(len(ids) + n, end_id, kind)
@@ -134,22 +152,29 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first_token"))
 
 
-def open_shard(folder: str, shard: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document ids, offsets and token ids of a shard; the ids are memory-mapped where the file system is a local one."""
-    store, root = _store(folder)
+class Stretches:
+    """Numbers in a file, of which slices are read where they are asked for: through a memory map, or by ranged reads off a local disk."""
+
+    def __init__(self, store: fs.FileSystem, name: str, kind: str):
+        self.kind = np.dtype(kind)
+        local = isinstance(store, fs.LocalFileSystem)
+        self.file, self.map = (None, np.memmap(name, kind, "r")) if local else (store.open_input_file(name), None)
 
-    def view(what: str, kind: str) -> np.ndarray:
-        name = f"{root}/{what}-{shard:06d}.bin"
-        if isinstance(store, fs.LocalFileSystem):
-            return np.memmap(name, kind, "r")
-        with store.open_input_file(name) as whole:
-            return np.frombuffer(whole.read(), kind)
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[at]
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * self.kind.itemsize, at.start * self.kind.itemsize), self.kind)
 
-    return view("docs", "<i8"), view("offsets", "<u8"), view("ids", f"<u{width}")
+
+def open_shard(folder: str, shard: int, width: int) -> tuple[Stretches, Stretches, Stretches]:
+    """Document ids, offsets and token ids of a shard below a folder with a scheme."""
+    store, root = _store(folder)
+    return tuple(Stretches(store, f"{root}/{what}-{shard:06d}.bin", kind) for what, kind in (("docs", "<i8"), ("offsets", "<u8"), ("ids", f"<u{width}")))
 
 
 def read(spark: SparkSession, folder: str, per: int = 2048) -> DataFrame:
     """The documents of the files: doc_id, ``start`` (ids before it in all shards), ``ids`` (with the end id)."""
+    folder = qualified(spark, folder)
     shards = manifest(spark, folder)
     # Shards are read in parts of ``per`` documents, dealt out evenly; each part maps just its stretch of the file.
     parts = shards.select("*", F.explode(F.sequence(F.lit(0), F.col("docs") - 1, F.lit(per))).alias("part"))
@@ -166,7 +191,7 @@ def read(spark: SparkSession, folder: str, per: int = 2048) -> DataFrame:
                     own = np.asarray(docs[a:b])
                     yield pa.RecordBatch.from_arrays([
                         pa.array(own, pa.int64(), mask=own == NO_ID), pa.array(row["first_token"] + at[:-1], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(ids[at[0] : at[-1]].astype(np.int32)))],
+                        pa.ListArray.from_arrays(pa.array(at - at[0], pa.int32()), pa.array(ids[int(at[0]) : int(at[-1])].astype(np.int32)))],
                         names=["doc_id", "start", "ids"])
 
     return parts.mapInArrow(run, "doc_id long, start long, ids array<int>")
