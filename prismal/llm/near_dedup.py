@@ -16,8 +16,9 @@ So no link between candidates of different components is lost, and a group of co
 
 Defined results: texts without words (null, empty, white space) are copies of each other; shingles are five words, all
 the words if fewer; classes are numbered by their smallest doc_id; rows of null doc_id are classes of their own with a null
-class; rows of equal doc_id are one document if they have the same shingles, and else take the smallest class among theirs;
-an empty table gives an empty table; other columns play no part.
+class; rows that share a doc_id but not a text are compared each, ``classes`` gives the doc_id the smallest class among theirs, and ``keep_one``
+keeps a text of each class; doc_id is read as a long; texts of any length count as a whole; an empty table gives an empty table; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.llm.common import flat_text, slices
 from prismal.llm.shingles import mix, shingles
 from prismal.plans.graph import components
+from prismal.plans.ordered import positions
 from prismal.session import materialize
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +75,7 @@ def darts(hashes: np.ndarray, text: np.ndarray, weights: np.ndarray, n: int, k:
 
 
 def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: int = 32, rows: int = 5, width: int = 5, weighted: bool = False) -> DataFrame:
-    """doc_id, ``same`` (128-bit digest of the shingle set), ``size`` and ``bands`` (a hash for each band)."""
+    """doc_id, ``version`` (tells texts of a doc_id apart), ``same`` (128-bit digest of the shingle set), ``size`` and ``bands`` (a hash for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -92,12 +94,17 @@ def signatures(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands:
                 for i in range(2):
                     np.add.at(digest[i], owner, mix(hashes * np.uint64(2 * i + 1) + weights.astype(np.uint64) * _STEP))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([digest[:, i].tobytes() for i in range(n)], pa.binary()),
+                    batch.column(0), batch.column(2), pa.array([digest[:, i].tobytes() for i in range(n)], pa.binary()),
                     pa.array(size, pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(key.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))],
-                    names=["doc_id", "same", "size", "bands"])
+                    names=["doc_id", "version", "same", "size", "bands"])
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, same binary, size long, bands array<long>")
+    return texts_of(df, doc_id, text).mapInArrow(run, "doc_id long, version long, same binary, size long, bands array<long>")
+
+
+def texts_of(df: DataFrame, doc_id: str, text: str, *more: Column) -> DataFrame:
+    """``doc_id``, ``text`` and ``version``, which tells texts of a doc_id apart. With ``more``, these columns instead of the text."""
+    whole = F.col(text).cast("string")
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), *(more or [whole.alias("text")]), F.xxhash64(F.coalesce(whole, F.lit(""))).alias("version"))
 
 
 def similarities(pairs: DataFrame, texts: DataFrame, width: int = 5, weighted: bool = False) -> DataFrame:
@@ -192,23 +199,22 @@ def _portions(rows: list[dict], most: int = 400_000) -> Iterator[list[dict]]:
         yield part
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5,
+def members(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5,
             width: int = 5, weighted: bool = False) -> DataFrame:
-    """``doc_id`` and ``class_id``, for every row."""
+    """``doc_id``, ``version`` and ``root`` of every text of every doc_id that isn't null; texts of one root are one class."""
     signed = materialize(signatures(df, doc_id, text, bands, rows, width, weighted), "signatures")
     worded = signed.filter("doc_id IS NOT NULL")
-    # Texts with the same shingles are one: the group's smallest id stands for it. Combined before the shuffle.
-    one = materialize(worded.groupBy("same").agg(F.min("doc_id").alias("id")), "one")
-    member = materialize(worded.select("doc_id", "same").join(one, "same").select("doc_id", F.col("id")), "members")
-    heads = member.filter("doc_id = id").select("doc_id").distinct()
-    keyed = worded.join(heads, "doc_id").dropDuplicates(["doc_id"]).select(
-        F.col("doc_id").alias("id"), "size", F.explode("bands").alias("key"))
+    # Texts with the same shingles are one: the first row stands for it. Combined before the shuffle. Numbers ascend with the doc_id.
+    first = worded.groupBy("same").agg(F.min(F.struct("doc_id", "version")).alias("head")).select("same", "head.doc_id", "head.version")
+    one = positions(first, ["doc_id", "version", "same"], "id")
+    member = materialize(worded.select("doc_id", "version", "same").join(one.select("same", "id"), "same").select("doc_id", "version", "id").distinct(), "members")
+    keyed = worded.join(one, ["doc_id", "version", "same"]).dropDuplicates(["id"]).select("id", "size", F.explode("bands").alias("key"))
     keyed = materialize(keyed, "bands")
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_last")).filter("leader < _last")
     leaders = materialize(leaders.select("key", "leader"), "leaders")
     bucket = materialize(keyed.join(leaders, "key").select("key", "leader", "id", "size"), "buckets")
-    texts = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = texts.filter(F.col("id").isNotNull()).join(bucket.select("id").distinct(), "id").dropDuplicates(["id"])
+    wanted = one.join(bucket.select("id").distinct(), "id").select("id", "doc_id", "version")
+    texts = texts_of(df, doc_id, text).join(wanted, ["doc_id", "version"]).dropDuplicates(["id"]).select("id", "text")
     texts = materialize(texts, "texts")
     a_b = ["a", "b"]
 
@@ -248,17 +254,25 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         roots = joined(roots, across)
 
     found = member.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("root", "id")).alias("class_id"))
+    return materialize(found.select("doc_id", "version", F.coalesce("root", "id").alias("root")), "classes")
+
+
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``doc_id`` and ``class_id``, for every row. ``options`` as in ``members``."""
+    found = members(df, doc_id, text, **options)
+    first = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    found = found.join(first, "root").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     ids = df.select(F.col(doc_id).cast("long").alias("doc_id"))
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that stand for their class: one of each group of near duplicates, all columns kept.
+    """The texts that stand for their class: one of each group of near duplicates, all columns kept.
 
-    Of rows with the same id and the same shingles one stays, too. Rows of null doc_id stay.
+    Of rows with the same id and the same text one stays, too. Rows of null doc_id stay.
     """
-    found = classes(df, doc_id, text, **options).filter("doc_id = class_id").select(F.col("doc_id").alias("_head")).distinct()
-    rest = df.filter(F.col(doc_id).isNull())
-    kept = df.join(found, F.col(doc_id) == F.col("_head"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(rest)
+    heads = members(df, doc_id, text, **options).groupBy("root").agg(F.min(F.struct("doc_id", "version")).alias("_head"))
+    heads = heads.select("_head.doc_id", "_head.version")
+    row = F.struct(*df.columns).alias("row")  # columns of any name stay apart from those of the join
+    whole = texts_of(df, doc_id, text, row).join(heads, ["doc_id", "version"], "left_semi").dropDuplicates(["doc_id", "version"])
+    return whole.select("row.*").unionByName(df.filter(F.col(doc_id).isNull()))
