@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from prismal.llm import mixing, near_dedup, shingles, topk
+from prismal.llm import line_dedup, mixing, near_dedup, shingles, topk
 
 
 def shingle_set(t):
@@ -222,3 +222,16 @@ def test_top_products_of_great_numbers(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = {(r.rank, r.vec_id): r.score for r in topk.top_products(df).collect()}
     assert found[(1, 1)] == 2**63 - 1 and found[(3, 2)] == -(2**63)
+
+
+def test_texts_of_one_id_are_judged_each(spark):
+    """A doc_id with several texts: none is lost, and none loses the lines of another."""
+    long = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "xab"}
+    df = spark.createDataFrame([(1, long["x"], "k"), (5, long["a"], "k"), (5, long["b"], "k"), (7, long["b"], "k"), (5, long["a"], "k")], "doc_id long, text string, _version string")
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_one(df).collect())
+    assert kept == [(1, long["x"]), (5, long["a"]), (5, long["b"])]
+    assert sorted((r.doc_id, r.class_id) for r in near_dedup.classes(df).collect()) == [(1, 1), (5, 5), (5, 5), (5, 5), (7, 5)]
+    shared = "a line that is shared"
+    rows = [(1, f"first\n{shared}"), (2, f"start of two\n{shared}"), (2, "another text line\nvaluable unique line here"), (2, None)]
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, f"first\n{shared}"), (2, ""), (2, "another text line\nvaluable unique line here"), (2, "start of two")]
