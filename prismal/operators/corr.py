@@ -14,6 +14,8 @@ from prismal.plans.ordered import running_totals, value_ranks
 from prismal.plans.scalars import rows_from_row, union_all
 from prismal.sources.tables import roles
 
+#: Bits of the rank that one round of inversion counting looks at.
+RADIX_BITS = 3
 STRENGTH = [(0.8, "Very Strong"), (0.6, "Strong"), (0.4, "Moderate"), (0.2, "Weak")]
 
 
@@ -36,11 +38,30 @@ def pair_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _ranks(cells: DataFrame, side: str, blocks: int | None) -> DataFrame:
-    counts = cells.groupBy("pair", side).agg(F.sum("n").alias("n"))
-    ranked = value_ranks(counts, side, keys=["pair"], blocks=blocks)  # keyed by pair: no group has more rows than the input
-    return ranked.select(F.col("pair").alias(f"p_{side}"), F.col(side).alias(f"v_{side}"), F.col("n").alias(f"ties_{side}"),
-                         F.col("avg_rank").alias(f"rank_{side}"), F.col("dense_rank").alias(f"dense_{side}"))
+def _ranked(df: DataFrame, cells: DataFrame, pairs: Sequence[tuple[str, str]], blocks: int | None) -> DataFrame:
+    """Cells with the rank and the dense rank (``rank_x``, ``dense_x``, and so on) of both values among the pair's rows.
+
+    A column without missing values is ranked once for all its pairs. Only where a pair loses rows are both its sides ranked for it alone.
+    """
+    names = sorted({c for pair in pairs for c in pair})
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"g{i}") for i, c in enumerate(names)]).first()
+    whole = {c: i for i, c in enumerate(names) if not gaps[f"g{i}"]}
+    lossy = [i for i, (a, b) in enumerate(pairs) if a not in whole or b not in whole]
+    sets = {(i, side): len(names) + 2 * i + side if i in lossy else whole[c] for i, pair in enumerate(pairs) for side, c in enumerate(pair)}
+    found = []
+    if len(lossy) < len(pairs):
+        entries = [F.struct(F.lit(i).alias("set"), F.col(c).cast("double").alias("v")) for c, i in whole.items()]
+        found.append(df.select(F.inline(F.array(*entries))).groupBy("set", "v").agg(F.count(F.lit(1)).alias("n")))
+    if lossy:
+        sides = F.inline(F.array(*[F.struct((F.col("pair") * 2 + len(names) + side).alias("set"), F.col(c).alias("v"), "n") for side, c in enumerate("xy")]))
+        found.append(cells.where(F.col("pair").isin(lossy)).select(sides).groupBy("set", "v").agg(F.sum("n").alias("n")))
+    ranks = value_ranks(union_all(found), "v", keys=["set"], blocks=blocks)
+    out = cells
+    for side, c in enumerate("xy"):
+        number = F.array(*[F.lit(sets[i, side]) for i in range(len(pairs))])[F.col("pair")]
+        mine = ranks.select(F.col("set").alias(f"s_{c}"), F.col("v").alias(f"v_{c}"), F.col("avg_rank").alias(f"rank_{c}"), F.col("dense_rank").alias(f"dense_{c}"))
+        out = out.withColumn("_set", number).join(mine, (F.col("_set") == F.col(f"s_{c}")) & (F.col(c) == F.col(f"v_{c}"))).drop("_set", f"s_{c}", f"v_{c}")
+    return out
 
 
 def _named(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -54,9 +75,7 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None, blocks:
     pairs = list(combinations(columns, 2))
     cells = pair_cells(df, pairs)
     totals = cells.groupBy("pair").agg(F.sum("n").alias("total"))
-    joined = cells
-    for side in ("x", "y"):
-        joined = joined.join(_ranks(cells, side, blocks), (F.col("pair") == F.col(f"p_{side}")) & (F.col(side) == F.col(f"v_{side}")))
+    joined = _ranked(df, cells, pairs, blocks)
     centre = (F.col("total") + 1) / 2.0
     dx, dy = F.col("rank_x") - centre, F.col("rank_y") - centre
     sums = joined.join(F.broadcast(totals), "pair").groupBy("pair").agg(  # one total per column pair
@@ -64,26 +83,33 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None, blocks:
     return _named(sums.withColumn("corr", F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))), pairs)
 
 
-def kendall_parts(df: DataFrame, pairs: Sequence[tuple[str, str]], blocks: int | None = None) -> DataFrame:
-    """Pair counts behind tau-b: all pairs, ties in x, y and both, and discordant pairs.
+def discordant_pairs(ranked: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``discordant`` by ``pair``: the inversions between x ranks ``r`` (from 0) and ``y``, of rows that count ``n`` times.
 
-    No pair of rows is ever formed. Two different x ranks part at exactly one
-    highest bit; for each bit, rows that share the higher bits are walked in
-    descending y, adding up the lower half met before each row of the upper half.
+    Radix-partitioned: every round looks at RADIX_BITS bits of the ranks, from the highest down. Rows that agree in the higher bits are a
+    part, the bits of the round deal them to smaller parts. Walking a part in descending y, each smaller part's running total says how many rows
+    of lower ranks have come before. Inversions within a smaller part are left to the next round, so a row takes part once in each round.
     """
-    cells = pair_cells(df, pairs)
-    ranked = cells.join(_ranks(cells, "x", blocks).select("p_x", "v_x", (F.col("dense_x") - 1).alias("r")),
-                        (F.col("pair") == F.col("p_x")) & (F.col("x") == F.col("v_x")))
+    digits = 1 << RADIX_BITS
     widest = ranked.groupBy("pair").agg(F.max("r").alias("top"))
-    bit = F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1)).alias("bit")
-    levels = (ranked.join(F.broadcast(widest), "pair").select("pair", "r", "y", "n", bit)  # one row per column pair
-              .select("pair", "bit", F.expr("shiftright(r, bit + 1)").alias("prefix"), "y",
-                      F.when(F.expr("shiftright(r, bit) & 1") == 0, F.col("n")).otherwise(0).alias("low"),
-                      F.when(F.expr("shiftright(r, bit) & 1") == 1, F.col("n")).otherwise(0).alias("high"))
-              .groupBy("pair", "bit", "prefix", "y").agg(F.sum("low").alias("low"), F.sum("high").alias("high")))
-    walked = running_totals(levels, "y", {"upto": "low"}, ["pair", "bit", "prefix"], descending=True, blocks=blocks)
-    discordant = walked.groupBy("pair").agg(
-        F.sum(F.col("high").cast("double") * (F.col("upto") - F.col("low"))).alias("discordant"))
+    turn = F.explode(F.sequence(F.lit(0), F.floor((F.length(F.bin("top")) - 1) / RADIX_BITS).cast("int"))).alias("turn")
+    digit = F.expr(f"shiftright(r, turn * {RADIX_BITS}) & {digits - 1}")
+    parts = (ranked.join(F.broadcast(widest), "pair").select("pair", "r", "y", "n", turn)  # one row per column pair
+             .select("pair", "turn", F.expr(f"shiftright(r, (turn + 1) * {RADIX_BITS})").alias("part"), "y", "n", digit.alias("digit"))
+             .groupBy("pair", "turn", "part", "y").agg(*[F.coalesce(F.sum(F.when(F.col("digit") == d, F.col("n"))), F.lit(0)).alias(f"n{d}") for d in range(digits)]))
+    walked = running_totals(parts, "y", {f"u{d}": f"n{d}" for d in range(digits - 1)}, ["pair", "turn", "part"], descending=True, blocks=blocks)
+    below, found = F.lit(0).cast("long"), F.lit(0.0)
+    for d in range(1, digits):
+        below = below + F.col(f"u{d - 1}") - F.col(f"n{d - 1}")  # equal y is no inversion
+        found = found + F.col(f"n{d}").cast("double") * below
+    return walked.groupBy("pair").agg(F.sum(found).alias("discordant"))
+
+
+def kendall_parts(df: DataFrame, pairs: Sequence[tuple[str, str]], blocks: int | None = None) -> DataFrame:
+    """Pair counts behind tau-b: all pairs, ties in x, y and both, and discordant pairs. No pair of rows is ever formed."""
+    cells = pair_cells(df, pairs)
+    ranked = _ranked(df, cells, pairs, blocks).select("pair", "y", "n", (F.col("dense_x") - 1).alias("r"))
+    discordant = discordant_pairs(ranked, blocks)
 
     def ties(keys: list[str], name: str) -> DataFrame:
         n = F.col("m").cast("double")

@@ -103,3 +103,22 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Cluster())
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 50])
+def test_inversions_equal_brute_force(spark, blocks):
+    import random
+
+    rng = random.Random(blocks)
+    rows = [(rng.randrange(2), rng.choice([0, 1, 5, 8, 63, 64, 65, 511, 512, 700]), float(rng.randrange(12)), rng.randrange(1, 4)) for _ in range(150)]
+    want = {p: sum(a[3] * b[3] for a in rows for b in rows if a[0] == b[0] == p and a[1] < b[1] and a[2] > b[2]) for p in (0, 1)}
+    df = spark.createDataFrame(rows, "pair int, r long, y double, n long")
+    assert {r.pair: r.discordant for r in corr.discordant_pairs(df, blocks).collect()} == want
+
+
+def test_rows_of_an_inversion_count_are_bounded(spark):
+    """A row takes part once for each round of bits, not for each bit, and no border list enters the plan."""
+    ranked = spark.range(1 << 12).select(F.lit(0).alias("pair"), F.col("id").alias("r"), F.col("id").cast("double").alias("y"), F.lit(1).cast("long").alias("n"))
+    plan = corr.discordant_pairs(ranked, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Bucketizer" not in plan and "approx" not in plan and plan.count("Generate explode") == 1
+    assert corr.discordant_pairs(ranked, 8).first()["discordant"] == 0
