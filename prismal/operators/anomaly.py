@@ -7,8 +7,9 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prismal.functions.moments import percent
 from prismal.operators.explore import share_ratio
@@ -95,52 +96,58 @@ def _grow(points: np.ndarray, tree: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
 
 
-def isolation_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str], trees: int = 100, sample: int = 256,
-                     seed: int = 42) -> DataFrame:
-    """Isolation-forest score (higher is more isolated) for every complete row.
+def isolation_forest(df: DataFrame, columns: Sequence[str], keys: Sequence[str], trees: int = 100, sample: int = 256, seed: int = 42) -> tuple[DataFrame, int]:
+    """The node rows of random trees (``TREE_SCHEMA``) and the rows each tree is grown from.
 
-    The forest needs at most ``trees * sample`` rows, picked by a hash of the
-    key. Trees grow in tasks from that bounded sample; all rows are scored in
-    Arrow batches.
+    Rows are dealt to trees by a hash of the key, each to so many trees that all get enough; a tree takes the ``sample`` rows of the lowest
+    second hash. Every tree grows in a group of its own; no row of the data goes to the driver.
     """
-    columns = list(columns)
-    rows = df.dropna(subset=columns)
-    as_double = [F.col(c).cast("double").alias(c) for c in columns]
-    pool = rows.select(*keys, *as_double).orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(trees * sample).drop(*keys)
-    points = pool.toPandas().to_numpy(dtype="float64")  # at most trees * sample rows
-    size = min(sample, len(points))
+    rows = df.dropna(subset=list(columns)).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    total = rows.count()
+    times = min(trees, max(1, math.ceil(2 * trees * sample / max(total, 1))))
+    first = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(trees)).cast("int")
+    dealt = rows.select(*columns, F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda i: F.pmod(first + i, F.lit(trees)))).alias("_tree"),
+                        F.xxhash64(*keys, F.lit(seed + 1)).alias("_draw"))
+    dealt = dealt.withColumn("_draw", F.xxhash64("_draw", "_tree"))
+    order = Window.partitionBy("_tree").orderBy("_draw", *columns)
+    picked = dealt.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= sample)  # cut within the tasks first
+
+    def plant(part: pd.DataFrame) -> pd.DataFrame:
+        return _grow(part.sort_values("_place")[list(columns)].to_numpy(dtype="float64"), int(part["_tree"].iloc[0]), seed)
+
+    return picked.groupBy("_tree").applyInPandas(plant, TREE_SCHEMA), min(sample, total)
 
-    def plant(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for tree in batch["id"]:
-                chosen = np.random.default_rng([seed, 7, int(tree)]).choice(len(points), size, replace=False)
-                yield _grow(points[chosen], int(tree), seed)
 
-    forest = df.sparkSession.range(trees).mapInPandas(plant, TREE_SCHEMA).toPandas().sort_values(["tree", "node"])
-    grown = [g[["feature", "cut", "left", "right", "depth"]].to_numpy() for _, g in forest.groupby("tree")]
+def path_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str], forest: DataFrame, size: int) -> DataFrame:
+    """Every complete row with its score by the given trees, which were grown from ``size`` rows each."""
+    columns = list(columns)
+    nodes = forest.toPandas().sort_values(["tree", "node"])  # the forest alone: two rows at most for each row a tree is grown from
+    grown = [g[["feature", "cut", "left", "right", "depth"]].to_numpy() for _, g in nodes.groupby("tree")]
     scale = max(_expected_depth(size), 1e-12)
-    deepest = math.ceil(math.log2(max(2, size))) + 1
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = batch[columns].to_numpy(dtype="float64")
             total = np.zeros(len(values))
             at_row = np.arange(len(values))
-            for nodes in grown:
-                feature, left, right = (nodes[:, i].astype(int) for i in (0, 2, 3))
+            for tree in grown:
+                feature, left, right = (tree[:, i].astype(int) for i in (0, 2, 3))
                 at = np.zeros(len(values), dtype=int)
-                for _ in range(deepest):
-                    inner = feature[at] >= 0
-                    if not inner.any():
-                        break
-                    below = values[at_row, np.maximum(feature[at], 0)] < nodes[at, 1]
+                while (inner := feature[at] >= 0).any():
+                    below = values[at_row, np.maximum(feature[at], 0)] < tree[at, 1]
                     at = np.where(inner, np.where(below, left[at], right[at]), at)
-                total += nodes[at, 4]
+                total += tree[at, 4]
             yield batch.assign(score=2.0 ** (-(total / len(grown)) / scale))
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{c}` double" for c in columns] + ["score double"])
-    return rows.select(*keys, *as_double).mapInPandas(score, schema)
+    rows = df.dropna(subset=columns).select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    return rows.mapInPandas(score, StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+
+
+def isolation_scores(df: DataFrame, columns: Sequence[str], keys: Sequence[str], trees: int = 100, sample: int = 256,
+                     seed: int = 42) -> DataFrame:
+    """Isolation-forest score (higher is more isolated) for every complete row, by Arrow batches."""
+    forest, size = isolation_forest(df, columns, keys, trees, sample, seed)
+    return path_scores(df, columns, keys, forest, size)
 
 
 def anomalies_iforest(df: DataFrame, columns: Sequence[str], target: str, keys: Sequence[str], sensitivity: float = 1.0,

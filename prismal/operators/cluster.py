@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from prismal.plans.scalars import attach_row, rows_from_row
 
 SEED = 42
+PARTS = pa.schema([("k", pa.int32()), ("cluster", pa.int32()), ("n", pa.float64()), ("cost", pa.float64()), ("total", pa.list_(pa.float64()))])
 
 
 def vectors(df: DataFrame, columns: Sequence[str], standardize: bool = True):
@@ -52,18 +54,79 @@ def elbow_of(ks: Sequence[int], costs: Sequence[float]) -> int:
     return int(ks[int(np.argmax(turns)) + 1])
 
 
+def starts(rows: DataFrame, most: int, sample: int = 2000) -> np.ndarray:
+    """Up to ``most`` far-apart rows of a hash-chosen sample of vectors: the first k of them start k clusters."""
+    picked = rows.select(vector_to_array("_v").alias("v")).orderBy(F.xxhash64("v"), "v").limit(sample).collect()  # at most ``sample`` rows
+    points = np.array([r["v"] for r in picked])
+    chosen = [int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))]
+    near = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    rng = np.random.default_rng(SEED)
+    while len(chosen) < min(most, len(points)) and near.max() > 0:
+        chosen.append(int(rng.choice(len(points), p=near / near.sum())))
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def advance(rows: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """One step of Lloyd's algorithm for every k at once, in one scan: the new centres, and the cost at the old ones.
+
+    Tasks give one partial sum for each k and cluster; a cluster without rows keeps its centre.
+    """
+
+    def run(batches):
+        sums = {k: (np.zeros(len(c)), np.zeros(len(c)), np.zeros_like(c)) for k, c in centres.items()}
+        for batch in batches:
+            lists = batch.column(0)
+            points = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+            for k, c in centres.items():
+                near = np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ c.T + (c**2).sum(axis=1), 0.0)
+                own = near.argmin(axis=1)
+                n, cost, total = sums[k]
+                n += np.bincount(own, minlength=len(c))
+                cost += np.bincount(own, ((points - c[own]) ** 2).sum(axis=1), minlength=len(c))
+                np.add.at(total, own, points)
+        for k, (n, cost, total) in sums.items():
+            for i in range(len(n)):
+                yield pa.RecordBatch.from_pydict({"k": [k], "cluster": [i], "n": [n[i]], "cost": [cost[i]], "total": [total[i]]}, schema=PARTS)
+
+    parts = rows.select(vector_to_array("_v").alias("v")).mapInArrow(run, "k int, cluster int, n double, cost double, total array<double>")
+    one = parts.select("k", "cluster", "n", "cost", F.posexplode("total").alias("i", "x")).groupBy("k", "cluster", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("cost").alias("cost"))
+    moved, costs = {k: c.copy() for k, c in centres.items()}, dict.fromkeys(centres, 0.0)
+    for r in one.collect():  # a row for each k, cluster and coordinate
+        if r["n"]:
+            moved[r["k"]][r["cluster"], r["i"]] = r["x"] / r["n"]
+        if r["i"] == 0:
+            costs[r["k"]] += r["cost"]
+    return moved, costs
+
+
+def lloyd(rows: DataFrame, centres: dict[int, np.ndarray], steps: int = 20, tolerance: float = 1e-4) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """Centres and cost for every k after ``steps`` steps, or when none of its centres moves by more than ``tolerance``."""
+    costs, open_ = {}, dict(centres)
+    done: dict[int, np.ndarray] = {}
+    for _ in range(steps):
+        moved, _ = advance(rows, open_)
+        still = {k for k in open_ if np.sqrt(((moved[k] - open_[k]) ** 2).sum(axis=1)).max() > tolerance}
+        done |= moved
+        open_ = {k: moved[k] for k in still}
+        if not open_:
+            break
+    _, costs = advance(rows, done)
+    return done, costs
+
+
 def kmeans_elbow(df: DataFrame, columns: Sequence[str], most: int = 10, standardize: bool = True) -> DataFrame:
-    """Cost per k and the elbow, for k up to ``most`` and at most one cluster per 20 rows."""
+    """Cost per k and the elbow, for k up to ``most`` and at most one cluster per 20 rows. Every step advances all k in one scan."""
     rows, _ = vectors(df, columns, standardize)
     rows = rows.select("_v").persist()
     limit = min(most, rows.limit(20 * most).count() // 20)
-    ks = list(range(2, limit + 1))
-    spread = _spread(rows)
-    costs = [spread] + [KMeans(featuresCol="_v", k=k, seed=SEED).fit(rows).summary.trainingCost for k in ks]
+    costs = {1: _spread(rows)}
+    if limit > 1:
+        first = starts(rows, limit)
+        costs |= lloyd(rows, {k: first[:k] for k in range(2, limit + 1)})[1]
     rows.unpersist()
-    ks = [1, *ks]
-    best = elbow_of(ks, costs)
-    return df.sparkSession.createDataFrame([(k, float(c), k == best) for k, c in zip(ks, costs)], "k int, cost double, is_elbow boolean")
+    best = elbow_of(list(costs), list(costs.values()))
+    return df.sparkSession.createDataFrame([(k, float(c), k == best) for k, c in costs.items()], "k int, cost double, is_elbow boolean")
 
 
 def _spread(rows: DataFrame) -> float:

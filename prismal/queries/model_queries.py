@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from prismal.operators import cluster as cl
@@ -134,6 +135,16 @@ def _(t):
     return ml.cross_validate(t.lineitem, "l_extendedprice", ["l_quantity"], LINE_KEYS, kind="linear", task="regression", fold=F.col("l_orderkey") % 5)
 
 
+@query("cross_validate_ridge", """
+WITH k AS (SELECT unnest(range(5)) AS k),
+f AS (SELECT k, regr_sxy(l_extendedprice, l_quantity) / (regr_sxx(l_extendedprice, l_quantity) + 500 * var_samp(l_quantity)) AS b, avg(l_extendedprice) AS my, avg(l_quantity) AS mx
+      FROM k, lineitem WHERE l_orderkey % 5 <> k GROUP BY k),
+r AS (SELECT k, 1 - sum((l_extendedprice - my - b * (l_quantity - mx)) ^ 2) / (count(*) * var_pop(l_extendedprice)) AS r2 FROM f, lineitem WHERE l_orderkey % 5 = k GROUP BY k)
+SELECT 'ridge' AS model, 'r2' AS metric, 5::INT AS folds, avg(r2) AS mean, stddev_pop(r2) AS std FROM r""", "mean std")
+def _(t):
+    return ml.cross_validate(t.lineitem, "l_extendedprice", ["l_quantity"], LINE_KEYS, kind="ridge", task="regression", fold=F.col("l_orderkey") % 5, alpha=500.0)
+
+
 @query("cross_validate_classifier")
 def _(t):
     return ml.cross_validate(t.lineitem, "l_linestatus", ["l_quantity", "l_discount"], LINE_KEYS, ["l_returnflag"], kind="tree")
@@ -252,6 +263,20 @@ def _(t):
     return cl.kmeans_elbow(elements(t), ELEMENTS)
 
 
+@query("kmeans_step", """
+WITH c AS (SELECT * FROM (VALUES (2, 0, 10.3, 0.021), (2, 1, 40.0, 0.08), (3, 0, 5.3, 0.0), (3, 1, 25.1, 0.05), (3, 2, 45.0, 0.1)) AS c(k, i, q, d)),
+near AS (
+  SELECT k, l_quantity, l_discount, arg_min(i, (l_quantity - q) ** 2 + (l_discount - d) ** 2) AS i, min((l_quantity - q) ** 2 + (l_discount - d) ** 2) AS far
+  FROM (SELECT *, row_number() OVER () AS r FROM lineitem), c GROUP BY r, l_quantity, l_discount, k)
+SELECT k::INT AS k, i::INT AS cluster, avg(l_quantity) AS quantity, avg(l_discount) AS discount, sum(sum(far)) OVER (PARTITION BY k) AS cost FROM near GROUP BY k, i""", "quantity discount cost", 4)
+def _(t):
+    rows, _ = cl.vectors(t.lineitem, ["l_quantity", "l_discount"], standardize=False)
+    fixed = {2: np.array([[10.3, 0.021], [40.0, 0.08]]), 3: np.array([[5.3, 0.0], [25.1, 0.05], [45.0, 0.1]])}
+    moved, costs = cl.advance(rows, fixed)
+    return t.spark.createDataFrame([(k, i, float(c[0]), float(c[1]), costs[k]) for k in moved for i, c in enumerate(moved[k])],
+                                   "k int, cluster int, quantity double, discount double, cost double")
+
+
 @query("centroids_original")
 def _(t):
     return cl.kmeans_centroids(elements(t), ELEMENTS, 4)

@@ -289,12 +289,12 @@ def _(t):
 
 
 @query("suggest_targets", """
-SELECT 'o_orderstatus' AS 'column', 1 AS place, 'status' AS keyword,
+SELECT 'o_orderstatus' AS 'column', 2 AS place, 'status' AS keyword,
   CASE WHEN u = 2 THEN 'classification' WHEN u < 10 THEN 'classification' END AS kind,
   CASE WHEN u = 2 THEN 'high' ELSE 'medium' END AS likelihood
 FROM (SELECT count(DISTINCT o_orderstatus) AS u FROM orders) WHERE u < 10""")
 def _(t):
-    return p.suggest_targets(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    return p.suggest_targets(t.orders)
 
 
 @query("suggest_targets_fallback", """
@@ -397,19 +397,23 @@ def _(t):
     return q.cleaning_suggestions(t.dirty_customer)
 
 
+ALL_NUMERIC = ["l_orderkey", "l_linenumber", *NUMERIC, "dup"]
+ALL_TEXT = ["l_returnflag", "l_linestatus"]
+
+
 @query("impute_recommendation", f"""
-WITH m AS ({numeric_sql(DIRTY_LINEITEM, NUMERIC)})
+WITH m AS ({numeric_sql(DIRTY_LINEITEM, ALL_NUMERIC)})
 SELECT column_name AS 'column', CASE WHEN 100.0 * outliers / cnt > 5 THEN 'median' WHEN abs(skew) > 1 THEN 'median' ELSE 'mean' END AS method FROM m
-UNION ALL SELECT 'l_linestatus', CASE WHEN count(DISTINCT l_linestatus) < 10 THEN 'mode' ELSE 'constant' END FROM {DIRTY_LINEITEM} v""")
+UNION ALL {per_column(DIRTY_LINEITEM, ALL_TEXT, "SELECT '{c}', CASE WHEN count(DISTINCT {c}) < 10 THEN 'mode' ELSE 'constant' END FROM {src} v")}""")
 def _(t):
-    return q.impute_recommendation(t.dirty_lineitem.select(*NUMERIC, "l_linestatus"))
+    return q.impute_recommendation(t.dirty_lineitem)
 
 
 @query("outlier_recommendation", f"""
 SELECT column_name AS 'column', 100.0 * outliers / cnt AS outlier_pct, CASE WHEN 100.0 * outliers / cnt < 1 THEN 'remove'
-  WHEN 100.0 * outliers / cnt < 5 THEN 'cap' ELSE 'transform' END AS method FROM ({numeric_sql(DIRTY_LINEITEM, NUMERIC)})""", "outlier_pct")
+  WHEN 100.0 * outliers / cnt < 5 THEN 'cap' ELSE 'transform' END AS method FROM ({numeric_sql(DIRTY_LINEITEM, ALL_NUMERIC)})""", "outlier_pct")
 def _(t):
-    return q.outlier_recommendation(t.dirty_lineitem.select(*NUMERIC))
+    return q.outlier_recommendation(t.dirty_lineitem)
 
 
 @query("cleaning_diff", f"""

@@ -108,6 +108,21 @@ def _(t):
     return a.anomalies_iforest(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount"], "l_extendedprice", ["l_orderkey", "l_linenumber"])
 
 
+# Two fixed trees over quantity and discount: tree, node, feature, cut, left, right, depth.
+TREES = [(0, 0, 0, 10.5, 1, 2, 0.0), (0, 1, 1, 0.045, 3, 4, 0.0), (0, 2, -1, 0.0, -1, -1, 4.5), (0, 3, -1, 0.0, -1, -1, 2.0), (0, 4, -1, 0.0, -1, -1, 3.25),
+         (1, 0, 1, 0.095, 1, 2, 0.0), (1, 1, -1, 0.0, -1, -1, 5.0), (1, 2, -1, 0.0, -1, -1, 1.5)]
+
+
+@query("anomaly_iforest_paths", """
+SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
+       2 ** (-(CASE WHEN l_quantity < 10.5 THEN CASE WHEN l_discount < 0.045 THEN 2.0 ELSE 3.25 END ELSE 4.5 END + CASE WHEN l_discount < 0.095 THEN 5.0 ELSE 1.5 END) / 2
+              / (2 * (ln(255) + 0.5772156649015329) - 2 * 255 / 256.0)) AS score
+FROM lineitem""", "score")
+def _(t):
+    columns = "tree int, node int, feature int, cut double, left int, right int, depth double"
+    return a.path_scores(t.lineitem, ["l_quantity", "l_discount"], ["l_orderkey", "l_linenumber"], t.spark.createDataFrame(TREES, columns), 256)
+
+
 @query("anomaly_summary", f"""
 SELECT count(*) FILTER (WHERE value < lo OR value > hi) AS anomalies, 100.0 * count(*) FILTER (WHERE value < lo OR value > hi) / count(value) AS anomaly_pct,
  100.0 * count(*) FILTER (WHERE value > hi) / count(*) FILTER (WHERE value < lo OR value > hi) AS high_pct,

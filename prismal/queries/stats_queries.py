@@ -228,20 +228,18 @@ def _(t):
     return s.vif(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
-@query("binary_columns", """
-WITH u AS (SELECT count(DISTINCT l_linestatus) AS ls, count(DISTINCT l_returnflag) AS rf, count(DISTINCT l_linenumber) AS ln FROM lineitem)
-SELECT 'l_linestatus' AS 'column', ls AS "unique" FROM u WHERE ls = 2 UNION ALL SELECT 'l_returnflag', rf FROM u WHERE rf = 2
-UNION ALL SELECT 'l_linenumber', ln FROM u WHERE ln = 2""")
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+DISTINCT = " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS "unique" FROM lineitem""" for c in LINEITEM)
+
+
+@query("binary_columns", f"""SELECT * FROM ({DISTINCT}) WHERE "unique" = 2""")
 def _(t):
-    return s.binary_columns(t.lineitem.select("l_linestatus", "l_returnflag", "l_linenumber"))
+    return s.binary_columns(t.lineitem)
 
 
-@query("outcome_columns", """
-WITH u AS (SELECT count(DISTINCT l_linestatus) AS ls, count(DISTINCT l_returnflag) AS rf, count(DISTINCT l_linenumber) AS ln FROM lineitem)
-SELECT 'l_linestatus' AS 'column', ls AS "unique" FROM u WHERE ls BETWEEN 2 AND 10 UNION ALL SELECT 'l_returnflag', rf FROM u WHERE rf BETWEEN 2 AND 10
-UNION ALL SELECT 'l_linenumber', ln FROM u WHERE ln BETWEEN 2 AND 10""")
+@query("outcome_columns", f"""SELECT * FROM ({DISTINCT}) WHERE "unique" BETWEEN 2 AND 10""")
 def _(t):
-    return s.binary_columns(t.lineitem.select("l_linestatus", "l_returnflag", "l_linenumber"), most=10)
+    return s.binary_columns(t.lineitem, most=10)
 
 
 @query("logit_regression")

@@ -174,3 +174,48 @@ def test_large_input_plans_agree_with_small_ones(spread):
     assert water.iloc[-1]["step"] == "Total" or "Total" in set(water["step"])
     run = water[water["step"] != "Total"].sort_values("step")
     np.testing.assert_allclose(run["running"], run["amount"].cumsum())
+
+
+def test_all_k_advance_as_single_fits_do(spark):
+    rng = np.random.default_rng(5)
+    points = np.concatenate([rng.normal(m, 0.4, (150, 3)) for m in (0, 3, 6, 9)])
+    df = spark.createDataFrame(pd.DataFrame(points, columns=list("abc"))).repartition(4)
+    rows, _ = cluster.vectors(df, list("abc"), standardize=False)
+    first = cluster.starts(rows, 5)
+    together = cluster.lloyd(rows, {k: first[:k] for k in range(2, 6)})
+    for k in range(2, 6):
+        centres = first[:k]
+        for _ in range(20):
+            own = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            centres = np.array([points[own == i].mean(axis=0) if (own == i).any() else centres[i] for i in range(k)])
+        cost = ((points[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        alone = cluster.lloyd(rows, {k: first[:k]})
+        assert abs(alone[1][k] - together[1][k]) < 1e-9 and abs(cost - together[1][k]) < 1e-2 * cost
+    got = cluster.kmeans_elbow(df, list("abc"), most=6, standardize=False).toPandas()
+    assert list(got["k"]) == [1, 2, 3, 4, 5, 6] and (np.diff(got["cost"]) < 1e-6).all()
+
+
+def test_fold_moments_equal_fits_of_each_fold(spark):
+    frame = skewed(900).fillna({"v": 7.5})
+    frame["z"] = 3 * frame["w"] - 0.01 * frame["v"] + np.random.default_rng(1).normal(0, 1, 900)
+    df = to_spark(spark, frame)
+    for kind, params in (("linear", {}), ("ridge", {"alpha": 40.0})):
+        got = ml.cross_validate(df, "z", ["v", "w"], ["id"], kind=kind, task="regression", folds=3, fold=F.col("id") % 3, **params).first()
+        scores = []
+        for held in range(3):
+            model = ml.fit_regressor(df.where(F.col("id") % 3 != held), "z", ["v", "w"], kind=kind, **params)
+            scores.append(ml.regression_metrics(ml.predict(model, df.where(F.col("id") % 3 == held))).first()["r2"])
+        np.testing.assert_allclose([got["mean"], got["std"]], [np.mean(scores), np.std(scores)], rtol=1e-6)
+    holes = df.withColumn("v", F.when(F.col("id") % 7 > 0, F.col("v")))
+    assert ml.fold_scores(holes.withColumn("fold", F.col("id") % 3), "z", ["v"], 3, 0.0) is None
+
+
+def test_trees_grow_apart_and_take_all_they_need(spark):
+    frame = skewed(4000)
+    df = to_spark(spark, frame[["id", "w"]]).repartition(5)
+    forest, size = anomaly.isolation_forest(df, ["w"], ["id"], trees=20, sample=64)
+    nodes = forest.toPandas()
+    assert size == 64 and nodes["tree"].nunique() == 20
+    assert nodes.groupby("tree").size().min() > 10 and len(set(nodes[nodes["node"] == 0]["cut"])) == 20
+    few, size = anomaly.isolation_forest(df.limit(10), ["w"], ["id"], trees=5, sample=64)
+    assert size == 10 and few.select("tree").distinct().count() == 5
