@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from prismal.functions import dates, text
 from prismal.functions.moments import percent, sample_kurtosis, sample_skew
 from prismal.operators.explore import histogram
-from prismal.plans.counts import modes, value_counts
+from prismal.plans.counts import value_counts
 from prismal.plans.quantiles import quantile_name, quantiles
 from prismal.plans.scalars import attach_row, rows_from_row, union_all
+from prismal.plans.sizing import fits_value_map
+from prismal.session import materialize
 from prismal.sources.tables import roles
 
 # Text forms read as dates (fixed values).
@@ -67,6 +69,13 @@ def missing_profile(df: DataFrame, all_columns: bool = False) -> DataFrame:
     return kept.orderBy(F.col("missing").desc(), "column")
 
 
+def missing_of(counts: DataFrame) -> DataFrame:
+    """``missing_profile`` of the columns with missing values, from their value counts."""
+    gaps = F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0))
+    rows = counts.groupBy("column").agg(gaps.alias("missing"), F.sum("n").alias("_rows")).where("missing > 0")
+    return rows.select("column", "missing", percent(F.col("missing"), F.col("_rows")).alias("missing_pct"))
+
+
 def missing_indicator(df: DataFrame, keys: Sequence[str] = (), most: int | None = None) -> DataFrame:
     """1.0 where a cell is missing, for all columns or the first ``most``."""
     columns = [c for c in df.columns if c not in keys][:most]
@@ -76,52 +85,72 @@ def missing_indicator(df: DataFrame, keys: Sequence[str] = (), most: int | None
 # --- numeric columns -------------------------------------------------------------------------
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, fence: float = 1.5) -> DataFrame:
+def counts_of(df: DataFrame, columns: Sequence[str] | None = None, kind: str = "string") -> DataFrame:
+    """The one pass over distinct values that the rules about a table share: written rows of ``column``, ``value`` (as text, or of ``kind``) and ``n``."""
+    wide = df.select(*[F.col(f"`{c}`").cast("double").alias(c) if kind == "float" else F.col(f"`{c}`") for c, kind in df.dtypes])
+    return materialize(value_counts(wide, list(columns or df.columns), kind=kind), "value-counts")
+
+
+def _of(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return counts.where(F.col("column").isin(list(columns)))
+
+
+def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None, fence: float = 1.5, counts: DataFrame | None = None) -> DataFrame:
     """Moments, quantiles, zero and negative counts and fence outliers, one row per numeric column.
 
-    Two passes over the data: one for moments and quantiles, one to count outliers.
+    One aggregate gives the moments. Quantiles and outliers come from ``counts`` (see ``counts_of``) where it is at hand, else from passes of their
+    own; large inputs order just what a sketch brackets, see ``plans.quantiles``. Moments and fences are written as one row per column.
     """
     columns = list(columns or roles(df)["numeric"])
-    slim = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    moments = slim.agg(F.count(F.lit(1)).alias("n_rows"), *[
+    slim = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    places = [f"c{i}" for i in range(len(columns))]
+    moments = [F.count(F.lit(1)).alias("n_rows"), *[
         F.struct(
             F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
             F.var_samp(c).alias("variance"), F.min(c).alias("min"), F.max(c).alias("max"),
             sample_skew(c).alias("skew"), sample_kurtosis(c).alias("kurtosis"),
             F.count_if(F.col(c) == 0).alias("zeros"), F.count_if(F.col(c) < 0).alias("negatives")).alias(f"s_{c}")
-        for c in columns])
-    cuts = quantiles(slim, columns, PROFILE_PROBS)  # apart from the moments: the same shuffle then serves both uses
-
-    def side(c: str, sign: int) -> Column:
-        q = F.col(quantile_name(c))
-        edge = q[1] if sign < 0 else q[3]
-        return edge + sign * fence * (q[3] - q[1])
-
-    outliers = attach_row(slim, cuts).agg(*[
-        F.count_if((F.col(c) < side(c, -1)) | (F.col(c) > side(c, 1))).alias(f"o_{c}") for c in columns])
-    row = attach_row(attach_row(moments, cuts), outliers)
-    structs = []
-    for c in columns:
-        s, q = f"s_{c}", F.col(quantile_name(c))
-        structs.append(F.struct(
-            F.lit(c).alias("column"), F.col("n_rows"), F.col(f"{s}.count").alias("count"),
-            (F.col("n_rows") - F.col(f"{s}.count")).alias("missing"),
-            percent(F.col("n_rows") - F.col(f"{s}.count"), F.col("n_rows")).alias("missing_pct"),
-            *[F.col(f"{s}.{m}").alias(m) for m in ("mean", "std", "variance", "min")],
-            q[0].alias("q05"), q[1].alias("q25"), q[2].alias("median"), q[3].alias("q75"), q[4].alias("q95"),
-            *[F.col(f"{s}.{m}").alias(m) for m in ("max", "skew", "kurtosis", "zeros", "negatives")],
-            side(c, -1).alias("lower"), side(c, 1).alias("upper"), F.col(f"o_{c}").alias("outliers"),
-            percent(F.col(f"o_{c}"), F.col("n_rows")).alias("outlier_pct")))
-    return rows_from_row(row, structs)
+        for c in places]]
+    row = slim.agg(*moments)
+    stats = rows_from_row(row, [F.struct(
+        F.lit(name).alias("column"), F.col("n_rows"), F.col(f"s_{c}.count").alias("count"),
+        *[F.col(f"s_{c}.{m}").alias(m) for m in ("mean", "std", "variance", "min", "max", "skew", "kurtosis", "zeros", "negatives")]) for name, c in zip(columns, places)])
+    if counts is not None:
+        counts = _of(counts, columns).select("column", F.col("value").try_cast("double").alias("v"), "n")
+    if counts is not None and fits_value_map(slim):
+        wanted = F.array(*[F.lit(p) for p in PROFILE_PROBS])
+        cuts = counts.groupBy("column").agg(F.percentile("v", wanted, F.col("n")).alias("q"))
+    else:
+        cut = quantiles(slim, places, PROFILE_PROBS)
+        cuts = rows_from_row(cut, [F.struct(F.lit(name).alias("column"), F.col(quantile_name(c)).alias("q")) for name, c in zip(columns, places)])
+    q = F.col("q")
+    edge = lambda sign: (q[1] if sign < 0 else q[3]) + sign * fence * (q[3] - q[1])
+    rows = materialize(stats.join(F.broadcast(cuts), "column", "left").withColumn("lower", edge(-1)).withColumn("upper", edge(1)), "moments")  # one row per column
+    outside = lambda v, low, high: (v < low) | (v > high)
+    if counts is None:
+        fences = rows.agg(*[F.max(F.when(F.col("column") == name, F.struct("lower", "upper"))).alias(f"f_{c}") for name, c in zip(columns, places)])
+        found = attach_row(slim, fences).agg(*[F.count_if(outside(F.col(c), F.col(f"f_{c}.lower"), F.col(f"f_{c}.upper"))).alias(c) for c in places])
+        found = rows_from_row(found, [F.struct(F.lit(name).alias("column"), F.col(c).alias("outliers")) for name, c in zip(columns, places)])
+    else:
+        values = counts.join(F.broadcast(rows.select("column", "lower", "upper")), "column")  # one row per column
+        found = values.groupBy("column").agg(F.sum(F.when(outside(F.col("v"), F.col("lower"), F.col("upper")), F.col("n"))).alias("outliers"))
+    missing = F.col("n_rows") - F.col("count")
+    out = rows.join(F.broadcast(found), "column", "left").withColumn("outliers", F.coalesce("outliers", F.lit(0)))
+    return out.select(
+        "column", "n_rows", "count", missing.alias("missing"), percent(missing, F.col("n_rows")).alias("missing_pct"), "mean", "std", "variance", "min",
+        q[0].alias("q05"), q[1].alias("q25"), q[2].alias("median"), q[3].alias("q75"), q[4].alias("q95"), "max", "skew", "kurtosis", "zeros", "negatives",
+        "lower", "upper", "outliers", percent(F.col("outliers"), F.col("n_rows")).alias("outlier_pct"))
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns or roles(df)["numeric"])
-    stats = numeric_profile(df, columns)
-    best = modes(df, columns, kind="double").select(F.col("column"), "mode")
+    counts = counts_of(df, columns, "double")
+    stats = numeric_profile(df, columns, counts=counts)
+    held = counts.where("value IS NOT NULL").select("column", "n", F.col("value").try_cast("double").alias("v"))
+    best = held.groupBy("column").agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col("v").alias("v"))).alias("best"))
     return stats.join(F.broadcast(best), "column", "left").select(  # one row per column
         "column", "count", "missing", "missing_pct", "mean", "std", "variance", "min", "q25", "median", "q75", "max",
-        "skew", "kurtosis", "mode")
+        "skew", "kurtosis", F.col("best.v").alias("mode"))
 
 
 def outlier_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -144,14 +173,14 @@ def column_stats_numeric(df: DataFrame, column: str) -> DataFrame:
 # --- categorical columns ---------------------------------------------------------------------
 
 
-def text_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def text_profile(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Counts, top value, convertibility and formatting facts, one row per text column.
 
     Works on distinct values with their counts, so every test runs once per distinct value.
     """
     columns = list(columns or roles(df)["categorical"])
     v, n = F.col("value"), F.col("n")
-    per_value = value_counts(df, columns).withColumn("low", F.lower("value"))
+    per_value = (value_counts(df, columns) if counts is None else _of(counts, columns)).withColumn("low", F.lower("value"))
 
     def rows_with(test: Column) -> Column:
         return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
@@ -268,10 +297,10 @@ def potential_datetime_columns(df: DataFrame) -> DataFrame:
         F.col("evidence").isNotNull())
 
 
-def distinct_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def distinct_profile(df: DataFrame, columns: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """Distinct and missing counts of any columns, one row per column."""
     columns = list(columns or df.columns)
-    return value_counts(df, columns).groupBy("column").agg(
+    return (value_counts(df, columns) if counts is None else _of(counts, columns)).groupBy("column").agg(
         F.sum("n").alias("n_rows"), F.count("value").alias("unique"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("non_null"),
         F.coalesce(F.sum(F.when(F.col("value").try_cast("double").isin(0.0, 1.0), F.col("n"))), F.lit(0)).alias("zero_one"))
@@ -310,12 +339,13 @@ def full_profile(df: DataFrame) -> DataFrame:
     """One record per column: role, missing, distinct, moments and quartiles, text lengths, date range."""
     by_role = roles(df)
     kinds = dict(df.dtypes)
-    base = distinct_profile(df).select("column", "n_rows", "non_null", "unique")
-    numeric = numeric_profile(df, by_role["numeric"]).select(
+    counts = counts_of(df)
+    base = distinct_profile(df, counts=counts).select("column", "n_rows", "non_null", "unique")
+    numeric = numeric_profile(df, by_role["numeric"], counts=counts).select(
         "column", "mean", "std", "min", "q25", "median", "q75", "max", "skew", "kurtosis", "zeros", "outliers", "lower", "upper")
     out = base.join(F.broadcast(numeric), "column", "left")  # one row per column
     if by_role["categorical"]:
-        out = out.join(F.broadcast(text_profile(df, by_role["categorical"]).select(
+        out = out.join(F.broadcast(text_profile(df, by_role["categorical"], counts).select(
             "column", "top", "freq", "len_min", "len_max", "len_mean")), "column", "left")
     if by_role["datetime"]:
         spans = df.agg(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in by_role["datetime"]])
@@ -339,8 +369,9 @@ def _explode_rules(facts: DataFrame, rules: list[tuple[str, Column]]) -> DataFra
 def numeric_insights(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rule hits per numeric column: skew, mean against median, outliers, zeros, distinct share."""
     columns = list(columns or roles(df)["numeric"])
-    facts = numeric_profile(df, columns).join(
-        F.broadcast(distinct_profile(df, columns).select("column", "unique")), "column")
+    counts = counts_of(df, columns)
+    facts = numeric_profile(df, columns, counts=counts).join(
+        F.broadcast(distinct_profile(df, columns, counts).select("column", "unique")), "column")
     gap = F.abs(F.col("mean") - F.col("median")) * 100
     share = percent(F.col("unique"), F.col("n_rows"))
     return _explode_rules(facts, [
@@ -370,12 +401,12 @@ def categorical_insights(df: DataFrame, columns: Sequence[str] | None = None) ->
         ("identifier", ~low & (share > 90)), ("mostly_missing", ~low & (F.col("missing_pct") > 20))])
 
 
-def suggest_targets(df: DataFrame) -> DataFrame:
+def suggest_targets(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Candidate model targets with kind and likelihood; name hints first, distinct counts as fallback."""
     by_role = roles(df)
     place = {c: i for i, c in enumerate(df.columns)}
     words = {c: next((w for w in TARGET_WORDS if w in c.lower()), None) for c in df.columns}
-    facts = distinct_profile(df).withColumn("place", F.create_map(*[F.lit(p) for i in place.items() for p in i])[F.col("column")])
+    facts = distinct_profile(df, counts=counts).withColumn("place", F.create_map(*[F.lit(p) for i in place.items() for p in i])[F.col("column")])
     hint = F.create_map(*[F.lit(p) for i in words.items() for p in i])[F.col("column")]
     in_role = lambda r: F.col("column").isin(by_role[r]) if by_role[r] else F.lit(False)
     unique = F.col("unique")

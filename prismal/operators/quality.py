@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismal.functions.moments import percent
-from prismal.operators.profile import distinct_profile, missing_profile, numeric_profile, table_info, text_profile
+from prismal.operators.profile import counts_of, distinct_profile, missing_of, missing_profile, numeric_profile, table_info, text_profile
 from prismal.plans.scalars import attach_row, union_all
 from prismal.session import materialize
 from prismal.sources.tables import roles
@@ -14,17 +14,17 @@ from prismal.sources.tables import roles
 
 def quality_parts(df: DataFrame) -> DataFrame:
     """The counts behind the score, in one row."""
-    by_role = roles(df)
+    by_role, counts = roles(df), counts_of(df)
     row = table_info(df).select("n_rows", "missing_pct", "duplicate_pct")
     if by_role["numeric"]:
-        row = attach_row(row, numeric_profile(df, by_role["numeric"]).agg(
+        row = attach_row(row, numeric_profile(df, by_role["numeric"], counts=counts).agg(
             F.count_if(F.col("outlier_pct") > 10).alias("outlier_cols"), F.count_if(F.abs("skew") > 3).alias("skewed_cols")))
     else:
         row = row.selectExpr("*", "0L AS outlier_cols", "0L AS skewed_cols")
     if by_role["categorical"]:
         c = F.col
         few = c("unique") < 10
-        row = attach_row(row, text_profile(df, by_role["categorical"]).agg(
+        row = attach_row(row, text_profile(df, by_role["categorical"], counts).agg(
             F.count_if((c("unique") > 100) & (c("unique") > 0.5 * c("n_rows"))).alias("high_card_cols"),
             (F.count_if(c("numeric_rows") > 0.8 * c("non_null")) + F.count_if(c("date_rows") > 0.8 * c("non_null"))).alias("dtype_issues"),
             (F.count_if(few & c("any_upper")) + F.count_if(few & (c("space_rows") > 0))).alias("text_issues")))
@@ -50,18 +50,18 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def quality_issues(df: DataFrame) -> DataFrame:
     """Issue rows (issue, column, amount); table-wide issues carry no column."""
-    by_role = roles(df)
+    by_role, counts = roles(df), counts_of(df)
     none = F.lit(None).cast("string")
     parts = [
-        missing_profile(df).select(F.lit("missing").alias("issue"), "column", F.col("missing").cast("double").alias("amount")),
+        missing_of(counts).select(F.lit("missing").alias("issue"), "column", F.col("missing").cast("double").alias("amount")),
         table_info(df).where("duplicate_rows > 0").select(
             F.lit("duplicates").alias("issue"), none.alias("column"), F.col("duplicate_rows").cast("double").alias("amount"))]
     if by_role["numeric"]:
-        numeric = materialize(numeric_profile(df, by_role["numeric"]), "numeric-profile")  # one row per column, read twice
+        numeric = materialize(numeric_profile(df, by_role["numeric"], counts=counts), "numeric-profile")  # one row per column, read twice
         parts.append(numeric.where("outliers > 0").select(F.lit("outliers").alias("issue"), "column", F.col("outlier_pct").alias("amount")))
         parts.append(numeric.where(F.abs("skew") > 3).select(F.lit("skewed").alias("issue"), "column", F.col("skew").alias("amount")))
     if by_role["categorical"]:
-        facts = materialize(text_profile(df, by_role["categorical"]), "text-profile")  # one row per column, read by every test
+        facts = materialize(text_profile(df, by_role["categorical"], counts), "text-profile")  # one row per column, read by every test
         tests = [
             ("likely_numeric", "numeric_rows > 0.8 * non_null", "numeric_rows"),
             ("likely_datetime", "date_rows > 0.8 * non_null", "date_rows"),
@@ -75,10 +75,11 @@ def quality_issues(df: DataFrame) -> DataFrame:
 
 def cleaning_issues(df: DataFrame) -> DataFrame:
     """Issue rows (column, issue, count, pct). Duplicates are listed under the column ``global``."""
-    by_role = roles(df)
+    by_role, counts = roles(df), counts_of(df)
+    info = materialize(table_info(df), "table-info")  # one row
     parts = [
-        missing_profile(df).select("column", F.lit("missing_values").alias("issue"), F.col("missing").alias("count"), F.col("missing_pct").alias("pct")),
-        table_info(df).where("duplicate_rows > 0").select(
+        missing_of(counts).select("column", F.lit("missing_values").alias("issue"), F.col("missing").alias("count"), F.col("missing_pct").alias("pct")),
+        info.where("duplicate_rows > 0").select(
             F.lit("global").alias("column"), F.lit("duplicate_rows").alias("issue"), F.col("duplicate_rows").alias("count"),
             F.col("duplicate_pct").alias("pct"))]
     issue = lambda name, count, base: F.struct(
@@ -90,11 +91,11 @@ def cleaning_issues(df: DataFrame) -> DataFrame:
         return facts.select("column", F.inline(found))
 
     if by_role["numeric"]:
-        parts.append(listed(numeric_profile(df, by_role["numeric"]), [
+        parts.append(listed(numeric_profile(df, by_role["numeric"], counts=counts), [
             (name, c(count) > 0, c(count), c("n_rows"))
             for name, count in (("outliers", "outliers"), ("zeros", "zeros"), ("negatives", "negatives"))]))
     if by_role["categorical"]:
-        parts.append(listed(text_profile(df, by_role["categorical"]), [
+        parts.append(listed(text_profile(df, by_role["categorical"], counts), [
             ("possible_numeric", c("numeric_rows") > 0.8 * c("non_null"), c("numeric_rows"), c("non_null")),
             ("possible_datetime", c("date_rows") > 0.8 * c("non_null"), c("date_rows"), c("non_null")),
             ("inconsistent_case", c("unique_lower") < c("unique"), c("unique") - c("unique_lower"), c("unique")),

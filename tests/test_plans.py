@@ -141,3 +141,23 @@ def test_size_checks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.prismal.oneTaskBytes")
         spark.conf.unset("spark.prismal.quantileBytes")
+
+
+def test_profiles_read_the_table_three_times_at_most(spark):
+    """Counts how often the rows of the source are really read, over all jobs of an operator."""
+    from prismal.operators import insights, profile, quality
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        reads.add(1)
+        yield from batches
+
+    frame = skewed(600).assign(t=lambda f: f["k"] + "x")
+    source = to_spark(spark, frame).coalesce(1)
+    df = source.mapInPandas(seen, source.schema)
+    for run in (profile.describe_numeric, profile.full_profile, quality.quality_score, quality.quality_issues, quality.cleaning_issues,
+                quality.cleaning_suggestions, insights.dataset_insights):
+        before = reads.value
+        run(df).collect()
+        assert 1 <= reads.value - before <= 3, run.__name__
