@@ -12,6 +12,8 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from prismal.llm import bpe, line_dedup, pii, quality_rank, quality_rules, rule_stats, token_counts, token_files
 from prismal.llm.queries import bpe_digests
 
@@ -246,3 +248,56 @@ def test_personal_data_learned_and_covered(spark):
     phone = re.compile(r"\+1 \([0-9]{3}\) 555-[0-9]{4}")
     assert clean[300] == "call [phone] now" and not any(phone.search(t) for t in clean.values()) and texts[0][:10] == clean[0][:10]
     assert all(phone.search(t) and "[phone]" in clean[i] for i, t in enumerate(texts))
+
+
+def luhn_number(rng, n=16):
+    head = [rng.randrange(10) for _ in range(n - 1)]
+    total = sum(d if i % 2 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(reversed(head)))
+    return "".join(map(str, [*head, -total % 10]))
+
+
+def test_personal_data_without_its_cue_is_added_and_decoys_are_not(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    four = lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+    phone = lambda: f"({rng.randrange(200, 999)}) 555-{digits(4)}"
+    seen = [f"ana{i} wrote ana{digits(2)}@site{digits(1)}.org from {four()} paid {luhn_number(rng)} rang +1 {phone()} then" for i in range(200)]
+    card, other, ip = luhn_number(rng), luhn_number(rng), four()
+    planted = [("email", "bob.lee (at) example (dot) org"), ("email", "kim[at]mail[dot]example[dot]com"), ("email", "joe at example dot net"),
+               ("ip", ip.replace(".", "[.]")), ("ip", ip.replace(".", " . ")), ("card", ".".join(card[i:i + 4] for i in range(0, 16, 4))),
+               ("card", "  ".join(card[i:i + 4] for i in range(0, 16, 4))), ("phone", phone()), ("phone", f"0044 {phone()}")]
+    bad = card[:-1] + str((int(card[-1]) + 3) % 10)
+    decoys = [bad, "2019-04-17", "order 4417 2231", "12 @ 3.50", "lunch (at) 10.30", "412[.]678[.]901[.]333", f"token a{digits(9)}b", "look at the dot product", "1699999999"]
+    texts = seen + [f"then {x} end" for _, x in planted] + [f"then {x} end" for x in decoys] + [f"then {card} {other} end"]
+    found = pii.spans(documents(spark, texts)).filter("added").collect()
+    got = {(r.doc_id, r.kind, r.start, r.end) for r in found if r.doc_id >= len(seen)}
+    want = {(len(seen) + i, k, 5, 5 + len(x)) for i, (k, x) in enumerate(planted)}
+    last = len(texts) - 1
+    want |= {(last, "card", 5, 21), (last, "card", 22, 38)}  # the base drops a chain of 32 digits without a second try
+    assert got == want
+
+
+def test_masked_examples_reach_their_thresholds(spark):
+    rng = random.Random(10)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"a{digits(3)}@b{digits(1)}.net or {rng.randrange(9, 255)}.{rng.randrange(9, 255)}.9.{rng.randrange(9, 255)} or {luhn_number(rng)} or +4{digits(1)} {digits(3)} {digits(6)} or"
+             for _ in range(200)]
+    found = pii.matches(documents(spark, texts), "doc_id", "text").cache()
+    wide = pii.featured(pii.proposals(found)).cache()
+    chosen = pii.examples(found, wide, 10_000, 7)
+    base = found.filter(F.col("pattern").isin(*pii.KINDS)).filter(pii.passes(F.col("pattern"), F.col("match")))
+    written = pii.masked(base).select(F.explode("forms").alias("f")).distinct().count()
+    taken = pii.formed(pii.masked(base)).filter("as = kind").select("match").distinct().count()
+    assert taken >= 0.97 * written  # what the generators propose of the masked forms
+    _, limits, reached = pii.fit(chosen)
+    assert set(limits) == set(pii.KINDS) and min(reached.values()) >= 0.9
+    assert pii.examples(found.limit(0), wide, 10_000, 7) is None
+
+
+def test_pieces_of_long_chains_are_linear_and_in_place(spark):
+    text = "x " + " ".join(f"{i % 90 + 10}" for i in range(20_000)) + " y"
+    found = pii.matches(documents(spark, [text]), "doc_id", "text")
+    rows = pii.pieces(found).collect()
+    assert 4 * 20_000 < len(rows) <= pii.RUN * 20_000
+    for r in rows[:: 997]:
+        assert text[r.start:r.end] == r.match and text[:r.start].endswith(r.before) and text[r.end:].startswith(r.after) and len(r.before) == min(24, r.start)
