@@ -1,4 +1,4 @@
-"""Density clusters (DBSCAN), exact for up to four dimensions.
+"""Density clusters (DBSCAN), exact for any number of columns.
 
 Space is cut into cells whose diagonal is eps, so rows of one cell are always
 neighbours: a cell with ``min_rows`` rows is all core and needs no pair at all.
@@ -6,6 +6,12 @@ Only rows of sparse cells (fewer than ``min_rows`` each) meet the rows around
 them. Two core cells are linked through shrinking boxes: boxes wholly within eps
 link, boxes wholly beyond eps drop out, and only small undecided boxes compare
 their rows.
+
+Up to ``GRID_COLUMNS`` columns the cells around a cell are listed. Beyond, where they
+would be too many, rows meet over a grid of their ``GRID_COLUMNS`` columns of largest
+variance (rows within eps lie within one step of it on each) and are then compared on
+all columns; cells meet likewise by the lower corners of their boxes. The more columns,
+the fewer rows share a cell: the cost then nears that of the rows close on the grid's columns.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from prismal.plans.ordered import value_ranks
 from prismal.plans.scalars import union_all
 from prismal.session import materialize
 
-MOST_DIMENSIONS = 4
+GRID_COLUMNS = 4
 PAIR_LIMIT = 4096
 
 
@@ -40,6 +46,23 @@ def _around(cell: str, d: int, forward: bool = False) -> Column:
     return F.expr(f"array({', '.join(parts)})")
 
 
+def _beside(place: str, m: int) -> Column:
+    """Array of the places at most one step away on each axis of a grid."""
+    parts = ["array(" + ", ".join(f"{place}[{i}] + {s}L" for i, s in enumerate(o)) + ")" for o in itertools.product((-1, 0, 1), repeat=m)]
+    return F.expr(f"array({', '.join(parts)})")
+
+
+def _place(point: str, step: float, axes: Sequence[int]) -> Column:
+    """Place of a point array on a grid over some axes; the step is a little longer, so rounding never parts neighbours."""
+    return F.array(*[F.floor(F.col(point)[i] / (step * (1 + 1e-6))).cast("long") for i in axes])
+
+
+def _widest(points: DataFrame, d: int) -> list[int]:
+    """The axes of largest variance, at most ``GRID_COLUMNS``."""
+    spread = points.agg(*[F.coalesce(F.var_pop(F.col("_p")[i]), F.lit(0.0)).alias(f"v{i}") for i in range(d)]).first()
+    return sorted(sorted(range(d), key=lambda i: -spread[i])[:GRID_COLUMNS])
+
+
 def _apart(a: str, b: str, d: int) -> Column:
     """Squared distance between two point arrays."""
     return sum(((F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(d)), F.lit(0.0))
@@ -60,7 +83,7 @@ def _cell_of(side: float, d: int) -> Column:
     return F.array(*[F.floor(F.col("_p")[i] / side).cast("long") for i in range(d)])
 
 
-def _link_cells(core: DataFrame, side: float, eps: float, d: int, pair_limit: int) -> DataFrame:
+def _link_cells(core: DataFrame, side: float, eps: float, d: int, pair_limit: int, axes: Sequence[int] | None) -> DataFrame:
     """Pairs (cell_a, cell_b) of core cells with two core rows within eps."""
     def boxes(level: int) -> DataFrame:
         ends = [fn(F.col("_p")[i]).alias(f"{name}{i}") for name, fn in (("lo", F.min), ("hi", F.max)) for i in range(d)]
@@ -72,7 +95,12 @@ def _link_cells(core: DataFrame, side: float, eps: float, d: int, pair_limit: in
 
     level, linked = 0, []
     cells = materialize(boxes(0), "boxes")
-    near = named(cells, "a").select("*", F.explode(_around("box_a", d, forward=True)).alias("box_b")).join(named(cells, "b"), "box_b")
+    if axes is None:
+        near = named(cells, "a").select("*", F.explode(_around("box_a", d, forward=True)).alias("box_b")).join(named(cells, "b"), "box_b")
+    else:  # lower corners of cells with rows within eps are at most eps and a side apart
+        step = eps + side
+        a = named(cells, "a").withColumn("_at", _place("lo_a", step, axes)).select("*", F.explode(_beside("_at", len(axes))).alias("_to")).drop("_at")
+        near = a.join(named(cells, "b").withColumn("_to", _place("lo_b", step, axes)), "_to").where("box_a < box_b").drop("_to")
     open_pairs = near.select("*", F.col("box_a").alias("cell_a"), F.col("box_b").alias("cell_b"))
     while True:
         least, most = _box_gaps(d)
@@ -106,8 +134,8 @@ def dbscan(df: DataFrame, columns: Sequence[str], key: str, eps: float, min_rows
     A border row within reach of several clusters joins the one with the lowest key.
     """
     d = len(columns)
-    if not 1 <= d <= MOST_DIMENSIONS:
-        raise ValueError(f"1..{MOST_DIMENSIONS} columns")
+    if d < 1:
+        raise ValueError("at least one column")
     rows = df.dropna(subset=list(columns)).select(F.col(key).cast("long").alias("_k"), *columns)
     if standardize:
         rows = standard_scale(rows, columns, population=True)
@@ -115,19 +143,26 @@ def dbscan(df: DataFrame, columns: Sequence[str], key: str, eps: float, min_rows
     side = eps / math.sqrt(d) * (1 - 1e-12)
     points = rows.select("_k", F.array(*[F.col(c).cast("double") for c in columns]).alias("_p")).withColumn("_cell", _cell_of(side, d))
     points = materialize(points, "points")
+    if d <= GRID_COLUMNS:
+        axes, at, around_row = None, "_cell", _around("_cell", d)
+    else:
+        axes, at = _widest(points, d), "_at"
+        around_row = _beside("_at", len(axes))
+        points = points.withColumn("_at", _place("_p", eps, axes))
+    kept = list(dict.fromkeys(["_k", "_p", "_cell", at]))
 
     sizes = points.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
     sized = points.join(sizes, "_cell")
-    crowded = sized.where(F.col("_n") >= min_rows).select("_k", "_p", "_cell")
-    sparse = sized.where(F.col("_n") < min_rows).select("_k", "_p", "_cell")
-    around = sparse.select(F.col("_k"), F.col("_p").alias("_q"), F.explode(_around("_cell", d)).alias("_cell"))
-    counts = (around.join(points.select("_p", "_cell"), "_cell").where(_apart("_q", "_p", d) <= eps * eps)
+    crowded = sized.where(F.col("_n") >= min_rows).select(*kept)
+    sparse = sized.where(F.col("_n") < min_rows).select(*kept)
+    around = sparse.select(F.col("_k"), F.col("_p").alias("_q"), F.explode(around_row).alias(at))
+    counts = (around.join(points.select("_p", at), at).where(_apart("_q", "_p", d) <= eps * eps)
               .groupBy("_k").agg(F.count(F.lit(1)).alias("_near")))
     judged = materialize(sparse.join(counts, "_k").withColumn("_core", F.col("_near") >= min_rows), "judged")
-    core = materialize(crowded.unionByName(judged.where("_core").select("_k", "_p", "_cell")), "core")
+    core = materialize(crowded.unionByName(judged.where("_core").select(*kept)), "core")
 
     cells = materialize(core.groupBy("_cell").agg(F.min("_k").alias("node")), "cells")
-    links = _link_cells(core, side, eps, d, pair_limit)
+    links = _link_cells(core, side, eps, d, pair_limit, axes)
     edges = (links.join(cells.select(F.col("_cell").alias("cell_a"), F.col("node").alias("a")), "cell_a")
              .join(cells.select(F.col("_cell").alias("cell_b"), F.col("node").alias("b")), "cell_b"))
     roots = components(cells.select("node"), edges)
@@ -136,8 +171,8 @@ def dbscan(df: DataFrame, columns: Sequence[str], key: str, eps: float, min_rows
     labelled = materialize(labelled.join(ids, "root").select("_cell", "cluster"), "labelled")
 
     core_rows = core.join(labelled, "_cell").select("_k", "cluster", F.lit(True).alias("is_core"))
-    edge_rows = judged.where("NOT _core").select("_k", F.col("_p").alias("_q"), F.explode(_around("_cell", d)).alias("_cell"))
-    touched = (edge_rows.join(core.join(labelled, "_cell").select("_cell", "_p", "cluster"), "_cell")
+    edge_rows = judged.where("NOT _core").select("_k", F.col("_p").alias("_q"), F.explode(around_row).alias(at))
+    touched = (edge_rows.join(core.join(labelled, "_cell").select(at, "_p", "cluster"), at)
                .where(_apart("_q", "_p", d) <= eps * eps).groupBy("_k").agg(F.min("cluster").alias("cluster")))
     other_rows = judged.where("NOT _core").select("_k").join(touched, "_k", "left").select(
         "_k", F.coalesce("cluster", F.lit(-1)).alias("cluster"), F.lit(False).alias("is_core"))

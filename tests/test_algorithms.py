@@ -99,6 +99,23 @@ def test_dbscan_equals_brute_force(spark, d, limit):
     assert list(got["cluster"]) == list(label)
 
 
+@pytest.mark.parametrize("d", [5, 8, 64])
+def test_dbscan_of_many_columns_equals_brute_force(spark, d):
+    rng = np.random.default_rng(d)
+    p = np.vstack([rng.normal(0, 0.15, (110, d)), rng.normal(1.2, 0.2, (90, d)), rng.uniform(-1, 3, (40, d)), np.full((40, d), 0.3)])
+    p[:, 1] = 7.0  # a column that tells nothing apart
+    apart = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
+    eps = float(np.quantile(np.sort(apart, axis=1)[:, 6], 0.55))
+    frame = pd.DataFrame(p, columns=[f"x{i}" for i in range(d)]).assign(k=np.arange(len(p)))
+    rows, names = spark.createDataFrame(frame), [f"x{i}" for i in range(d)]
+    got = density.dbscan(rows, names, "k", eps, 6).toPandas().sort_values("k")
+    label, core = brute_dbscan(p, eps, 6)
+    assert list(got["is_core"]) == list(core) and 0 < core.sum() < len(p)
+    assert list(got["cluster"]) == list(label)
+    if d == 5:
+        assert density.dbscan(rows.limit(0), names, "k", eps, 6).count() == 0
+
+
 def test_isolation_forest_finds_far_rows(spark):
     frame = skewed(1500)
     frame["x"] = np.random.default_rng(0).normal(0, 1, 1500)
