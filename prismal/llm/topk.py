@@ -3,9 +3,10 @@
 Vectors are grouped by length into buckets of neighbours in length, dealt out by ranges, so that equal lengths
 may span buckets. A first round over the longest bucket gives every query a score that its k-th best can't fall
 below. From that follows, for each bucket, the cosine that a vector must reach: above 1 the bucket is
-passed over; if it is high, the query's largest coordinates bound those of any vector that reaches it, and just
+passed over before its vectors are shipped; if it is high, the query's largest coordinates bound those of any vector that reaches it, and just
 vectors within the bounds are verified (coordinate pruning); else vectors too short for the score are left out
-(length pruning). What remains is verified with full products. Queries travel in blocks.
+(length pruning). What remains is verified with full products. Queries travel in blocks; a block meets a bucket
+if one of its queries may find something there.
 
 Components are taken as floor(256 * x) in double arithmetic. Sums are exact: in double arithmetic as long as no product can pass 2^53, else in
 integers of any size; scores beyond 64 bits are held at the largest such integer.
@@ -27,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prismal.plans.ordered import running_totals
 from prismal.session import materialize
 
+#: Lengths are rounded; nothing that reaches the floor may be left out.
+SLACK = 1 + 1e-9
 #: From this cosine on, coordinates are looked at before the full product.
 COORDINATE_COSINE = 0.6
 FOCUS = 4
@@ -117,6 +121,26 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
 
 
+def needed_length(queries: np.ndarray, floor_: np.ndarray) -> np.ndarray:
+    """The length that a vector must have to reach a query's floor in its own direction; infinite if none can."""
+    own = np.sqrt((queries**2).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(own > 0, floor_ / own, np.where(floor_ > 0, np.inf, -np.inf)) / SLACK
+    return np.where(np.isnan(need), -np.inf, need)
+
+
+def meetings(needs: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``qb`` and ``bucket`` of every block of queries and each bucket, but the longest, that holds a vector long enough for it.
+
+    ``needs``: ``qb`` and ``need``, the least length that may be of use to a query of the block. ``buckets``: ``bucket``,
+    numbered from the longest down, and ``longest``. The buckets in reach are the first ones: a running count along the lengths tells how many.
+    """
+    lengths = buckets.select((F.col("longest") * SLACK).alias("_length"), F.lit(None).cast("long").alias("qb"), F.lit(1).cast("long").alias("_n"))
+    both = lengths.unionByName(needs.select(F.col("need").alias("_length"), "qb", F.lit(0).cast("long").alias("_n")))
+    reach = running_totals(both, "_length", {"_upto": "_n"}, descending=True).filter("qb IS NOT NULL AND _upto > 1")
+    return reach.select("qb", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_upto") - 1)).alias("bucket"))
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, floor_: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int):
     """(query place, vector place, score) of all that may be among a query's k best, at most k for each query.
 
@@ -126,9 +150,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, floor_: np.ndarray,
     order = np.argsort(-length, kind="stable")
     vectors, ids, length = vectors[order], ids[order], length[order]
     own = np.sqrt((queries**2).sum(axis=1))
-    slack = 1 + 1e-9  # lengths are rounded; nothing that reaches the floor may be left out
     with np.errstate(divide="ignore", invalid="ignore"):
-        need = np.where(own * length[0] > 0, floor_ / (own * length[0]), np.where(floor_ > 0, np.inf, -np.inf)) / slack
+        need = np.where(own * length[0] > 0, floor_ / (own * length[0]), np.where(floor_ > 0, np.inf, -np.inf)) / SLACK
     found = []
 
     def take(q: int, scores: np.ndarray, places: np.ndarray) -> None:
@@ -140,8 +163,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, floor_: np.ndarray,
     for q in np.flatnonzero(fine):
         unit = queries[q] / own[q]
         focus = np.argsort(-np.abs(unit))[:FOCUS]
-        alive = length * own[q] * slack >= floor_[q]
-        cosine = floor_[q] / np.maximum(length * own[q], 1e-300) / slack
+        alive = length * own[q] * SLACK >= floor_[q]
+        cosine = floor_[q] / np.maximum(length * own[q], 1e-300) / SLACK
         cosine = np.clip(cosine, -1.0, 1.0)
         for f in focus:  # the cosine on the coordinate and on the rest can't both fall short
             room = np.sqrt(np.maximum(1 - cosine**2, 0.0) * max(1 - unit[f] ** 2, 0.0)) + 1e-9
@@ -154,7 +177,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, floor_: np.ndarray,
     plain = np.flatnonzero(need < COORDINATE_COSINE)
     for first in range(0, len(plain), 128):
         some = plain[first : first + 128]
-        least = np.min(floor_[some] / np.maximum(own[some], 1e-300) / slack)
+        least = np.min(floor_[some] / np.maximum(own[some], 1e-300) / SLACK)
         upto = int(np.searchsorted(-length, -least, "right")) if least > 0 else len(length)
         if upto:
             scores = products(queries[some], vectors[:upto])
@@ -179,7 +202,6 @@ def top_products(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str
     buckets = materialize(numbered(materialize(packed(buckets, per_bucket, width), "blocks"), "bucket"), "buckets")
     asked = rows.filter(F.col("id") % every == 0).dropDuplicates(["id", "vector"])
     blocks = materialize(numbered(materialize(packed(asked, per_queries, width), "blocks"), "qb"), "queries")
-    n_buckets = buckets.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,30 +222,27 @@ def top_products(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str
 
     ask = blocks.select("qb", F.col("matrix").alias("queries"), F.col("ids").alias("query_ids"), "n")
     # The buckets are numbered from the longest vectors down, so number 0 gives the floors.
-    def visit(queries: DataFrame, low: int, high: int) -> DataFrame:
-        """One row for each block of queries and each bucket from ``low`` to ``high``."""
-        return queries.withColumn("bucket", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("bucket", F.col("bucket").cast("long"))
-
-    first = visit(ask.withColumn("floors", F.lit(None).cast("binary")), 0, 0)
+    first = ask.withColumns({"floors": F.lit(None).cast("binary"), "bucket": F.lit(0).cast("long")})
     first = materialize(met(first.join(buckets.drop("n", "longest"), "bucket")), "first")
     kth = first.groupBy("qb", "q").agg(F.sort_array(F.collect_list("score")).alias("s"))  # at most k for each query
     kth = kth.filter(F.size("s") >= k).groupBy("qb").agg(F.collect_list(F.struct("q", F.col("s")[0].alias("f"))).alias("known"))
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = []
-            for n, known in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            values, needs = [], []
+            for n, known, matrix in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 one = np.full(n, -np.inf)
                 for entry in known or []:
                     one[entry["q"]] = entry["f"]
                 values.append(one.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["qb", "floors"])
-
-    floored = ask.select("qb", "n").join(kth, "qb", "left").select("qb", "n", "known").mapInArrow(floors, "qb long, floors binary")
-    # Every block of queries goes once to every other bucket: one row for each meeting, dealt out by the bucket.
-    others = buckets.filter("bucket > 0").drop("n", "longest")
-    pairs = visit(ask.drop("n").join(floored, "qb"), 1, max(n_buckets - 1, 1)).join(others, "bucket")
-    rest = met(pairs)
+                needs.append(float(needed_length(unpacked(matrix, n, width), one).min()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary()), pa.array(needs, pa.float64())], names=["qb", "floors", "need"])
+
+    floored = ask.select("qb", "n", "queries").join(kth, "qb", "left").select("qb", "n", "known", "queries")
+    floored = materialize(floored.mapInArrow(floors, "qb long, floors binary, need double"), "floors")
+    # A block of queries goes once to every other bucket in its reach: one row for each meeting, dealt out by the bucket.
+    pairs = meetings(floored, buckets).join(ask.drop("n"), "qb").join(floored.drop("need"), "qb")
+    rest = met(pairs.join(buckets.drop("n", "longest"), "bucket"))
     everything = first.unionByName(rest)
     order = Window.partitionBy("qb", "q").orderBy(F.desc("score"), "vec_id")
     ranked = everything.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -217,6 +217,17 @@ def test_top_products(spark, spread, per):
     assert topk.top_products(df.limit(0)).count() == 0
 
 
+def test_query_blocks_meet_only_buckets_in_reach(spark):
+    lengths = [90.0, 40.0, 40.0, 7.0, 0.0]
+    needs = [float("-inf"), 0.0, 6.9999, 40.0, 41.0, 91.0, float("inf")]
+    buckets = spark.createDataFrame(list(enumerate(lengths)), "bucket long, longest double")
+    found = topk.meetings(spark.createDataFrame(list(enumerate(needs)), "qb long, need double"), buckets)
+    assert sorted(map(tuple, found.collect())) == [(q, b) for q, need in enumerate(needs) for b in range(1, 5) if lengths[b] >= need]
+    queries = np.array([[3.0, 4.0], [0.0, 0.0], [0.0, 0.0], [3.0, 4.0]])
+    need = topk.needed_length(queries, np.array([50.0, 1.0, 0.0, -np.inf]))
+    assert 9.99 < need[0] <= 10 and need[1] == np.inf and need[2] == need[3] == -np.inf
+
+
 def test_top_products_of_great_numbers(spark):
     rows = [(0, [3e18, 1.0]), (1, [2e17, -5.0]), (2, [-2e17, 7.0]), (3, [float(2**30), 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
