@@ -222,8 +222,9 @@ def top_products(df: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str
 
     ask = blocks.select("qb", F.col("matrix").alias("queries"), F.col("ids").alias("query_ids"), "n")
     # The buckets are numbered from the longest vectors down, so number 0 gives the floors.
-    first = ask.withColumns({"floors": F.lit(None).cast("binary"), "bucket": F.lit(0).cast("long")})
-    first = materialize(met(first.join(buckets.drop("n", "longest"), "bucket")), "first")
+    first = ask.select("*", F.lit(None).cast("binary").alias("floors"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("bucket"))
+    longest = F.broadcast(buckets.filter("bucket = 0").drop("n", "longest"))  # one row of at most ``per_bucket`` vectors
+    first = materialize(met(first.join(longest, "bucket")), "first")
     kth = first.groupBy("qb", "q").agg(F.sort_array(F.collect_list("score")).alias("s"))  # at most k for each query
     kth = kth.filter(F.size("s") >= k).groupBy("qb").agg(F.collect_list(F.struct("q", F.col("s")[0].alias("f"))).alias("known"))
 
