@@ -1,26 +1,27 @@
 """Exact k nearest neighbours between two tables, and the vote and mean built on them.
 
-Space is cut into boxes. Every query row first meets the reference rows of its
-own box, which bounds how far its k-th neighbour can be; then it meets only the
-boxes within that bound. Boxes with many rows are split by a key hash, so one
+The reference rows are cut into boxes by a tree of written tables. Every query row descends the tree to the boxes
+that may hold one of its k nearest, and meets them best-first in waves: the closest boxes that together hold k rows, then
+those still within the distance so found, ever more at a time. Boxes with many rows are split by a key hash, so one
 task never holds more than a slice. Each meeting returns at most k rows per
 query row, so pairs are never written out.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismal.plans.space import BoxTree, box_tree
+from prismal.plans.space import box_tree, boxes_in_reach
 from prismal.session import materialize
 
 SLICE_ROWS = 50_000
+#: Each wave goes to that many times the boxes of the one before.
+WAVE = 8
 _CHUNK = 4_000_000
 
 
@@ -29,35 +30,21 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt((gap**2).sum(axis=2)) if metric == "euclidean" else np.abs(gap).sum(axis=2)
 
 
-def _placed(df: DataFrame, columns: Sequence[str], tree: BoxTree) -> DataFrame:
-    names = list(columns)
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(_box=tree.locate(batch[names].to_numpy(dtype="float64")).astype("int32"))
-
-    schema = ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + ", _box int"
-    return df.mapInPandas(place, schema)
-
-
-def _slices(df: DataFrame, key: str, slice_rows: int) -> dict[int, int]:
-    """Slices per box (at most one row per box is read)."""
-    sizes = df.groupBy("_box").agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["_box"]: max(1, math.ceil(r["n"] / slice_rows)) for r in sizes}
-
-
-def _lookup(sizes: dict[int, int], column: str = "_box"):
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(p) for item in sizes.items() for p in item]), F.col(column)), F.lit(1))
+def _meetings(visits: DataFrame, leaves: DataFrame, slice_rows: int) -> DataFrame:
+    """``_box`` with the number of slices of its query rows and of its reference rows; one row for each box visited."""
+    slices = lambda n: F.greatest(F.lit(1), F.ceil(n / slice_rows)).cast("long")
+    asked = visits.groupBy("_box").agg(slices(F.count(F.lit(1))).alias("_qn"))
+    return asked.join(leaves.select("_box", slices(F.col("n")).alias("_rn")), "_box")
 
 
-def _meet(queries: DataFrame, reference: DataFrame, columns: Sequence[str], k: int, metric: str, q_slices: dict, r_slices: dict) -> DataFrame:
+def _meet(visits: DataFrame, reference: DataFrame, leaves: DataFrame, columns: Sequence[str], k: int, metric: str, slice_rows: int) -> DataFrame:
     """Best k reference rows per query row inside every (box, query slice, reference slice)."""
     names = list(columns)
-    steps = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = queries.select("*", F.pmod(F.xxhash64("_q"), _lookup(q_slices)).alias("_qs"), steps(_lookup(r_slices)).alias("_rs"))
-    right = reference.select("*", F.pmod(F.xxhash64("_r"), _lookup(r_slices)).alias("_rs"), steps(_lookup(q_slices)).alias("_qs"))
-    left = left.withColumns({c: F.col(c).cast("long") for c in ("_qs", "_rs")})
-    right = right.withColumns({c: F.col(c).cast("long") for c in ("_qs", "_rs")})
+    sizes = _meetings(visits, leaves, slice_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left, right = visits.select("_q", *names, "_box").join(sizes, "_box"), reference.join(sizes, "_box")
+    left = left.select("_q", *names, "_box", F.pmod(F.xxhash64("_q"), F.col("_qn")).alias("_qs"), every("_rn").alias("_rs"))
+    right = right.select("_r", *names, "_box", F.pmod(F.xxhash64("_r"), F.col("_rn")).alias("_rs"), every("_qn").alias("_qs"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
@@ -91,30 +78,23 @@ def nearest(queries: DataFrame, reference: DataFrame, columns: Sequence[str], k:
     doubles = [F.col(c).cast("double").alias(c) for c in columns]
     q = queries.dropna(subset=list(columns)).select(F.col(query_key).cast("long").alias("_q"), *doubles)
     r = reference.dropna(subset=list(columns)).select(F.col(reference_key).cast("long").alias("_r"), *doubles)
-    tree = box_tree(r, columns, ["_r"], max(1, min(4096, math.ceil(r.count() / box_rows))))
-    q, r = _placed(q, columns, tree), _placed(r, columns, tree)
-    r_slices = _slices(r, "_r", slice_rows)
-    first = materialize(_closest(_meet(q, r, columns, k, metric, _slices(q, "_q", slice_rows), r_slices), k), "nearest") if tree.boxes > 1 else None
-    if first is None:
-        found = _closest(_meet(q, r, columns, k, metric, _slices(q, "_q", slice_rows), r_slices), k)
+    tree = box_tree(r, columns, box_rows)
+    meet = lambda visits: _meet(visits, tree.rows, tree.leaves, columns, k, metric, slice_rows)
+    reach = boxes_in_reach(q, "_q", columns, tree, k, metric)
+    if len(tree.levels) == 1:
+        found = _closest(meet(reach), k)
     else:
-        bound = first.groupBy("_q").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_have"))
-        radius = F.when(F.col("_have") >= k, F.col("_far")).otherwise(F.lit(float("inf")))
-        bounded = q.join(bound, "_q", "left").withColumn("_radius", F.coalesce(radius, F.lit(float("inf")))).drop("_far", "_have")
-        names = list(columns)
-
-        def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                points, home = batch[names].to_numpy("float64"), batch["_box"].to_numpy()
-                for rows, box in tree.reach(points, batch["_radius"].to_numpy("float64"), metric):
-                    rows = rows[home[rows] != box]
-                    if len(rows):
-                        yield batch.iloc[rows][["_q", *names]].assign(_box=np.int32(box))
-
-        schema = "_q long, " + ", ".join(f"`{c}` double" for c in columns) + ", _box int"
-        others = bounded.select("_q", *columns, "_box", "_radius").mapInPandas(spread, schema)
-        second = _meet(others, r, columns, k, metric, _slices(others, "_q", slice_rows), r_slices)
-        found = _closest(first.select("_q", "_r", "distance").unionByName(second), k)
+        nearer = Window.partitionBy("_q").orderBy("gap", "_box")
+        ahead = F.coalesce(F.sum("n").over(nearer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        later = 1 + F.floor(F.log(F.row_number().over(nearer).cast("double")) / F.log(F.lit(float(WAVE)))).cast("int")
+        reach = materialize(reach.withColumn("_wave", F.when(ahead < k, 0).otherwise(later)), "waves")
+        found = materialize(_closest(meet(reach.where("_wave = 0")), k), "nearest")
+        for wave in range(1, 1 + (reach.agg(F.max("_wave")).first()[0] or 0)):
+            bound = found.groupBy("_q").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_have"))
+            bound = bound.select("_q", F.when(F.col("_have") >= k, F.col("_far")).otherwise(F.lit(float("inf"))).alias("_far"))
+            visits = materialize(reach.where(F.col("_wave") == wave).join(bound, "_q").where("gap <= _far"), "visits")
+            if not visits.isEmpty():
+                found = materialize(_closest(found.drop("rank").unionByName(meet(visits)), k), "nearest")
     return found.select(F.col("_q").alias(query_key), F.col("_r").alias(reference_key), "distance", "rank")
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismal.operators import anomaly, cluster, corr, density, explore, frames, ml, neighbours, stats
+from prismal.plans import space
 from tests.test_plans import skewed, to_spark
 
 
@@ -58,6 +59,32 @@ def test_nearest_equals_brute_force_with_a_hot_spot(spark, metric):
         np.testing.assert_allclose(mine["distance"], far[i][want])
 
 
+@pytest.mark.parametrize("k, rows", [(1, 400), (40, 400), (9, 7), (3, 0)])
+def test_nearest_over_uneven_boxes(spark, k, rows):
+    """Boxes with fewer rows than k, equal points in crowded boxes, queries far from all boxes, fewer rows than k, no rows."""
+    rng = np.random.default_rng(3)
+    ref = np.round(np.exp(rng.normal(0, 2, (rows, 2))), 1)
+    ref[rows // 2:, 1] = 1.5
+    qs = np.vstack([np.round(np.exp(rng.normal(0, 2, (30, 2))), 1), [[-1e6, 4.0], [1e9, -1e9]]])
+    r = spark.createDataFrame(pd.DataFrame(ref, columns=["x", "y"]).assign(r=np.arange(rows)), "x double, y double, r long")
+    q = spark.createDataFrame(pd.DataFrame(qs, columns=["x", "y"]).assign(q=np.arange(32)))
+    found = neighbours.nearest(q, r, ["x", "y"], k, "q", "r", slice_rows=25, box_rows=3)
+    assert "map(" not in found._jdf.queryExecution().toString()
+    got = sorted((p["q"], p["rank"], p["r"]) for p in found.collect())
+    far = np.sqrt(((qs[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2))
+    assert got == [(i, n + 1, j) for i in range(32) for n, j in enumerate(np.lexsort((np.arange(rows), far[i]))[:k])]
+
+
+def test_boxes_hold_few_points_unless_equal(spark):
+    rows = [(i, float(i % 7), 2.0, float(i) if i < 500 else 0.0) for i in range(900)] + [(1000 + i, 3.0, 3.0, 3.0) for i in range(60)]
+    tree = space.box_tree(spark.createDataFrame(rows, "r long, x double, y double, z double"), ["x", "y", "z"], 20)
+    placed = tree.rows.groupBy("_box").agg({"r": "count"}).toDF("_box", "n")
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, tree.leaves.collect()))
+    held = tree.rows.toPandas()
+    assert len(held) == 960 and len(tree.levels) > 2
+    assert all(len(box) <= 20 or len(box.drop(columns=["r", "_box"]).drop_duplicates()) == 1 for _, box in held.groupby("_box"))
+
+
 def test_knn_vote_and_mean(spark):
     train = spark.createDataFrame([(1, 0.0, "b", 1.0), (2, 1.0, "a", 3.0), (3, 9.0, "a", 5.0)], "t long, x double, c string, v double")
     q = spark.createDataFrame([(7, 0.0), (8, 0.4)], "q long, x double")
