@@ -111,6 +111,14 @@ def dealt(spark: SparkSession, names: list[str], blocks: list[int], weights: lis
             return spark.read.parquet(path)
 
 
+def free_of_underscores(columns: list[str]) -> dict[str, str]:
+    """New names for the columns whose names begin with an underscore, as those of the steps here do."""
+    free = "column"
+    while any(c.lower().startswith(free) for c in columns):
+        free += "s"
+    return {c: f"{free}{i}" for i, c in enumerate(columns) if c.startswith("_")}
+
+
 def with_blocks(rows: DataFrame, block_size: int) -> DataFrame:
     """Adds ``block`` and ``_row``: rows of ``_source`` in the order of ``_order``, ``_tie``, a new block with every ``block_size`` of ``_size``.
 
@@ -138,6 +146,8 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     an equal weight. Without weights every source, however many there are, has the square root of its size. Sizes are characters and one for each document. Order by ``slot``, ``place`` to read the mix.
     ``keep`` is applied to the measured documents before they are dealt out; a caller that needs no texts drops them there.
     """
+    own_names = free_of_underscores(df.columns)
+    df, (source, doc_id, text) = df.withColumnsRenamed(own_names), (own_names.get(c, c) for c in (source, doc_id, text))
     name = F.coalesce(F.col(source).cast("string"), F.lit(NO_SOURCE))
     size = F.length(F.coalesce(F.col(text), F.lit(""))) + 1
     if weights is not None:
@@ -168,8 +178,9 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
     numbered = per.join(lines, ["_source", "_number"]).select("_source", "block", "_number", "_begin", "slot")
     out = rows.join(numbered, ["_source", "block"])
     place = F.col("_row") - F.col("_begin") + 1
-    kept = [c for c in rows.columns if not c.startswith("_") or c in df.columns]
-    return out.withColumn("place", place).select(*[c for c in kept if c != "block"], F.col("_number").alias("block"), "slot", "place")
+    kept = [c for c in rows.columns if not c.startswith("_") and c != "block"]
+    out = out.withColumn("place", place).select(*kept, F.col("_number").alias("block"), "slot", "place")
+    return out.withColumnsRenamed({new: old for old, new in own_names.items()})
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

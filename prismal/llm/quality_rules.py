@@ -115,7 +115,10 @@ def anomaly(df: DataFrame, forest: list[dict], rows_per_tree: int = 256, name: s
     """Adds the anomaly, between 0 and 1; about 0.5 is usual. Needs the counts of ``with_counts``."""
     trees = [tuple(np.array(t[k]) for k in ("feature", "cut", "left", "right", "depth")) for t in forest]
     scale = mean_path(rows_per_tree)
-    names = [f"_ratio{i}" for i in range(len(FEATURES))]
+    free = "_ratio"
+    while any(c.lower().startswith(free) for c in df.columns):
+        free = "_" + free
+    names = [f"{free}{i}" for i in range(len(FEATURES))]
     own = statistics()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
