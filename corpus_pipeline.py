@@ -1,6 +1,12 @@
 """From raw documents to training tokens, in stages that each call one operator of prismal.llm.
 
 Every stage works on all documents that the one before it kept; all but the last return the columns of ``documents``.
+
+Defined results: a null or empty text has no words, so the quality rules reject it; a stage given one treats null as empty, and the line stage
+returns it as empty. Texts of any length count as a whole. Rows that repeat a doc_id and text are kept until the near-duplicate stage, which keeps one;
+texts that share a doc_id stand each for itself. Rows of null doc_id lose no lines and are never duplicates. A null source is a source of its own.
+Without labels the forest rejects nothing. An empty table gives an empty table. Other columns are passed on as they are, but for those named
+like an output of a stage's operator (``kept``, ``n_lines``, ``slot`` and the like), which hold the operator's values from there on.
 """
 
 from __future__ import annotations
