@@ -176,6 +176,7 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, source: str = "s
             raise ValueError("weights must be positive")
     lines = dealt(df.sparkSession, names, blocks, whole(target), slots)
     numbered = per.join(lines, ["_source", "_number"]).select("_source", "block", "_number", "_begin", "slot")
+    numbered = materialize(numbered, "slots")  # of known size, so texts are not shuffled to meet what could be broadcast
     out = rows.join(numbered, ["_source", "block"])
     place = F.col("_row") - F.col("_begin") + 1
     kept = [c for c in rows.columns if not c.startswith("_") and c != "block"]
