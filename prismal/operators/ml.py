@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
@@ -10,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -18,13 +19,21 @@ from pyspark.sql import functions as F
 
 from prismal.functions.moments import percent
 from prismal.operators.explore import value_counts_of
-from prismal.plans.counts import mode_row
+from prismal.plans.counts import long_values, mode_row
 from prismal.plans.ordered import running_totals
 from prismal.plans.quantiles import quantile_name, quantiles
 from prismal.plans.scalars import attach_row
+from prismal.plans.sizing import inputs_fit_one_task, setting
 from prismal.session import materialize
 
 SEED = 42
+TREES = ("tree", "forest", "gbt")
+# Largest number of training rows that trees are grown from row by row; above, they are grown from counted cells.
+CELL_ROWS = ("spark.prismal.cellRows", 100_000)
+# Bins of a numeric feature, Spark's own number.
+BINS = 32
+# About how many blocks of equal rows the trees of a forest draw from.
+FOREST_BLOCKS = 1 << 20
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -42,10 +51,13 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_share:
 
     The rank runs in blocks of the hash, so a class of any size is spread over tasks.
     """
+    # A row for each class: joined by its class, all rows would go to as many tasks as there are classes.
     wanted = value_counts_of(df, label).select(F.col(label).alias("_class"), F.floor(F.col("n") * test_share + 0.5).alias("_wanted"))
+    if blocks is None and not inputs_fit_one_task(df, 1 / 8):
+        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what is learned from the rows next needs all tasks
     drawn = df.where(F.col(label).isNotNull()).withColumn("_u", _uniform(keys, seed)).withColumn("_one", F.lit(1).cast("long"))
     ranked = running_totals(drawn, "_u", {"_rank": "_one"}, [label], blocks=blocks)
-    quota = ranked.join(wanted, F.col(label) == F.col("_class"))
+    quota = ranked.join(F.broadcast(wanted), F.col(label) == F.col("_class"))
     return quota.withColumn("is_test", F.col("_rank") <= F.col("_wanted")).drop("_u", "_one", "_rank", "_class", "_wanted")
 
 
@@ -95,7 +107,7 @@ def classifier(kind: str, classes: int = 2, **params):
         return LogisticRegression(**common, regParam=1.0 / (c * rows), maxIter=params.get("max_iter", 100), standardization=False)
     if kind == "tree":
         return DecisionTreeClassifier(**common, impurity=params.get("criterion", "gini"), maxDepth=params.get("max_depth", 5),
-                                      minInstancesPerNode=params.get("min_rows", 1), seed=SEED)
+                                      minInstancesPerNode=params.get("min_rows", 1), minWeightFractionPerNode=params.get("min_share", 0.0), seed=SEED)
     if kind == "forest":
         return RandomForestClassifier(**common, numTrees=params.get("trees", 100), impurity=params.get("criterion", "gini"),
                                       maxDepth=params.get("max_depth", 5), seed=SEED)
@@ -105,7 +117,7 @@ def classifier(kind: str, classes: int = 2, **params):
         base = LinearSVC(**common, regParam=1.0 / (params.get("C", 1.0) * params.get("rows", 1000)), maxIter=params.get("max_iter", 100), standardization=False)
     else:
         raise ValueError(f"unknown classifier {kind!r}")
-    return base if classes <= 2 else OneVsRest(classifier=base, **common)
+    return base if classes <= 2 else OneVsRest(classifier=base, parallelism=classes, **common)
 
 
 def regressor(kind: str, **params):
@@ -117,7 +129,7 @@ def regressor(kind: str, **params):
             alpha *= params["spread"] / params["rows"]
         return LinearRegression(**common, regParam=alpha, elasticNetParam=1.0 if kind == "lasso" else 0.0, maxIter=params.get("max_iter", 100), standardization=False)
     if kind == "tree":
-        return DecisionTreeRegressor(**common, maxDepth=params.get("max_depth", 5), minInstancesPerNode=params.get("min_rows", 1), seed=SEED)
+        return DecisionTreeRegressor(**common, maxDepth=params.get("max_depth", 5), minInstancesPerNode=params.get("min_rows", 1), minWeightFractionPerNode=params.get("min_share", 0.0), seed=SEED)
     if kind == "forest":
         return RandomForestRegressor(**common, numTrees=params.get("trees", 100), maxDepth=params.get("max_depth", 5), seed=SEED)
     if kind == "gbt":
@@ -131,13 +143,89 @@ def _training_rows(train: DataFrame, target: str, numeric: Sequence[str], catego
     return train.where(F.col(target).isNotNull()).select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def _bin_number(column: str, cuts: Sequence[float]) -> str:
+    """SQL for the number of cuts below a value, as a double."""
+    tests = [f"CAST(`{column}` > CAST('{cut!r}' AS DOUBLE) AS INT)" for cut in cuts]
+    return f"CAST({' + '.join(tests) or '0'} AS DOUBLE)"
+
+
+def bin_cuts(rows: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
+    """Values of each numeric column, the largest left out, that part all its rows into at most ``bins`` bins: every value where there are so few, else quantiles."""
+    if not columns:
+        return {}
+    known = rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
+    shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    seen = known.agg(*[F.struct(F.max(c).alias("top"), F.approx_count_distinct(c).alias("n"), F.percentile_approx(c, shares, 10_000).alias("cuts")).alias(c)
+                       for c in columns]).first()
+    few = [c for c in columns if seen[c]["n"] <= 2 * bins]
+    held: dict[str, list[float]] = {c: [] for c in few}
+    if few:  # about 2 * bins values of each column at most
+        for r in long_values(known, few).where("value IS NOT NULL").distinct().collect():
+            held[r["column"]].append(r["value"])
+    return {c: sorted({v for v in (held[c] if c in held and len(held[c]) <= bins else seen[c]["cuts"] or []) if v < seen[c]["top"]}) for c in columns}
+
+
+def _fit_on_cells(rows: DataFrame, stages: list, numeric: Sequence[str], categorical: Sequence[str], model, forest: bool, total: int) -> PipelineModel:
+    """The trees of ``model`` grown from counted cells of equal binned features in place of single rows.
+
+    Trees see numeric features by their bins alone, so rows of one cell are one weighted row; bins are set by quantiles of all rows. A numeric label's
+    rows of a cell are two weighted rows that have their number, mean and variance, all that squared error asks for. Cells hold every row; how many
+    there are follows the bins, not the rows. A forest draws its bootstraps from blocks of at most about ``total / FOREST_BLOCKS`` rows of a cell.
+    """
+    head = Pipeline(stages=stages).fit(rows)
+    filled = head.stages[1].transform(head.stages[0].transform(rows)).select("label", *[f"{c}_filled" for c in (*numeric, *categorical)])
+    cuts = bin_cuts(filled, [f"{c}_filled" for c in numeric])
+    places, kinds = [f"{c}_bin" for c in numeric], [f"{c}_filled" for c in categorical]
+    by_class = isinstance(head.stages[0], StringIndexerModel)
+    label = [] if by_class else [F.avg("label").alias("_mean"), F.stddev_pop("label").alias("_off")]
+    binned = filled.where("label IS NOT NULL").selectExpr("*", *[f"{_bin_number(f'{c}_filled', cuts[f'{c}_filled'])} AS `{c}_bin`" for c in numeric])
+    keys = [*(["label"] if by_class else []), *places, *kinds]
+    ends = [F.struct(F.min(f"{c}_filled").alias("lo"), F.max(f"{c}_filled").alias("hi")).alias(f"_{c}") for c in numeric]
+    cells = materialize(binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *label, *ends), "cells")
+    # Between two bins, the cut stands in the middle of the nearest values, as Spark places it.
+    middles = {}
+    for c in numeric:
+        sides = cells.groupBy(f"{c}_bin").agg(F.min(f"_{c}.lo").alias("lo"), F.max(f"_{c}.hi").alias("hi")).orderBy(f"{c}_bin").collect()  # a row for each bin
+        middles[c] = [(a["hi"] + b["lo"]) / 2 for a, b in zip(sides, sides[1:])]
+    points = cells.withColumn("weight", F.col("_n").cast("double"))
+    if not by_class:
+        points = points.withColumn("weight", F.col("_n") / 2).withColumn("label", F.explode(F.array(F.col("_mean") - F.col("_off"), F.col("_mean") + F.col("_off"))))
+    if forest:
+        blocks = F.greatest(F.lit(1), F.ceil(F.col("weight") * FOREST_BLOCKS / total)).cast("int")
+        points = points.withColumn("weight", F.col("weight") / blocks).withColumn("_block", F.explode(F.sequence(F.lit(1), blocks)))
+    points = points.select("label", *places, *kinds, "weight")
+    for stage in head.stages[1:]:
+        if isinstance(stage, StringIndexerModel | OneHotEncoderModel):
+            points = stage.transform(points)
+    numbers = [f"{_bin_number(f'{c}_filled', middles[c])} AS `{c}_bin`" for c in numeric]
+    bins = SQLTransformer(statement=f"SELECT {', '.join(['*', *numbers])} FROM __THIS__")
+    joined = VectorAssembler(inputCols=[*places, *[f"{c}_hot" for c in categorical]], outputCol="binned")
+    points = joined.transform(points).select("label", "binned", "weight")
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() / 20_000)))
+    points = points.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    grown = model.setFeaturesCol("binned").setWeightCol("weight").fit(points)
+    points.unpersist()
+    return PipelineModel(stages=[*head.stages, bins, joined, grown])
+
+
+def _fit_stages(rows: DataFrame, coded, numeric: Sequence[str], categorical: Sequence[str], kind: str, make: Callable, params: dict) -> PipelineModel:
+    """Preprocessing and estimator fitted on the rows; trees on many rows by their cells."""
+    stages = [coded, *preprocessing(rows, numeric, categorical)]
+    total = rows.count() if kind in TREES else 0
+    if total <= setting(rows.sparkSession, CELL_ROWS):
+        return Pipeline(stages=[*stages, make(**params)]).fit(rows)
+    if kind == "tree" and params.get("min_rows", 1) > 1:
+        params = {**params, "min_rows": 1, "min_share": (params["min_rows"] - 0.5) / total}  # rows are counted by weight
+    return _fit_on_cells(rows, stages, numeric, categorical, make(**params), kind == "forest", total)
+
+
 def fit_classifier(train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str] = (), kind: str = "logistic", **params) -> PipelineModel:
     rows = _training_rows(train, target, numeric, categorical)
     coded = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip")
     if kind in ("logistic", "linear_svm"):
         params.setdefault("rows", rows.count())
-    model = classifier(kind, _class_count(rows, target), **params)
-    fitted = Pipeline(stages=[coded, *preprocessing(rows, numeric, categorical), model]).fit(rows)
+    classes = _class_count(rows, target)
+    fitted = _fit_stages(rows, coded, numeric, categorical, kind, lambda **p: classifier(kind, classes, **p), params)
     rows.unpersist()
     return fitted
 
@@ -148,7 +236,7 @@ def fit_regressor(train: DataFrame, target: str, numeric: Sequence[str], categor
     if kind == "ridge":
         size = rows.agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop(F.col(target).cast("double")).alias("spread")).first()
         params = {**size.asDict(), **params}
-    fitted = Pipeline(stages=[label, *preprocessing(rows, numeric, categorical), regressor(kind, **params)]).fit(rows)
+    fitted = _fit_stages(rows, label, numeric, categorical, kind, lambda **p: regressor(kind, **p), params)
     rows.unpersist()
     return fitted
 

@@ -35,8 +35,8 @@ def may_broadcast(df: DataFrame) -> bool:
     return estimated_bytes(df) <= setting(df.sparkSession, BROADCAST_BYTES)
 
 
-def inputs_fit_one_task(df: DataFrame) -> bool:
-    """Whether all that the frame is made from fits one task.
+def inputs_fit_one_task(df: DataFrame, share: float = 1.0) -> bool:
+    """Whether all that the frame is made from fits one task, or a share of what may.
 
     Adds up what the frame's sources hold (files have a known size, rows made on the driver or by Python mostly don't and
     count as large). Joins and explodes above them are not estimated: Catalyst multiplies sizes there.
@@ -46,4 +46,4 @@ def inputs_fit_one_task(df: DataFrame) -> bool:
         size = sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     except AttributeError:  # no JVM plan behind this frame
         return False
-    return size <= setting(df.sparkSession, ONE_TASK_BYTES)
+    return size <= share * setting(df.sparkSession, ONE_TASK_BYTES)
