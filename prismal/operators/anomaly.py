@@ -15,6 +15,7 @@ from prismal.functions.moments import percent
 from prismal.operators.explore import share_ratio
 from prismal.plans.quantiles import quantile_name, quantiles
 from prismal.plans.scalars import attach_row
+from prismal.session import materialize
 
 
 def fence_width(sensitivity: float) -> float:
@@ -154,7 +155,7 @@ def anomalies_iforest(df: DataFrame, columns: Sequence[str], target: str, keys:
                       seed: int = 42) -> DataFrame:
     """The most isolated share of rows; contamination is 5 % per unit of sensitivity, within 1 % .. 50 %."""
     contamination = max(0.01, min(0.5, 0.1 * sensitivity / 2.0))
-    scored = isolation_scores(df, columns, keys, seed=seed)
+    scored = materialize(isolation_scores(df, columns, keys, seed=seed), "scores")  # read by every pass of the quantile, the mean and the answer
     cut = quantiles(scored, ["score"], [1.0 - contamination])
     mean = scored.agg(F.avg(target).alias("_mean"))
     tagged = attach_row(attach_row(scored, cut), mean)
