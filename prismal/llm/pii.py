@@ -11,7 +11,7 @@ from a hash. All other proposals are of unknown truth and teach nothing. On a he
 kind so that nearly all above it are examples; proposals away from any base span that reach it are added, but for those inside another
 added span of their kind.
 
-The trees are fitted on the forms of at most about ``most_examples`` base spans and as many counterexamples of each kind, chosen by hash.
+The trees are fitted, and the thresholds set, on the forms of all base spans and all counterexamples; those of equal features are one weighted row.
 Texts are searched whole; the patterns are written so that a long run of one character class takes linear time: a match starts at a run's
 start or at the end of the last match, and quantifiers give nothing back where that can't help.
 
@@ -264,11 +264,13 @@ def formed(rows: DataFrame) -> DataFrame:
     return as_kinds(rows).dropDuplicates(["doc_id", "hash", "start", "match", "as"])
 
 
-def examples(found: DataFrame, wide: DataFrame, most_examples: int, seed: int) -> DataFrame | None:
-    """Examples and counterexamples (``label`` 1 and 0) with their features; nothing without base spans."""
+def examples(found: DataFrame, wide: DataFrame, most_examples: int | None = None, seed: int = 7) -> DataFrame | None:
+    """Examples and counterexamples (``label`` 1 and 0) with their features; nothing without base spans. All of them, unless a caller asks for fewer."""
     mine = F.pmod(F.xxhash64("doc_id", "hash", "start", F.lit(seed)), F.lit(1 << 20))
 
     def at_most(rows: DataFrame, kind: str) -> DataFrame:
+        if most_examples is None:
+            return rows
         sizes = {r[kind]: r["count"] for r in rows.groupBy(kind).count().collect()}  # a row for each of the four kinds
         share = F.coalesce(*[F.when(F.col(kind) == k, F.lit(min(1.0, most_examples / n))) for k, n in sizes.items()], F.lit(0.0))
         return rows.filter(mine < share * (1 << 20))
@@ -291,13 +293,16 @@ def fit(chosen: DataFrame | None, precision: float = 0.95, iterations: int = 20,
     """The boosted trees, each kind's threshold, and the share of held-out examples that reach it; nothing where a class is missing."""
     if chosen is None:
         return None, {}, {}
-    chosen = materialize(chosen.withColumn("_test", F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit(2)) == 1), "examples")
+    # Trees and thresholds see an example's features, kind and label alone.
+    features = [f"f_{c}" for c in FEATURES]
+    chosen = chosen.groupBy((F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit(2)) == 1).alias("_test"), "as", "label", *features).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    chosen = materialize(chosen, "examples")
     assemble = VectorAssembler(inputCols=[f"f_{c}" for c in FEATURES], outputCol="v")
-    train = assemble.transform(chosen.filter("NOT _test")).select("v", "label")
+    train = assemble.transform(chosen.filter("NOT _test")).select("v", "label", "n")
     if train.select("label").distinct().count() < 2:
         return None, {}, {}
-    model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=iterations, maxDepth=depth, seed=seed).fit(train)
-    tested = probability(model, chosen.filter("_test")).groupBy("as", F.floor(F.col("p") * 1000).cast("int").alias("step")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    model = GBTClassifier(featuresCol="v", labelCol="label", weightCol="n", maxIter=iterations, maxDepth=depth, seed=seed).fit(train)
+    tested = probability(model, chosen.filter("_test")).groupBy("as", F.floor(F.col("p") * 1000).cast("int").alias("step")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     limits, found = {}, {}
     for kind in KINDS:
         good = n = 0
@@ -316,7 +321,7 @@ def probability(model, rows: DataFrame) -> DataFrame:
     return model.transform(assemble.transform(rows)).withColumn("p", vector_to_array("probability")[1]).drop("v", "rawPrediction", "probability", "prediction")
 
 
-def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_examples: int = 10_000, seed: int = 7, **options) -> DataFrame:
+def spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_examples: int | None = None, seed: int = 7, **options) -> DataFrame:
     """All spans: ``doc_id``, ``hash`` (md5 of the text), ``kind``, ``start``, ``end``, ``added`` (by the trees), ``score``."""
     found = materialize(matches(df, doc_id, text), "matches")
     base = found.filter(F.col("pattern").isin(*KINDS)).filter(passes(F.col("pattern"), F.col("match"))).select(

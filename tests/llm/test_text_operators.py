@@ -301,3 +301,11 @@ def test_pieces_of_long_chains_are_linear_and_in_place(spark):
     assert 4 * 20_000 < len(rows) <= pii.RUN * 20_000
     for r in rows[:: 997]:
         assert text[r.start:r.end] == r.match and text[:r.start].endswith(r.before) and text[r.end:].startswith(r.after) and len(r.before) == min(24, r.start)
+
+
+def test_trees_learn_from_all_base_spans_unless_told(spark):
+    texts = [f"write to user{i}@mail{i}.example.org or +49 30 12{i:05d}" for i in range(60)]
+    found = pii.matches(documents(spark, texts), "doc_id", "text").cache()
+    wide = pii.featured(pii.proposals(found)).cache()
+    assert pii.examples(found, wide).select("doc_id").distinct().count() == 60
+    assert pii.examples(found, wide, 10, 7).select("doc_id").distinct().count() < 60
