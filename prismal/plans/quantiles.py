@@ -5,7 +5,8 @@ That is the fast way while the input is small. Beyond the size limit the same
 numbers come from two passes that keep no group in one place:
 
 1. a ``percentile_approx`` sketch brackets each wanted rank between two values;
-2. values below the bracket are only counted, the few values inside it are
+2. where both ends of a bracket are one value, it is the quantile; else
+   values below the bracket are only counted, the few values inside it are
    counted per distinct value (both combine before the shuffle), split into
    bins, and only the bins that hold the wanted ranks are ordered.
 """
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.plans.scalars import attach_row
-from prismal.plans.sizing import fits_value_map
+from prismal.plans.sizing import fits_value_map, may_broadcast
+from prismal.session import materialize
 
 SKETCH_ACCURACY = 50_000
 BRACKET_BINS = 512
@@ -85,22 +87,41 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         F.struct(F.count(c).alias("n"), F.percentile_approx(c, wanted, SKETCH_ACCURACY).alias("edge")).alias(f"_s_{c}")
         for c in columns
     ])
+    sketch = materialize(sketch, "sketch")  # a row for each group, read by every pass
     if keys:
         match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-        tagged = doubles.join(sketch, match)
+        # Joined by their keys, the rows of a large group would be ordered by one task.
+        tagged = doubles.join(F.broadcast(sketch) if may_broadcast(sketch) else sketch, match)
     else:
-        tagged = attach_row(doubles, sketch)
+        row = sketch.first()
+        known = {c: (row[f"_s_{c}"]["n"], row[f"_s_{c}"]["edge"] or [None] * len(edges)) for c in columns}
+        tagged = doubles
 
     steps = range(len(probs))
 
+    def count_of(column: str) -> Column:
+        return F.col(f"_s_{column}.n") if keys else F.lit(known[column][0]).cast("long")
+
     def bracket(column: str, i: int) -> tuple[Column, Column]:
         # Below SKETCH_ACCURACY rows the whole group is the bracket; above, the slack
         # covers the sketch error and the two neighbouring ranks.
-        edge, small = F.col(f"_s_{column}.edge"), F.col(f"_s_{column}.n") <= SKETCH_ACCURACY
-        return (F.when(small, edge[0]).otherwise(edge[2 * i + 2]), F.when(small, edge[1]).otherwise(edge[2 * i + 3]))
+        if keys:
+            edge, small = F.col(f"_s_{column}.edge"), F.col(f"_s_{column}.n") <= SKETCH_ACCURACY
+            return (F.when(small, edge[0]).otherwise(edge[2 * i + 2]), F.when(small, edge[1]).otherwise(edge[2 * i + 3]))
+        return tuple(F.lit(v).cast("double") for v in ends(column, i))
+
+    def ends(column: str, i: int) -> tuple[float | None, float | None]:
+        n, edge = known[column]
+        return (edge[0], edge[1]) if n <= SKETCH_ACCURACY else (edge[2 * i + 2], edge[2 * i + 3])
+
+    def settled(column: str, i: int) -> Column:
+        """The value that is the whole bracket, else null."""
+        low, high = bracket(column, i)
+        return F.when(low == high, low)
 
     def inside(column: str, i: int) -> Column:
-        return F.col(column).between(*bracket(column, i))
+        low, high = bracket(column, i)
+        return (low < high) & F.col(column).between(low, high)
 
     def entry(column: str, i: int) -> Column:
         low, high = bracket(column, i)
@@ -108,9 +129,11 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
         bin_no = F.when(width > 0, F.least(
             F.lit(BRACKET_BINS - 1), F.floor((value - low) / width * BRACKET_BINS).cast("int"))).otherwise(F.lit(0))
         return F.when(inside(column, i), F.struct(
-            F.lit(column).alias("_column"), F.lit(i).alias("_i"), F.col(f"_s_{column}.n").alias("_all"), bin_no.alias("_bin"), value.alias("_v")))
+            F.lit(column).alias("_column"), F.lit(i).alias("_i"), count_of(column).alias("_all"), bin_no.alias("_bin"), value.alias("_v")))
 
-    places = [(c, i) for c in columns for i in steps]
+    places = [(c, i) for c in columns for i in steps if keys or ends(c, i)[0] != ends(c, i)[1]]
+    if not places:
+        return sketch.select(*[F.array(*[settled(c, i) for i in steps]).alias(quantile_name(c)) for c in columns])
     # Pass over all rows: only counters. Pass over the few rows inside a bracket: values.
     under = tagged.groupBy(*keys).agg(*[F.count_if(F.col(c) < bracket(c, i)[0]).alias(f"_u_{i}_{c}") for c, i in places])
     under = under.select(*keys, F.inline(F.array(*[
@@ -147,13 +170,12 @@ def _bracketed(df: DataFrame, columns: list[str], probs: list[float], keys: list
     found = picked.groupBy(*keys).agg(*[
         F.array(*[F.max(F.when((F.col("_column") == c) & (F.col("_i") == i), F.col("_q"))) for i in range(len(probs))])
         .alias(quantile_name(c)) for c in columns])
+    both = lambda c: F.array(*[F.coalesce(settled(c, i), F.col(quantile_name(c))[i]) for i in steps]).alias(quantile_name(c))
     if not keys:
-        return found
+        return found.select(*[both(c) for c in columns])
     # Groups without any value keep their row, as with the one-pass way.
-    groups = sketch.select(*[f"_k_{k}" for k in keys])
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return groups.join(found, match, "left").select(
-        *[F.col(f"_k_{k}").alias(k) for k in keys], *[quantile_name(c) for c in columns])
+    return sketch.join(found, match, "left").select(*[F.col(f"_k_{k}").alias(k) for k in keys], *[both(c) for c in columns])
 
 
 def fence_row(df: DataFrame, columns: Sequence[str], k: float = 1.5, keys: Sequence[str] = ()) -> DataFrame:
