@@ -263,3 +263,49 @@ def test_trees_grow_apart_and_take_all_they_need(spark):
     assert nodes.groupby("tree").size().min() > 10 and len(set(nodes[nodes["node"] == 0]["cut"])) == 20
     few, size = anomaly.isolation_forest(df.limit(10), ["w"], ["id"], trees=5, sample=64)
     assert size == 10 and few.select("tree").distinct().count() == 5
+
+
+@pytest.mark.parametrize("kind", ["tree", "gbt"])
+@pytest.mark.parametrize("target", ["y", "z", "three"])
+def test_trees_on_cells_equal_trees_on_rows(spark, kind, target):
+    """Cells of equal bins hold every row: the same trees grow from them."""
+    rng = np.random.default_rng(4)
+    n = 4000
+    frame = pd.DataFrame({"v": rng.integers(0, 30, n) * 1.5, "w": rng.integers(-4, 5, n), "k": rng.choice(list("abc"), n)})
+    frame["y"] = np.where(frame.v + 3 * frame.w + rng.normal(0, 4, n) > 20, "yes", "no")
+    frame["three"] = np.where(frame.w > 2, "high", np.where(frame.v + rng.normal(0, 5, n) > 20, "mid", "low"))
+    frame["z"] = frame.v * frame.w + rng.normal(0, 3, n) + (frame.k == "a") * 10
+    df = spark.createDataFrame(frame)
+    fit = ml.fit_regressor if target == "z" else ml.fit_classifier
+    params = {"stages": 5} if kind == "gbt" else {"min_rows": 40}
+    found = []
+    for limit in ("100000", "100"):
+        spark.conf.set("spark.prismal.cellRows", limit)
+        model = fit(df, target, ["v", "w"], ["k"], kind, **params)
+        found.append(model.transform(df).select("prediction").toPandas()["prediction"].to_numpy())
+    spark.conf.unset("spark.prismal.cellRows")
+    assert "binned" in model.transform(df).columns
+    np.testing.assert_allclose(found[0], found[1], rtol=1e-6, atol=1e-6)
+
+
+def test_forest_and_quantile_cells_keep_their_worth(spark):
+    rng = np.random.default_rng(5)
+    n = 5000
+    frame = pd.DataFrame({"v": rng.normal(0, 1, n), "w": rng.normal(0, 1, n)})
+    frame["y"] = np.where(frame.v + frame.w > 0, "yes", "no")
+    df = spark.createDataFrame(frame)
+    spark.conf.set("spark.prismal.cellRows", "100")
+    try:
+        model = ml.fit_classifier(df, "y", ["v", "w"], kind="forest", trees=20)
+    finally:
+        spark.conf.unset("spark.prismal.cellRows")
+    assert "binned" in model.transform(df).columns
+    assert ml.classification_metrics(ml.predict(model, df)).first()["accuracy"] > 0.85
+    assert len(ml.feature_importance(model, df).collect()) == 2
+
+
+def test_forest_scores_are_taken_once(spark, capsys):
+    """The quantile, the mean and the answer read written scores: none of them runs the trees again."""
+    df = spark.range(500).select("id", (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("w"))
+    anomaly.anomalies_iforest(df, ["x", "w"], "x", ["id"]).explain()
+    assert "MapInPandas" not in capsys.readouterr().out
