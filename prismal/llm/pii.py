@@ -295,6 +295,7 @@ def fit(chosen: DataFrame | None, precision: float = 0.95, iterations: int = 20,
         return None, {}, {}
     # Trees and thresholds see an example's features, kind and label alone.
     features = [f"f_{c}" for c in FEATURES]
+    chosen = materialize(chosen, "made")  # so that no feature is taken again for the groups
     chosen = chosen.groupBy((F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit(2)) == 1).alias("_test"), "as", "label", *features).agg(F.count(F.lit(1)).cast("double").alias("n"))
     chosen = materialize(chosen, "examples")
     assemble = VectorAssembler(inputCols=[f"f_{c}" for c in FEATURES], outputCol="v")
