@@ -6,14 +6,18 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, SQLTransformer, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.wrapper import JavaWrapper
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,10 @@ CELL_ROWS = ("spark.prismal.cellRows", 100_000)
 BINS = 32
 # About how many blocks of equal rows the trees of a forest draw from.
 FOREST_BLOCKS = 1 << 20
+# Largest number of training rows that a two-class linear SVM leaves to Spark's estimator, whose line searches pass over them some 500 times.
+SVM_ROWS = ("spark.prismal.svmRows", 100_000)
+# Most features of such an SVM on more rows: a task adds up a square of their number.
+SVM_FEATURES = 200
 
 
 def target_distribution(df: DataFrame, target: str) -> DataFrame:
@@ -208,11 +216,110 @@ def _fit_on_cells(rows: DataFrame, stages: list, numeric: Sequence[str], categor
     return PipelineModel(stages=[*head.stages, bins, joined, grown])
 
 
+def _hinge_sums(points: DataFrame, at: np.ndarray, width: float) -> np.ndarray:
+    """For every plane of ``at`` (weights, intercept): the rows' rounded hinge losses, what these lack to the dual, their slope, its change with the width, and their curvature, added up."""
+    planes, size = at.shape
+
+    def add(batches):
+        total = np.zeros((planes, 2 + 2 * size + size * size))
+        for batch in batches:
+            sign = 2.0 * batch.column("label").to_numpy() - 1.0
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(len(sign), size - 1)
+            signed = np.column_stack([x, np.ones(len(sign))]) * sign[:, None]
+            for sums, plane in zip(total, at):
+                short = 1.0 - signed @ plane
+                dual = np.clip((short / width + 1.0) / 2.0, 0.0, 1.0)
+                inside = np.abs(short) < width
+                bent = signed[inside]
+                sums[0] += dual @ short + width * (dual @ (1.0 - dual))
+                sums[1] += np.maximum(short, 0.0).sum() - dual @ short
+                sums[2:2 + size] -= dual @ signed
+                sums[2 + size:2 + 2 * size] += short[inside] @ bent / (2.0 * width * width)
+                sums[2 + 2 * size:] += (bent.T @ bent).ravel() / (2.0 * width)
+        yield pa.RecordBatch.from_pydict({"place": np.arange(total.size, dtype=np.int32), "part": total.ravel()})
+
+    out = np.zeros(planes * (2 + 2 * size + size * size))
+    for r in points.mapInArrow(add, "place int, part double").groupBy("place").agg(F.sum("part").alias("whole")).collect():
+        out[r["place"]] = r["whole"]
+    return out.reshape(planes, -1)
+
+
+def svm_plane(points: DataFrame, features: int, penalty: float, most: int = 100, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and intercept of least mean hinge loss plus ``penalty`` / 2 times the squared weights, over rows of ``label`` (0 or 1) and ``x``.
+
+    Newton steps on a hinge whose kink is rounded over a width that shrinks. Every pass over the rows measures some step lengths at once. The rounded
+    hinge's slopes are a point of the dual problem, so each pass also tells how far the loss is from the least one; the steps end when that is below
+    ``tolerance`` of the loss, or after ``most`` passes. Neither the passes nor what the driver holds follow the number of rows.
+    """
+    size, rows = features + 1, points.count()
+    ridge = np.append(np.full(features, penalty), 0.0)
+
+    def measured(at: np.ndarray, width: float):
+        sums = _hinge_sums(points, at, width) / rows
+        losses = sums[:, 0] + (at * at) @ ridge / 2
+        if not np.isfinite(losses).any():
+            raise ValueError("features are not finite")
+        best = int(np.nanargmin(losses))
+        slope, drift, bend = np.split(sums[best, 2:], [size, 2 * size])
+        return at[best], losses[best], sums[best, 1], slope + ridge * at[best], drift, bend.reshape(size, size) + np.diag(ridge)
+
+    def step_within(reach: float) -> np.ndarray:
+        """The step to the least of the quadratic that slope and curvature describe, among those that move the rows' values by ``reach`` at most (root mean square)."""
+        damped = lambda extra: -np.linalg.lstsq(bend + extra * spread, slope, rcond=None)[0]
+        far = lambda step: float(np.sqrt(max(0.0, step @ spread @ step)))
+        if far(step := damped(0.0)) <= reach:
+            return step
+        low, high = -20.0, 20.0
+        for _ in range(50):
+            middle = (low + high) / 2
+            low, high = (middle, high) if far(damped(10.0**middle)) > reach else (low, middle)
+        return damped(10.0**high)
+
+    width, reach = 2.0, 1.0
+    plane, loss, gap, slope, drift, bend = measured(np.zeros((1, size)), width)
+    spread = 2 * width * (bend - np.diag(ridge))  # second moments: the rounded part holds every row
+    for _ in range(most - 1):
+        step = step_within(np.inf)
+        left = -slope @ step / 2
+        if left <= 0.1 * max(gap, tolerance * loss) or reach < 1e-12:
+            if gap <= tolerance * loss or width < 1e-9:
+                break
+            ahead = step + np.linalg.lstsq(bend, drift, rcond=None)[0] * (width - width / 6)  # where the least loss moves with the width
+            width, reach = width / 6, 1.0
+            plane, loss, gap, slope, drift, bend = measured(plane + np.stack([np.zeros(size), step, ahead]), width)
+            continue
+        tries = [(r, plane + step_within(r)) for r in (reach, reach / 4, reach / 16)]
+        found = measured(np.stack([to for _, to in tries]), width)
+        if found[1] < loss:
+            reach = 4 * next(r for r, to in tries if np.array_equal(to, found[0]))
+            plane, loss, gap, slope, drift, bend = found
+        else:
+            reach /= 64
+    return plane[:-1], float(plane[-1])
+
+
+def _fit_svm(rows: DataFrame, stages: list, model: LinearSVC) -> PipelineModel | None:
+    """A two-class linear SVM on many rows; none where there are too many features for curvatures."""
+    head = Pipeline(stages=stages).fit(rows)
+    ready = head.transform(rows).where("label IS NOT NULL")
+    features = ready.schema["features"].metadata["ml_attr"]["num_attrs"]
+    if features > SVM_FEATURES:
+        return None
+    points = ready.select("label", vector_to_array("features").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    weights, intercept = svm_plane(points, features, model.getRegParam(), model.getMaxIter(), model.getTol())
+    points.unpersist()
+    java = JavaWrapper._new_java_obj("org.apache.spark.ml.classification.LinearSVCModel", model.uid, _py2java(rows.sparkSession.sparkContext, Vectors.dense(weights)), intercept)
+    return PipelineModel(stages=[*head.stages, model._copyValues(LinearSVCModel(java))])
+
+
 def _fit_stages(rows: DataFrame, coded, numeric: Sequence[str], categorical: Sequence[str], kind: str, make: Callable, params: dict) -> PipelineModel:
     """Preprocessing and estimator fitted on the rows; trees on many rows by their cells."""
     stages = [coded, *preprocessing(rows, numeric, categorical)]
-    total = rows.count() if kind in TREES else 0
-    if total <= setting(rows.sparkSession, CELL_ROWS):
+    total = rows.count() if kind in (*TREES, "linear_svm") else 0
+    if kind == "linear_svm" and total > setting(rows.sparkSession, SVM_ROWS) and isinstance(model := make(**params), LinearSVC):
+        if fitted := _fit_svm(rows, stages, model):
+            return fitted
+    if kind not in TREES or total <= setting(rows.sparkSession, CELL_ROWS):
         return Pipeline(stages=[*stages, make(**params)]).fit(rows)
     if kind == "tree" and params.get("min_rows", 1) > 1:
         params = {**params, "min_rows": 1, "min_share": (params["min_rows"] - 0.5) / total}  # rows are counted by weight

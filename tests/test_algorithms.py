@@ -309,3 +309,34 @@ def test_forest_scores_are_taken_once(spark, capsys):
     df = spark.range(500).select("id", (F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("w"))
     anomaly.anomalies_iforest(df, ["x", "w"], "x", ["id"]).explain()
     assert "MapInPandas" not in capsys.readouterr().out
+
+
+def test_svm_on_many_rows_reaches_the_least_loss_in_few_passes(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    n = 3000
+    frame = pd.DataFrame({"a": rng.normal(0, 1, n), "b": rng.normal(5, 3, n), "k": rng.choice(list("pqr"), n)})
+    passes = []
+    once = ml._hinge_sums
+    monkeypatch.setattr(ml, "_hinge_sums", lambda *given: passes.append(1) or once(*given))
+    spark.conf.set("spark.prismal.svmRows", "100")
+    try:
+        for noise, rule in ((0.7, frame.a + 0.3 * frame.b - 1.5), (1.0, -1.5 + 0 * frame.a)):
+            hot = rule + rng.normal(0, noise, n) > 0
+            df = spark.createDataFrame(frame.assign(y=np.where(hot, "yes", "no"))).repartition(4)
+            passes.clear()
+            model = ml.fit_classifier(df, "y", ["a", "b"], ["k"], "linear_svm")
+            assert 0 < len(passes) < 50
+            points = model.transform(df).select("label", ml.vector_to_array("features").alias("x")).toPandas()
+            x, sign = np.array(points["x"].tolist()), 2 * points["label"].to_numpy() - 1
+            loss = lambda w, b: np.maximum(0, 1 - sign * (x @ w + b)).mean() + w @ w / (2 * n)
+            plane, bias = model.stages[-1].coefficients.toArray(), model.stages[-1].intercept
+            for size in (0.3, 0.03, 0.003):  # the loss is convex: nothing near is less, so nothing is
+                for off in rng.normal(0, size, (50, len(plane) + 1)):
+                    assert loss(plane, bias) <= loss(plane + off[:-1], bias + off[-1]) + 1e-6
+            assert ml.predict(model, df).where((F.col("label") == 1) != (F.col("prediction") == 1)).count() <= (hot != (rule > 0)).sum() * 1.1
+        assert loss(plane, bias) == pytest.approx(2 * hot.mean(), rel=1e-5)  # nothing to learn: always the larger class
+        monkeypatch.setattr(ml, "SVM_FEATURES", 2)
+        passes.clear()
+        assert ml.fit_classifier(df, "y", ["a", "b"], ["k"], "linear_svm", max_iter=2).stages[-1].numFeatures == 5 and not passes
+    finally:
+        spark.conf.unset("spark.prismal.svmRows")
