@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.wrapper import JavaWrapper
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismal.functions.moments import percent
@@ -38,6 +38,8 @@ CELL_ROWS = ("spark.prismal.cellRows", 100_000)
 BINS = 32
 # About how many blocks of equal rows the trees of a forest draw from.
 FOREST_BLOCKS = 1 << 20
+# Equal spans of the hash that a split's rows are counted by.
+SPANS = 4096
 # Largest number of training rows that a two-class linear SVM leaves to Spark's estimator, whose line searches pass over them some 500 times.
 SVM_ROWS = ("spark.prismal.svmRows", 100_000)
 # Most features of such an SVM on more rows: a task adds up a square of their number.
@@ -57,18 +59,35 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], test_share:
                      blocks: int | None = None) -> DataFrame:
     """Add ``is_test``: in every class the round(n * share) rows with the lowest key hash.
 
-    The rank runs in blocks of the hash, so a class of any size is spread over tasks.
+    Where the files fit one task, the rows are ranked. Otherwise they are counted by class and by equal spans of the hash, and only the span in which a
+    class's quota ends is ranked (in ``blocks`` of the hash); all other rows stay where they are.
     """
     # A row for each class: joined by its class, all rows would go to as many tasks as there are classes.
     wanted = value_counts_of(df, label).select(F.col(label).alias("_class"), F.floor(F.col("n") * test_share + 0.5).alias("_wanted"))
-    if blocks is None and not inputs_fit_one_task(df, 1 / 8):
-        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # what is learned from the rows next needs all tasks
-    drawn = df.where(F.col(label).isNotNull()).withColumn("_u", _uniform(keys, seed)).withColumn("_one", F.lit(1).cast("long"))
-    ranked = running_totals(drawn, "_u", {"_rank": "_one"}, [label], blocks=blocks)
+    drawn = df.where(F.col(label).isNotNull()).withColumn("_u", _uniform(keys, seed))
+    if blocks is not None or not inputs_fit_one_task(df, 1 / 8):
+        return _split_by_spans(drawn, label, wanted, blocks)
+    ranked = running_totals(drawn.withColumn("_one", F.lit(1).cast("long")), "_u", {"_rank": "_one"}, [label])
     quota = ranked.join(F.broadcast(wanted), F.col(label) == F.col("_class"))
     return quota.withColumn("is_test", F.col("_rank") <= F.col("_wanted")).drop("_u", "_one", "_rank", "_class", "_wanted")
 
 
+def _split_by_spans(drawn: DataFrame, label: str, wanted: DataFrame, blocks: int | None) -> DataFrame:
+    """``is_test`` for rows with ``_u``: every class's limit of it becomes a row of a table that is broadcast."""
+    span = F.floor(F.col("_u") * SPANS)
+    counts = drawn.groupBy(F.col(label).alias("_class"), span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_class").orderBy("_span")))  # a row for each span
+    over = upto.join(F.broadcast(wanted), "_class").where(F.col("_upto") > F.col("_wanted"))
+    ends = materialize(over.groupBy("_class").agg(F.min("_span").alias("_end"), F.min_by(F.col("_wanted") - F.col("_upto") + F.col("_n"), "_span").alias("_left")), "ends")
+    inside = drawn.select(F.col(label).alias("_class"), "_u", span.alias("_span")).join(F.broadcast(ends), "_class").where(F.col("_span") == F.col("_end"))
+    ranked = running_totals(inside.groupBy("_class", "_left", "_u").agg(F.count(F.lit(1)).alias("_n")), "_u", {"_rank": "_n"}, ["_class"], blocks=blocks)
+    last = ranked.where(F.col("_rank") <= F.col("_left")).groupBy("_class").agg(F.max("_u").alias("_last"))
+    limits = materialize(ends.select("_class", "_end").join(last, "_class", "left"), "limits")
+    below = F.when(F.col("_last").isNotNull(), F.col("_u") <= F.col("_last")).otherwise(span < F.col("_end"))
+    marked = drawn.join(F.broadcast(limits), F.col(label) == F.col("_class"), "left")
+    return marked.withColumn("is_test", F.col("_end").isNull() | below).drop("_u", "_class", "_end", "_last")
+
+
 def random_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = SEED) -> DataFrame:
     """Add ``is_test`` by a threshold on the key hash (for regression targets)."""
     return df.withColumn("is_test", _uniform(keys, seed) < test_share)

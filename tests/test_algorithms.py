@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismal.operators import anomaly, cluster, corr, density, explore, frames, ml, neighbours, stats
-from prismal.plans import space
+from prismal.plans import ordered, space
 from tests.test_plans import skewed, to_spark
 
 
@@ -340,3 +340,22 @@ def test_svm_on_many_rows_reaches_the_least_loss_in_few_passes(spark, monkeypatc
         assert ml.fit_classifier(df, "y", ["a", "b"], ["k"], "linear_svm", max_iter=2).stages[-1].numFeatures == 5 and not passes
     finally:
         spark.conf.unset("spark.prismal.svmRows")
+
+
+def test_split_of_many_rows_writes_only_limits(spread, monkeypatch):
+    frame = pd.DataFrame({"id": np.arange(3000) % 2500, "k": np.where(np.arange(3000) % 7 == 0, None, np.array(list("abc"))[np.arange(3000) % 3])})
+    frame.loc[:1, "k"] = "rare"
+    df = spread.createDataFrame(frame, "id long, k string")
+    written = []
+    for module in (ml, ordered):
+        keep = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda rows, label="step", keep=keep: written.append(rows.count()) or keep(rows, label))
+    for share in (0.0, 0.2, 0.25, 1.0):
+        drawn = df.dropna().withColumn("u", ml._uniform(["id"], ml.SEED)).toPandas()
+        size = drawn.groupby("k")["u"].transform("size")
+        want = drawn["u"].groupby(drawn["k"]).rank(method="max") <= np.floor(size * share + 0.5)
+        written.clear()
+        got = ml.stratified_split(df, "k", ["id"], share).toPandas()
+        assert list(got.columns) == ["id", "k", "is_test"]
+        assert sorted(zip(got["k"], got["id"], got["is_test"])) == sorted(zip(drawn["k"], drawn["id"], want))
+        assert sum(written) < 50
